@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lauda.llm import canon, neardup
-from lauda.session import materialize
+from lauda.llm import canon, history, neardup
+from lauda.session import materialize, table
 
 
 def _units(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -35,3 +35,36 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups}
 ORACLE: dict[str, str] = {}
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feats, members = neardup.prepared(canon.question_texts(table(spark, sf_dir, "questions")), "load")
+    has_set = feats.filter(F.size("grams") > 0).select("cid").distinct()
+    base = members.select("src_table", "id", "load_no", "cid", "ckey")
+    copies = base.select("src_table", "id", "load_no", F.xxhash64(F.lit("copy"), "ckey").alias("k1"), F.hash("ckey", F.lit("copy")).alias("k2"))
+    sets = base.join(has_set, "cid", "left_semi").select("src_table", "id", "load_no", F.col("cid").alias("k1"), F.lit(1).alias("k2"))
+    keys = copies.unionByName(sets)
+    for src, field in (("import_batches", "content_sha256"), ("document_observations", "binary_sha256"), ("questions", "fingerprint")):
+        keys = keys.unionByName(history.digest_rows(table(spark, sf_dir, src), src, field))
+    return history.repeats(keys).unionByName(history.near_repeats(feats, members)).distinct()
+
+
+def p2_repeats_per_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest repeats of batches and observations per load."""
+    keys = [history.digest_rows(table(spark, sf_dir, s), s, f) for s, f in (("import_batches", "content_sha256"), ("document_observations", "binary_sha256"))]
+    rows = keys[0].unionByName(keys[1])
+    found = history.repeats(rows).distinct().withColumnRenamed("record_id", "id")
+    return rows.join(found, ["src_table", "id"], "left_semi").groupBy("src_table", "load_no").agg(F.countDistinct("id").alias("n_repeats"))
+
+
+QUERIES |= {"p2_found": p2_found, "p2_repeats_per_load": p2_repeats_per_load}
+_DIGEST = "regexp_replace(regexp_replace(lower({0}), '^\\s*sha-?256\\s*[:=]?', ''), '[^0-9a-f]', '', 'g')"
+ORACLE["p2_repeats_per_load"] = f"""
+WITH rows AS (
+  SELECT 'import_batches' AS src_table, id, coalesce(load_no, 0) AS load_no, {_DIGEST.format("content_sha256")} AS key FROM import_batches
+  UNION ALL SELECT 'document_observations', id, coalesce(load_no, 0), {_DIGEST.format("binary_sha256")} FROM document_observations
+),
+one AS (SELECT src_table, id, key, min(load_no) AS load_no FROM rows WHERE key <> '' AND id IS NOT NULL GROUP BY ALL),
+first AS (SELECT src_table, key, min(load_no) AS first FROM one GROUP BY ALL),
+found AS (SELECT DISTINCT one.src_table, one.id FROM one JOIN first USING (src_table, key) WHERE one.load_no > first.first)
+SELECT src_table, load_no, count(DISTINCT id) AS n_repeats FROM one SEMI JOIN found USING (src_table, id) GROUP BY ALL"""

@@ -73,9 +73,10 @@ def signatures(tok: np.ndarray, owner: np.ndarray, rows: int) -> tuple[np.ndarra
     return pack(counts >= 1), pack(counts >= 2)
 
 
-def postings(sets: DataFrame, sketch: np.ndarray, sim: tuple[int, int] = SIM) -> DataFrame:
+def postings(sets: DataFrame, sketch: np.ndarray, sim: tuple[int, int] = SIM, frozen: bool = False) -> DataFrame:
     """Sets (seed, cid, load, grams) to the rows of their prefix tokens' blocks.
 
+    frozen says that the sketch is older than these sets, so tokens it doesn't know are kept.
     meta packs position, excess, load, stripe and whether the block pairs two different stripes.
     """
     shared = sets.sparkSession.sparkContext.broadcast(sketch)  # fixed size: 4 MB
@@ -95,9 +96,9 @@ def postings(sets: DataFrame, sketch: np.ndarray, sim: tuple[int, int] = SIM) ->
             tok, f, owner = tok[order], f[order], owner[order]
             pos = np.arange(len(tok)) - (np.cumsum(size) - size)[owner]
             n = size[owner]
-            keep = (pos < n - (p * n + q - 1) // q + 1) & (f > 1)  # a token seen once has no partner
+            keep = (pos < n - (p * n + q - 1) // q + 1) & (frozen | (f > 1))  # a token seen once has no partner
             tok, f, owner, pos = tok[keep], f[keep].astype(np.int64), owner[keep], pos[keep]
-            stripes = -(-f // BLOCK_ROWS)
+            stripes = np.maximum(1, -(-f // BLOCK_ROWS))
             rep = np.repeat(np.arange(len(tok)), stripes)  # one row unless the block is too large
             other = np.arange(len(rep)) - np.repeat(np.cumsum(stripes) - stripes, stripes)
             tok, owner, pos, s = tok[rep], owner[rep], pos[rep], stripes[rep].astype(np.uint64)
@@ -122,7 +123,7 @@ def _need(na: np.ndarray, nb: np.ndarray, p: int, q: int) -> np.ndarray:
 def block_candidates(cols: list[np.ndarray], sim: tuple[int, int], by_load: bool) -> tuple[np.ndarray, ...]:
     """Candidate pairs of complete blocks (rows sorted by block, size, class).
 
-    Returns (a, b, load of b): unordered classes with a < b, or with by_load (earlier, later, load).
+    Returns (a, b, load of a): classes with a < b, or with by_load (earlier, later, earlier load).
     """
     p, q = sim
     blk, n, cid, w1, w2, meta = cols
@@ -205,11 +206,11 @@ def block_candidates(cols: list[np.ndarray], sim: tuple[int, int], by_load: bool
     i, j = i[ok], j[ok]
     swap = load[i] > load[j] if by_load else cid[i] > cid[j]
     a, b = np.where(swap, j, i), np.where(swap, i, j)
-    return cid[a], cid[b], load[b]
+    return cid[a], cid[b], load[a]
 
 
 def candidates(rows: DataFrame, sim: tuple[int, int] = SIM, by_load: bool = False, partitions: int | None = None) -> DataFrame:
-    """Distinct candidate pairs (a, b, load_b) of the postings' blocks."""
+    """Distinct candidate pairs (a, b, load_a) of the postings' blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -221,7 +222,7 @@ def candidates(rows: DataFrame, sim: tuple[int, int] = SIM, by_load: bool = Fals
                 found = (found[0], found[1], np.zeros(len(found[0]), np.int64))
             if len(found[0]):
                 found = np.unique(np.stack(found), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(v) for v in found], names=["a", "b", "load_b"])
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in found], names=["a", "b", "load_a"])
 
         for b in batches:
             held.append([b.column(c).to_numpy(zero_copy_only=False) for c in range(b.num_columns)])
@@ -237,11 +238,11 @@ def candidates(rows: DataFrame, sim: tuple[int, int] = SIM, by_load: bool = Fals
 
     n = partitions or max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     blocks = rows.repartition(n, "blk").sortWithinPartitions("blk", "n", "cid", "meta")
-    return blocks.mapInArrow(run, "a bigint, b bigint, load_b bigint").distinct()
+    return blocks.mapInArrow(run, "a bigint, b bigint, load_a bigint").groupBy("a", "b").agg(F.min("load_a").alias("load_a"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, sim: tuple[int, int] = SIM) -> DataFrame:
-    """Candidates whose sets are really similar enough: (a, b, load_b, shared, size_a, size_b).
+    """Candidates whose sets are really similar enough: (a, b, load_a, shared, size_a, size_b).
 
     With sizes na and nb this is the same as an insert/delete distance of the sorted sets of at most
     (q - p) / (q + p) * (na + nb).
@@ -252,6 +253,6 @@ def verified(pairs: DataFrame, sets: DataFrame, sim: tuple[int, int] = SIM) -> D
     both = with_a.join(one.withColumnsRenamed({"cid": "b", "grams": "grams_b"}), "b")
     na, nb = F.size("grams_a"), F.size("grams_b")
     shared = F.size(F.array_intersect("grams_a", "grams_b"))
-    return both.select("a", "b", "load_b", shared.alias("shared"), na.alias("size_a"), nb.alias("size_b")).filter(
+    return both.select("a", "b", "load_a", shared.alias("shared"), na.alias("size_a"), nb.alias("size_b")).filter(
         F.col("shared") * (p + q) >= (F.col("size_a") + F.col("size_b")) * p
     )
