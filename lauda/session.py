@@ -52,7 +52,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of df."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def checked_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
