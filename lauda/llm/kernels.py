@@ -44,15 +44,23 @@ def compact(text: str | None) -> str:
 
 
 def words(text: str | None) -> list[str]:
-    """Runs of letters and digits in lower case without accents."""
+    """Runs of letters and digits in lower case. Accents are taken off when a word is hashed, which
+    happens once per distinct word."""
     if not text:
         return []
     t = text.lower()
-    if not t.isascii():
-        t = _MARKS.sub("", unicodedata.normalize("NFKD", t))
+    if not t.isascii() and not unicodedata.is_normalized("NFC", t):
+        t = unicodedata.normalize("NFC", t)
+        if _MARKS.search(t):  # marks without a composed form
+            t = _MARKS.sub("", unicodedata.normalize("NFKD", t))
     return _WORD.findall(t)
 
 
+def bare(word: str) -> str:
+    """A word without accents."""
+    return word if word.isascii() else _MARKS.sub("", unicodedata.normalize("NFKD", word))
+
+
 def _text(v) -> str | None:
     return v if isinstance(v, str) else None if v is None else json.dumps(v, sort_keys=True)
 
@@ -107,11 +115,24 @@ class WordHashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode()) | 1
+        h = self[word] = xxhash.xxh3_64_intdigest(bare(word).encode()) | 1
         return h
 
 
 HASHES = WordHashes()
+
+
+def hash_texts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes of all texts, offsets of the texts)."""
+    flat: list[int] = []
+    offsets = np.zeros(len(texts) + 1, np.int64)
+    get = HASHES.__getitem__
+    for k, t in enumerate(texts):
+        flat.extend(map(get, words(t)))
+        offsets[k + 1] = len(flat)
+    return np.array(flat, np.uint64), offsets
+
+
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
