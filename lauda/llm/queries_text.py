@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lauda.llm import tiling
+from lauda.llm import tiling, topics
 from lauda.session import table
 
 RUN_WORDS = 12
@@ -24,5 +24,25 @@ def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p8_found": p8_found, "p8_coverage": p8_coverage}
+def _area_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    areas = sorted(r.area_code for r in table(spark, sf_dir, "subject_areas").select("area_code").distinct().collect())
+    return topics.area_counts(docs, topics.train(docs, table(spark, sf_dir, "doc_labels"), areas))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _area_counts(spark, sf_dir).filter("area_code is not null")
+    return rows.filter(F.col("n_about") >= topics.SHARE * F.col("n_sentences")).select("doc_id", "area_code")
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Make-up of the corpus: sentences per area (null: none), documents that touch it and that are about it."""
+    rows = _area_counts(spark, sf_dir)
+    about = F.col("n_about") >= topics.SHARE * F.col("n_sentences")
+    return rows.groupBy("area_code").agg(
+        F.sum("n_about").alias("n_sentences"), F.count("*").alias("n_docs_touching"), F.count_if(about & F.col("area_code").isNotNull()).alias("n_docs_about")
+    )
+
+
+QUERIES = {"p8_found": p8_found, "p8_coverage": p8_coverage, "p9_found": p9_found, "p9_composition": p9_composition}
 ORACLE: dict[str, str] = {}
