@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lauda.llm import tiling, topics
-from lauda.session import table
+from lauda.llm import packing, tiling, topics
+from lauda.session import materialize, table
 
 RUN_WORDS = 12
 
@@ -44,5 +44,26 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p8_found": p8_found, "p8_coverage": p8_coverage, "p9_found": p9_found, "p9_composition": p9_composition}
+def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assignment of all documents to containers of each capacity."""
+    specs = table(spark, sf_dir, "packing_specs").select("spec_id", "capacity_tokens").distinct().orderBy("spec_id").collect()  # container kinds
+    counts = materialize(packing.token_counts(table(spark, sf_dir, "documents")), "token-counts")
+    buckets = max(1, -(-counts.count() // packing.BUCKET_ITEMS))
+    return packing.assignments(counts, [packing.Limits.of(r.spec_id, r.capacity_tokens) for r in specs], buckets)
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, documents, cut documents and fill per capacity."""
+    spec = table(spark, sf_dir, "packing_specs").select("spec_id", "capacity_tokens").distinct()
+    rows = p7_pack(spark, sf_dir)
+    bins = rows.groupBy("spec_id", "container_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("segments"))
+    cut = rows.filter("piece_no = 1").groupBy("spec_id").agg(F.count("*").alias("n_cut"))
+    out = bins.groupBy("spec_id").agg(F.count("*").alias("n_containers"), F.sum("n").alias("n_tokens"), F.max("n").alias("most_tokens"), F.max("segments").alias("most_segments"))
+    return out.join(F.broadcast(spec), "spec_id").join(cut, "spec_id", "left").select(
+        "spec_id", "n_containers", "n_tokens", "most_tokens", "most_segments", F.coalesce("n_cut", F.lit(0)).alias("n_cut"),
+        F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 4).alias("fill"),
+    )
+
+
+QUERIES = {"p7_pack": p7_pack, "p7_fill": p7_fill, "p8_found": p8_found, "p8_coverage": p8_coverage, "p9_found": p9_found, "p9_composition": p9_composition}
 ORACLE: dict[str, str] = {}
