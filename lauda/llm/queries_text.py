@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lauda.llm import packing, tiling, topics
+from lauda.llm import packing, scanfix, tiling, topics
 from lauda.session import materialize, table
 
 RUN_WORDS = 12
@@ -65,5 +65,14 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p7_pack": p7_pack, "p7_fill": p7_fill, "p8_found": p8_found, "p8_coverage": p8_coverage, "p9_found": p9_found, "p9_composition": p9_composition}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanfix.repair(table(spark, sf_dir, "pages"), table(spark, sf_dir, "question_staging"))
+
+
+def p3_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repaired text of every page and statement, in paragraphs."""
+    return scanfix.repair(table(spark, sf_dir, "pages"), table(spark, sf_dir, "question_staging"), with_text=True)
+
+
+QUERIES = {"p3_found": p3_found, "p3_text": p3_text, "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_found": p8_found, "p8_coverage": p8_coverage, "p9_found": p9_found, "p9_composition": p9_composition}
 ORACLE: dict[str, str] = {}
