@@ -42,12 +42,13 @@ CONFUSIONS = [
     ("p", "|o"), ("v", "\\/"), ("n", "ri"), ("d", "cl"), ("m", "rn"), ("u", "ii"), ("h", "li"),
     ("a", "@"), ("e", "c"), ("o", "0"), ("i", "!"), ("r", "�"), ("t", "f"), ("c", "("), ("l", "1"), ("s", "5"),
     ("g", "9"), ("b", "6"), ("ã", "ä"), ("ç", "¢"), ("q", "g"), ("í", "f"), ("b", "8"), ("z", "2"), ("s", "$"),
+    ("a", "4"),
 ]
 _MULTI = [(seen, real) for real, seen in CONFUSIONS if len(seen) > 1]
 #: One character per class of characters that are taken for one another.
 _CLASS = str.maketrans({
     "@": "a", "c": "e", "(": "e", "0": "o", "!": "i", "l": "i", "1": "i", "|": "i", "�": "r", "f": "t", "í": "t",
-    "5": "s", "$": "s", "9": "g", "q": "g", "6": "b", "8": "b", "2": "z", "ä": "ã", "¢": "e", "ç": "e",
+    "4": "a", "5": "s", "$": "s", "9": "g", "q": "g", "6": "b", "8": "b", "2": "z", "ä": "ã", "¢": "e", "ç": "e",
 })
 _ALIEN = re.compile(r"[^\W\d_][0-9@|\\!(¢$�]|[0-9@|\\!(¢$�][^\W\d_]|�|ä|¢|@")
 _ORDINAL = re.compile(r"^\d+(?:[ºªoa°]s?|h\d*|m|km|kg|%)$")
@@ -68,6 +69,36 @@ def skeleton(word: str) -> str:
     return w.translate(_CLASS)
 
 
+def flat_skeleton(word: str) -> str:
+    """Skeleton by single characters only, for words in which a run merely looks like a misread one."""
+    return word.translate(_CLASS)
+
+
+_BY_FIRST: dict[str, list[tuple[str, str]]] = {}
+for _real, _seen in CONFUSIONS:
+    _BY_FIRST.setdefault(_real, []).append((_real, _seen))
+
+
+def confusable(real: str, seen: str) -> bool:
+    """Whether confusions alone, at least one, turn the real word into the seen one."""
+    states = {(0, 0)}
+    done = False
+    while states:
+        following = set()
+        for i, j in states:
+            if i == len(real) and j == len(seen):
+                done = True
+                continue
+            if i < len(real):
+                if j < len(seen) and real[i] == seen[j]:
+                    following.add((i + 1, j + 1))
+                for _, s in _BY_FIRST.get(real[i], ()):
+                    if seen.startswith(s, j):
+                        following.add((i + 1, j + len(s)))
+        states = following
+    return done and real != seen
+
+
 def core(token: str) -> str:
     """A token in lower case without the punctuation around it."""
     t = token.rstrip(_OUTER + "!").lstrip(_OPEN)
@@ -106,7 +137,7 @@ def shape(line: str) -> str:
     """Line with capitalised words as X, upper case words as U and digits as 9."""
     out = []
     for t in line.split():
-        w = t.translate(str.maketrans({"0": "o", "1": "i", "5": "s", "9": "g", "6": "b", "!": "i", "@": "a", "(": "(", "�": "r"})) if _ALIEN.search(t) and not t.strip("()").isdigit() else t
+        w = t.translate(str.maketrans({"0": "o", "1": "i", "4": "a", "5": "s", "9": "g", "6": "b", "!": "i", "@": "a", "(": "(", "�": "r"})) if _ALIEN.search(t) and not t.strip("()").isdigit() else t
         letters = [c for c in w if c.isalpha()]
         if not letters:
             out.append(re.sub(r"\d+", "9", w))
@@ -212,6 +243,7 @@ class Model:
     lexicon: dict[str, int]
     shapes: dict[str, tuple[int, int]]
     skeletons: dict[str, str] = field(default_factory=dict)
+    flat: dict[str, str] = field(default_factory=dict)
     trigrams: Counter = field(default_factory=Counter)
     trie: Trie | None = None
 
@@ -226,6 +258,10 @@ class Model:
             w: n for w, n in self.lexicon.items() if n * RIVAL_RATIO > self.lexicon[top[skeleton(w)]] and (not _ALIEN.search(w) or w.isdigit())
         }
         self.skeletons = {s: w for s, w in top.items() if w in self.lexicon}
+        for w, n in sorted(self.lexicon.items()):
+            s = flat_skeleton(w)
+            if n > self.lexicon.get(self.flat.get(s, ""), 0):
+                self.flat[s] = w
         for w in self.lexicon:
             if w.isalpha():
                 x = f"^{w}$"
@@ -234,7 +270,10 @@ class Model:
         return self
 
     def is_head_shape(self, line: str) -> bool | None:
-        """True or False where the shape is known well enough, else None."""
+        """True or False where the shape is known well enough, else None. A head has a capitalised
+        word and no closing punctuation."""
+        if line.rstrip()[-1:] in ".:;?!," or not re.search(r"[^\W\d_]", line) or not any(c.isupper() for c in line):
+            return False
         edge, inner = self.shapes.get(shape_key(line), (0, 0))
         if edge + inner < 3:
             return None
@@ -256,6 +295,8 @@ def count_pass(texts: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             words: Counter = Counter()
             for t, n in raw.items():
+                if "!" in t or ("(" in t) != (")" in t):  # may hide a misread letter at its edge
+                    continue
                 w = core(t)
                 if w and any(c.isalpha() for c in w) and w[-1] not in HYPHENS and len(w) < 60:
                     words[w] += n
@@ -416,7 +457,7 @@ class Reader:
             alien = bool(_ALIEN.search(w)) or w.startswith("(") or "!" in w
             if not letters or self.known(w) or self.known(core(t)) or _ORDINAL.match(w) or ("@" in w and "." in w) or len(w) >= 60:
                 self.seen[t] = (False, None)
-            elif alien or not t.lstrip(_OPEN)[:1].isupper() or skeleton(w) in self.m.skeletons or t.isupper():
+            elif alien or not t.lstrip(_OPEN)[:1].isupper() or skeleton(w) in self.m.skeletons or flat_skeleton(w) in self.m.flat or t.isupper():
                 ask.append((t, w))
             else:
                 self.seen[t] = self._name(w)
@@ -430,7 +471,7 @@ class Reader:
         lex, s = self.m.lexicon, skeleton(w)
         if s in self.m.skeletons and all(self.m.skeletons[s] != x for x, _ in near):
             near = [*near, (self.m.skeletons[s], 3)]  # several confusions in one word
-        explained = [(lex[x], x) for x, _ in near if skeleton(x) == s and lex[x] >= MIN_COUNT]
+        explained = [(lex[x], x) for x, _ in near if confusable(x, w)]
         if explained:
             return True, max(explained)[1]
         if _ALIEN.search(w) and sum(c.isalpha() for c in w) >= 2:
