@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lauda.session import materialize
+
 MIN_SHARE = 2.5e-7
 MIN_COUNT = 3
 RIVAL_RATIO = 50
@@ -332,8 +334,6 @@ def count_pass(texts: DataFrame) -> DataFrame:
 
 def learn(texts: DataFrame) -> Model:
     """The model of all texts; its size is bounded by the relative frequency floor."""
-    from lauda.session import materialize
-
     counts = materialize(count_pass(texts), "scan-counts")
     totals = {r.kind: (r.n or 0) + (r.m or 0) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).collect()}
     floor = {k: max(MIN_COUNT, int(v * MIN_SHARE) + 1) for k, v in totals.items()}
@@ -663,7 +663,7 @@ def repair(pages: DataFrame, staging: DataFrame, with_text: bool = False) -> Dat
     """All three passes over pages (document_id, page_number, text) and staging (id, statement)."""
     texts = pages.select(F.lit(True).alias("is_page"), "text").unionByName(staging.select(F.lit(False).alias("is_page"), F.col("statement").alias("text")))
     model = learn(texts)
-    context = page_context(edge_lines(pages, model))
+    context = page_context(materialize(edge_lines(pages, model), "scan-edges"))  # read three times
     rows = pages.select("document_id", "page_number", "text").join(context, ["document_id", "page_number"], "left").select(
         F.lit("pages").alias("src_table"), F.col("document_id").alias("record_id"), "page_number", "text",
         F.coalesce("furniture", F.array().cast("array<int>")).alias("furniture"), "next_word", "prev_word",
