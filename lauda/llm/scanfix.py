@@ -152,6 +152,12 @@ def shape(line: str) -> str:
     return " ".join(out)
 
 
+def _could_be_head(line: str) -> bool:
+    """Cheap test before any pattern: no sentence end, and not a lower-case start."""
+    x = line.strip()
+    return x[-1] not in ".:;?!," and (x[0].isupper() or not x[0].isalpha()) and x[0] != "("
+
+
 def shape_key(line: str) -> str:
     return shape(line)[:160]
 
@@ -321,7 +327,7 @@ def count_pass(texts: DataFrame) -> DataFrame:
                 if page:
                     lines = [x for x in t.split("\n") if x.strip()]
                     for n, x in enumerate(lines):
-                        if len(x) <= 160 and (x.lstrip()[0].isupper() or not x.lstrip()[0].isalpha()):
+                        if len(x) <= 160 and _could_be_head(x):
                             h, num = head_of(x)
                             near = n < 2 or n >= len(lines) - 2
                             (edge if near else inner)[shape_key(h)] += 1
@@ -365,10 +371,13 @@ def edge_lines(pages: DataFrame, model: Model) -> DataFrame:
                     if not top and not bottom:
                         continue
                     outer = k == 0 or k == len(lines) - 1
-                    pure = page_number(x) if len(x) < 120 else None
+                    words = x.split()
+                    pure = page_number(x) if len(words) <= 6 and any(c.isdigit() for c in x) else None
+                    if not pure and not _could_be_head(x):
+                        out.append((doc, page, n, top, bottom, outer, False, False, None, None, False, words[0], words[-1]))
+                        continue
                     head, num = (x.strip(), None) if pure else head_of(x)
                     known = None if pure else m.is_head_shape(head)
-                    words = x.split()
                     out.append((doc, page, n, top, bottom, outer, bool(pure), bool(pure and pure[1]), pure[0] if pure else num, skeleton(_plain(head))[:120], known, words[0], words[-1]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _EDGE_TYPES)], names=_EDGE_NAMES) if out else pa.RecordBatch.from_arrays([pa.array([], t) for t in _EDGE_TYPES], names=_EDGE_NAMES)
 
@@ -388,7 +397,7 @@ def page_context(edges: DataFrame) -> DataFrame:
     with a third of all pages is summed map-side and its rows may be split by AQE.
     """
     e = edges.withColumn("offset", F.col("num") - F.col("page_number"))
-    heads = e.filter(~F.col("pure")).groupBy("document_id", "key").agg(F.count("*").alias("n_head"))
+    heads = e.filter("not pure and key is not null").groupBy("document_id", "key").agg(F.count("*").alias("n_head"))
     offsets = e.filter("num is not null and (outer or not pure)").groupBy("document_id", "offset").agg(F.count("*").alias("n_offset"))
     e = e.join(heads, ["document_id", "key"], "left").join(offsets, ["document_id", "offset"], "left")
     steady = F.coalesce(F.col("n_offset"), F.lit(0)) >= 2
@@ -526,7 +535,7 @@ def cut_left(line: str) -> str | None:
     return None
 
 
-def read_lines(reader: Reader, lines: list[str], furniture: set[int], next_word: str | None, prev_word: str | None) -> tuple[list[tuple[int, str]], str]:
+def read_lines(reader: Reader, lines: list[str], furniture: set[int], next_word: str | None, prev_word: str | None, with_text: bool = False) -> tuple[list[tuple[int, str]], str]:
     """([(line number, kind)], repaired text) of a page or statement whose tokens are prepared."""
     seen = reader.seen
     found = [(n, "furniture") for n in sorted(furniture)]
@@ -541,6 +550,10 @@ def read_lines(reader: Reader, lines: list[str], furniture: set[int], next_word:
         cut = bool(left) and (reader.is_cut(left, right) if right else True)
         if cut:
             found.append((n, "hyphen"))
+        if not left and not carried and not with_text:
+            if any(seen[t][0] for t in tokens):
+                found.append((n, "misread"))
+            continue
         bad = False
         fixed: list[str] = []
         for i, t in enumerate(tokens):
@@ -567,7 +580,8 @@ def read_lines(reader: Reader, lines: list[str], furniture: set[int], next_word:
                 elif better:
                     wrong = not (better.startswith(piece) if mine == "left" else better.endswith(piece))
             bad |= wrong
-            fixed.append(_repaired(whole if mine in ("all", "left") else t, better) if mine != "right" else "")
+            if with_text:
+                fixed.append(_repaired(whole if mine in ("all", "left") else t, better) if mine != "right" else "")
         if bad:
             found.append((n, "misread"))
         if n in blank_before and parts and not carried:
@@ -609,11 +623,13 @@ def statement_furniture(lines: list[str], model: Model) -> set[int]:
     for n, x in enumerate(lines, 1):
         if not x.strip() or len(x) > 160:
             continue
-        pure = page_number(x)
+        pure = page_number(x) if len(x) < 60 and any(c.isdigit() for c in x) else None
         if pure:
             if pure[1]:
                 out.add(n)
             continue
+        if not _could_be_head(x):
+            continue
         head, num = head_of(x)
         known = model.is_head_shape(head)
         if known or (num is not None and known is None):
@@ -640,7 +656,7 @@ def judged(rows: DataFrame, model: Model, with_text: bool = False) -> DataFrame:
             reader.prepare(todo)
             row, line, kind, text = [], [], [], []
             for n, (x, f, nxt, prev) in enumerate(zip(texts, furniture, b.column(5).to_pylist(), b.column(6).to_pylist())):
-                found, repaired = read_lines(reader, x, f, nxt, prev)
+                found, repaired = read_lines(reader, x, f, nxt, prev, with_text)
                 if with_text:
                     row.append(n)
                     text.append(repaired)
