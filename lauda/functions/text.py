@@ -33,7 +33,7 @@ def fold_keep_space(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """Runs of white space to one blank, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"[\s  ]+", " "))
+    return F.trim(F.regexp_replace(c, r"[\s\u00a0\u2000-\u200b\u3000]+", " "))
 
 
 def fold(c: Column) -> Column:
@@ -133,7 +133,11 @@ def is_caps_heading(c: Column) -> Column:
 def cut_artifacts(text: Column, patterns: list[str]) -> tuple[Column, Column]:
     """(text before the first line that matches a pattern, dropped part's pattern numbers)."""
     lines = F.split(text, "\n")
-    hit = [F.transform(lines, lambda x, p=p: x.rlike(p)) for p in patterns]
+    
+    def hits(pattern: str) -> Column:
+        return F.transform(lines, lambda x: x.rlike(pattern))
+
+    hit = [hits(p) for p in patterns]
     first = F.least(*[F.coalesce(F.nullif(F.array_position(h, True), F.lit(0)), F.size(lines) + 1) for h in hit], F.size(lines) + 1)
     kept = F.rtrim(F.array_join(F.slice(lines, 1, (first - 1).cast("int")), "\n"))
     codes = F.array_compact(F.array(*[F.when(F.array_contains(h, True), n) for n, h in enumerate(hit, 1)]))

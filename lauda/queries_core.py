@@ -1,4 +1,9 @@
-"""Queries for the engine's own operators and their oracle SQL."""
+"""Registry of the queries for the engine's own operators."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from lauda import queries_counts, queries_documents, queries_links, queries_records, queries_state
+
+_MODULES = [queries_documents, queries_records, queries_counts, queries_links, queries_state]
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
