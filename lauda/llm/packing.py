@@ -11,7 +11,7 @@ distinct counts (at most the capacity), not at the items. Documents are spread o
 of about BUCKET_ITEMS items by hash; a bucket is the unit of memory, and costs at most one container
 that is not full.
 
-Edge cases: texts that are null or give no token are no items; a piece never exceeds a limit, since
+Edge cases: texts that are null or give no token, and rows without doc_id, are no items; a piece never exceeds a limit, since
 the segment limit is at least 1 and the loss limit at least the capacity times loss_share, which
 must leave a single piece room: pieces are cut to the smaller of both. Equal documents are packed
 each; ties go to the smaller doc_id.
@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 TOKENIZER = os.environ.get("LAUDA_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 #: Fixed value: the split pattern the vocabulary was made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BUCKET_ITEMS = 50_000
+BUCKET_ITEMS = 10_000
+ASSIGNMENT = "spec_id int, container_id bigint, doc_id bigint, piece_no int, token_start int, n_tokens int, loss_tokens int"
 _BREAK = re.compile(r"\r?\n\s*\n")
 
 
@@ -78,7 +79,7 @@ def token_counts(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(n[at]), pa.array(prompt[at])], names=["doc_id", "n_tokens", "n_prompt"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, n_prompt bigint")
+    return docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, n_prompt bigint")
 
 
 def cut(doc: np.ndarray, tokens: np.ndarray, prompt: np.ndarray, limit: Limits) -> tuple[np.ndarray, ...]:
@@ -142,6 +143,8 @@ def pack(n: np.ndarray, loss: np.ndarray, limit: Limits) -> np.ndarray:
 
 def assignments(counts: DataFrame, limits: list[Limits], buckets: int) -> DataFrame:
     """(spec_id, container_id, doc_id, piece_no, token_start, n_tokens, loss_tokens)."""
+    if not limits:
+        return counts.sparkSession.createDataFrame([], ASSIGNMENT)
     by_spec = {x.spec_id: x for x in limits}
     specs = F.array(*[F.lit(x.spec_id) for x in limits])  # a handful of container kinds
     rows = counts.select("doc_id", "n_tokens", "n_prompt", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket")).select(
@@ -175,4 +178,4 @@ def assignments(counts: DataFrame, limits: list[Limits], buckets: int) -> DataFr
             yield done(pa.concat_tables(held))
 
     grouped = rows.repartition(max(len(limits), buckets * len(limits)), "spec_id", "bucket").sortWithinPartitions("spec_id", "bucket", "doc_id")
-    return grouped.mapInArrow(run, "spec_id int, container_id bigint, doc_id bigint, piece_no int, token_start int, n_tokens int, loss_tokens int")
+    return grouped.mapInArrow(run, ASSIGNMENT)

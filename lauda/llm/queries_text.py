@@ -26,13 +26,13 @@ def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _area_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    areas = sorted(r.area_code for r in table(spark, sf_dir, "subject_areas").select("area_code").distinct().collect())
+    areas = sorted(r.area_code for r in table(spark, sf_dir, "subject_areas").filter("area_code is not null").select("area_code").distinct().collect())
     return topics.area_counts(docs, topics.train(docs, table(spark, sf_dir, "doc_labels"), areas))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _area_counts(spark, sf_dir).filter("area_code is not null")
-    return rows.filter(F.col("n_about") >= topics.SHARE * F.col("n_sentences")).select("doc_id", "area_code")
+    return rows.filter(F.col("n_about") >= topics.SHARE * F.col("n_sentences")).select("doc_id", "area_code").distinct()
 
 
 def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assignment of all documents to containers of each capacity."""
-    specs = table(spark, sf_dir, "packing_specs").select("spec_id", "capacity_tokens").distinct().orderBy("spec_id").collect()  # container kinds
+    specs = table(spark, sf_dir, "packing_specs").filter("spec_id is not null and capacity_tokens > 0").select("spec_id", "capacity_tokens").distinct().orderBy("spec_id").collect()  # container kinds
     counts = materialize(packing.token_counts(table(spark, sf_dir, "documents")), "token-counts")
     buckets = max(1, -(-counts.count() // packing.BUCKET_ITEMS))
     return packing.assignments(counts, [packing.Limits.of(r.spec_id, r.capacity_tokens) for r in specs], buckets)
@@ -54,7 +54,7 @@ def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers, documents, cut documents and fill per capacity."""
-    spec = table(spark, sf_dir, "packing_specs").select("spec_id", "capacity_tokens").distinct()
+    spec = table(spark, sf_dir, "packing_specs").filter("spec_id is not null and capacity_tokens > 0").select("spec_id", "capacity_tokens").distinct()
     rows = p7_pack(spark, sf_dir)
     bins = rows.groupBy("spec_id", "container_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("segments"))
     cut = rows.filter("piece_no = 1").groupBy("spec_id").agg(F.count("*").alias("n_cut"))

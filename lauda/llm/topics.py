@@ -163,7 +163,7 @@ def fit(texts: list[str | None], labels: list[set[str]], areas: list[str]) -> Mo
     mask = np.array([[a in s for a in areas] for s in labels], bool).reshape(len(texts), len(areas))[doc]
     owner = mask / np.maximum(mask.sum(1, keepdims=True), 1)
     models = estimate(words, offsets, owner, v, areas, ids.bare)
-    for _ in range(ROUNDS):
+    for _ in range(ROUNDS if v and areas else 0):
         s = models.scores(words, offsets)
         own = np.where(mask, s, -np.inf)
         best = own.argmax(1) if len(own) else np.empty(0, int)
@@ -171,6 +171,8 @@ def fit(texts: list[str | None], labels: list[set[str]], areas: list[str]) -> Mo
         owner = np.zeros_like(s)
         owner[np.arange(len(s)), best] = (top >= MARGIN) & (s.max(1) - top < RIVAL)
         models = estimate(words, offsets, owner, v, areas, ids.bare)
+    if not v:
+        return models
     models.accept = calibrate(models.scores(words, offsets), per, labels, areas)
     return models
 
@@ -220,7 +222,7 @@ def area_counts(docs: DataFrame, models: Models) -> DataFrame:
         names = [*m.areas, None]
         for b in batches:
             words, offsets, per = flatten(b.column(1).to_pylist(), ids)
-            if len(offsets) < 2:
+            if len(offsets) < 2 or not m.areas:
                 continue
             s = m.scores(words, offsets)
             best = s.argmax(1)
@@ -234,4 +236,4 @@ def area_counts(docs: DataFrame, models: Models) -> DataFrame:
                 names=["doc_id", "area_code", "n_about", "n_sentences"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, area_code string, n_about int, n_sentences int")
+    return docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id bigint, area_code string, n_about int, n_sentences int")
