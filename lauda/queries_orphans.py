@@ -11,7 +11,7 @@ from lauda.session import table
 
 REFERENCES = (
     (o.Reference("question_occurrences", "document_version_id", "version", "ingested_at"), "question_occurrences"),
-    (o.Reference("document_versions", "predecessor_version_id", "version"), "document_versions"),
+    (o.Reference("document_versions", "predecessor_version_id", "version", "updated_at"), "document_versions"),
     (o.Reference("desktop_answer_suggestions", "question_id", "question", "ingested_at"), "desktop_answer_suggestions"),
 )
 TARGETS = (("document_versions", "version"), ("questions", "question"))
