@@ -586,7 +586,7 @@ def read_lines(reader: Reader, lines: list[str], furniture: set[int], next_word:
             found.append((n, "misread"))
         if n in blank_before and parts and not carried:
             parts.append("\n\n")
-        parts.append(" ".join(f for f in fixed if f) + " ")
+        parts.append(" ".join(f for f in fixed if f) + ("" if left and not cut and right else " "))
         carried = left if cut or left else None
     text = re.sub(r" *\n\n *", "\n\n", "".join(parts))
     return found, re.sub(r" {2,}", " ", text).strip()
