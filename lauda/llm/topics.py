@@ -5,7 +5,7 @@ with the background's. A sentence's score for an area is the difference of the p
 cross-entropies of background and area. Models are fitted on at most MAX_LABELLED labelled documents
 (those of smallest hash, so the sample doesn't depend on partitions): document labels are handed down
 to sentences in ROUNDS rounds, each giving a sentence to the label of its document that explains it
-best, or to none. Acceptance is calibrated per area on the labelled documents: the score from which
+best, or to none; the sentences given to none make a second background. Acceptance is calibrated per area on held-out halves of the labelled documents: the score from which
 a sentence counts is the one that makes the documents' areas agree best with the labels. A document
 is about every area that holds at least SHARE of its sentences.
 
@@ -35,7 +35,7 @@ SHARE = 0.25
 L1, L2 = 0.8, 0.3
 MARGIN, RIVAL = 0.15, 0.3
 DEFAULT_ACCEPT = 0.5
-GRID = np.round(np.arange(0.1, 1.0, 0.05), 2)
+GRID = np.round(np.arange(0.0, 1.0, 0.05), 2)
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _BLOCK = re.compile(r"\n\s*\n|\r\r+")
@@ -97,13 +97,16 @@ class Models:
 
     areas: list[str]
     vocabulary: dict[str, int]
-    uni: np.ndarray  # words + 1 (unknown), areas
+    uni: np.ndarray  # words + 1 (unknown), areas + 1 (about none)
     keys: np.ndarray  # sorted pair keys
-    bi: np.ndarray  # pairs, areas
+    bi: np.ndarray  # pairs, areas + 1
     accept: np.ndarray
 
     def scores(self, words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Per-token cross-entropy difference of every sentence and area."""
+        """Per-token cross-entropy of the better background less that of the area, per sentence and area.
+
+        Two backgrounds: all sentences (0 in the log ratios) and those about no area (the last column).
+        """
         if not len(words):
             return np.zeros((len(offsets) - 1, len(self.areas)), np.float32)
         v = len(self.vocabulary)
@@ -119,11 +122,14 @@ class Models:
             known = self.keys[at] == key
             token[known] = self.bi[at[known]]
         sums = np.add.reduceat(token, offsets[:-1], axis=0)
-        return sums / np.diff(offsets)[:, None]
+        sums /= np.diff(offsets)[:, None]
+        return sums[:, :-1] - np.maximum(sums[:, -1:], 0)
 
 
 def estimate(words: np.ndarray, offsets: np.ndarray, owner: np.ndarray, v: int, areas: list[str], vocabulary: dict[str, int]) -> Models:
-    """Models from sentences given to areas: owner is a weight matrix of sentences and areas."""
+    """Models from sentences given to areas: owner is a weight matrix of sentences and areas; what is
+    left of a sentence's weight goes to the model of sentences about none."""
+    owner = np.column_stack([owner, np.maximum(0, 1 - owner.sum(1))])
     per = np.diff(offsets)
     sent = np.repeat(np.arange(len(per)), per)
     key = words[:-1] * v + words[1:]
@@ -137,8 +143,8 @@ def estimate(words: np.ndarray, offsets: np.ndarray, owner: np.ndarray, v: int,
     pair_total = np.bincount(code, minlength=len(keys)).astype(float)
     head_total = np.maximum(np.bincount(left, minlength=v), 1)
     bg2 = L2 * pair_total / head_total[heads] + (1 - L2) * p0[tails]
-    uni, bi = np.zeros((v + 1, len(areas)), np.float32), np.zeros((len(keys), len(areas)), np.float32)
-    for a in range(len(areas)):
+    uni, bi = np.zeros((v + 1, owner.shape[1]), np.float32), np.zeros((len(keys), owner.shape[1]), np.float32)
+    for a in range(owner.shape[1]):
         w = owner[:, a]
         if not w.any():
             uni[:, a], bi[:, a] = -20, -20
@@ -154,7 +160,23 @@ def estimate(words: np.ndarray, offsets: np.ndarray, owner: np.ndarray, v: int,
 
 
 def fit(texts: list[str | None], labels: list[set[str]], areas: list[str]) -> Models:
-    """Models and acceptance from labelled documents."""
+    """Models of all labelled documents; acceptance from two halves, each judged by the models of the
+    other, since models know the word pairs of their own sentences too well."""
+    models = _rounds(texts, labels, areas)
+    halves = [range(h, len(texts), 2) for h in (0, 1)]
+    held_out = []
+    for mine, other in (halves, halves[::-1]):
+        m = _rounds([texts[n] for n in mine], [labels[n] for n in mine], areas)
+        ids = Ids()
+        ids.bare, ids.frozen = m.vocabulary, True
+        words, offsets, per = flatten([texts[n] for n in other], ids)
+        held_out.append((m.scores(words, offsets), per, [labels[n] for n in other]))
+    scores, per, real = zip(*held_out)
+    models.accept = calibrate(np.concatenate(scores), np.concatenate(per), [x for r in real for x in r], areas)
+    return models
+
+
+def _rounds(texts: list[str | None], labels: list[set[str]], areas: list[str]) -> Models:
     ids = Ids()
     words, offsets, per = flatten(texts, ids)
     ids.frozen = True
@@ -166,21 +188,18 @@ def fit(texts: list[str | None], labels: list[set[str]], areas: list[str]) -> Mo
     for _ in range(ROUNDS if v and areas else 0):
         s = models.scores(words, offsets)
         own = np.where(mask, s, -np.inf)
-        best = own.argmax(1) if len(own) else np.empty(0, int)
+        best = own.argmax(1)
         top = own[np.arange(len(own)), best]
         owner = np.zeros_like(s)
         owner[np.arange(len(s)), best] = (top >= MARGIN) & (s.max(1) - top < RIVAL)
         models = estimate(words, offsets, owner, v, areas, ids.bare)
-    if not v:
-        return models
-    models.accept = calibrate(models.scores(words, offsets), per, labels, areas)
     return models
 
 
 def calibrate(scores: np.ndarray, per: np.ndarray, labels: list[set[str]], areas: list[str]) -> np.ndarray:
     """Per area the middle of the scores that give the best F1 of documents against labels."""
     accept = np.full(len(areas), DEFAULT_ACCEPT, np.float32)
-    if not len(scores):
+    if not len(scores) or not areas:
         return accept
     best, doc = scores.argmax(1), np.repeat(np.arange(len(per)), per)
     for a, name in enumerate(areas):
@@ -190,7 +209,7 @@ def calibrate(scores: np.ndarray, per: np.ndarray, labels: list[set[str]], areas
         f1 = []
         for t in GRID:
             n = np.bincount(doc[(best == a) & (scores[:, a] >= t)], minlength=len(per))
-            got = (n >= SHARE * per) & (n > 0)
+            got = (n >= SHARE * per) & (n > 0)  # documents without sentences have none
             f1.append(2 * (got & real).sum() / max(1, got.sum() + real.sum()))
         at = np.flatnonzero(np.isclose(f1, max(f1)))
         accept[a] = GRID[at].mean()
