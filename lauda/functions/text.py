@@ -98,7 +98,7 @@ def question_text(c: Column) -> Column:
     """Statement as compared: newlines unified, header lines of parsers dropped, blanks squeezed, lower
     case, leading question number removed."""
     lines = F.split(F.regexp_replace(c, "\r\n?", "\n"), "\n")
-    lines = F.filter(F.transform(lines, squeeze), lambda x: (x != "") & ~x.rlike("(?i)^(concurso p[uú]blico.*|.*\\btipo [1-9][0-9]* ?[-–—]? ?p[aá]gina [0-9]+)$"))
+    lines = F.filter(F.transform(lines, squeeze), lambda x: (x != "") & ~x.rlike("(?iu)^(concurso p[uú]blico.*|.*\\btipo [1-9][0-9]* ?[-–—]? ?p[aá]gina [0-9]+)$"))
     return F.regexp_replace(F.lower(F.array_join(lines, " ")), r"^\s*(?:quest(?:ão|ao)|q\.?)[-_ ]*[0-9]+\s*[).\-:]?\s*", "")
 
 
