@@ -265,6 +265,7 @@ class Model:
         self.lexicon = {
             w: n for w, n in self.lexicon.items() if n * RIVAL_RATIO > self.lexicon[top[skeleton(w)]] and (not _ALIEN.search(w) or w.isdigit())
         }
+        self.lexicon = {w: n for w, n in self.lexicon.items() if not self._outdone(w, n)}
         self.skeletons = {s: w for s, w in top.items() if w in self.lexicon}
         for w, n in sorted(self.lexicon.items()):
             s = flat_skeleton(w)
@@ -277,6 +278,16 @@ class Model:
         self.trie = Trie.build([w for w in self.lexicon if len(w) > 1 and not any(c.isdigit() for c in w)])
         return self
 
+    def _outdone(self, word: str, n: int) -> bool:
+        """Whether undoing one confusion gives a word that is RIVAL_RATIO times as frequent."""
+        for real, seen in CONFUSIONS:
+            at = word.find(seen)
+            while at >= 0:
+                if self.lexicon.get(word[:at] + real + word[at + len(seen) :], 0) >= RIVAL_RATIO * n:
+                    return True
+                at = word.find(seen, at + 1)
+        return False
+
     def is_head_shape(self, line: str) -> bool | None:
         """True or False where the shape is known well enough, else None. A head has a capitalised
         word and no closing punctuation."""
