@@ -447,6 +447,8 @@ class Reader:
     def rough(self, token: str) -> str:
         """Lower case without outer punctuation, keeping what could be a misread letter."""
         c = core(token)
+        if "(" in token and ")" not in token and token.lstrip(_OPEN.replace("(", "")).startswith("(") and f"c{c}" in self.m.lexicon:
+            return f"({c}"  # an opening mark that isn't closed may be a letter
         if c in self.m.lexicon:
             return c
         t = token.rstrip(_OUTER).lower()
@@ -475,7 +477,7 @@ class Reader:
             w = self.rough(t)
             letters = sum(c.isalpha() for c in w)
             alien = bool(_ALIEN.search(w)) or w.startswith("(") or "!" in w
-            if not letters or self.known(w) or self.known(core(t)) or _ORDINAL.match(w) or ("@" in w and "." in w) or len(w) >= 60:
+            if not letters or self.known(w) or (w[0] != "(" and self.known(core(t))) or _ORDINAL.match(w) or ("@" in w and "." in w) or len(w) >= 60:
                 self.seen[t] = (False, None)
             elif alien or not t.lstrip(_OPEN)[:1].isupper() or skeleton(w) in self.m.skeletons or flat_skeleton(w) in self.m.flat or t.isupper():
                 ask.append((t, w))
