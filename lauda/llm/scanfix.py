@@ -114,7 +114,7 @@ def _plain(s: str) -> str:
 def page_number(text: str) -> tuple[int, bool] | None:
     """(number, unmistakable) of a line that is only a page number."""
     m = _NUMBER.match(text)
-    if not m:
+    if not m or any(c not in "-–—[]()|./•·" and not c.isspace() and not c.isalnum() for c in text):
         return None
     word = _plain(m.group(1) or "").replace("9", "g")
     if word and word not in _PAGE_WORDS and skeleton(word) not in {skeleton(w) for w in _PAGE_WORDS}:
@@ -158,6 +158,13 @@ def _could_be_head(line: str) -> bool:
     return x[-1] not in ".:;?!," and (x[0].isupper() or not x[0].isalpha()) and x[0] != "("
 
 
+def _looks_titled(line: str) -> bool:
+    """Two or more capitalised words and at least half of all words capitalised, numbers or marks."""
+    words = shape(line).split()
+    high = sum(w[0] in "XU9|–—-«(" for w in words)
+    return sum(c in "XU" for w in words for c in w[:2]) >= 2 and 2 * high >= len(words)
+
+
 def shape_key(line: str) -> str:
     return shape(line)[:160]
 
@@ -293,6 +300,8 @@ class Model:
         word and no closing punctuation."""
         if line.rstrip()[-1:] in ".:;?!," or not re.search(r"[^\W\d_]", line) or not any(c.isupper() for c in line):
             return False
+        if not _looks_titled(line):
+            return False
         edge, inner = self.shapes.get(shape_key(line), (0, 0))
         if edge + inner < 3:
             return None
