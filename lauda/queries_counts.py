@@ -9,7 +9,7 @@ from lauda.functions import stats
 from lauda.operators import facets, filters, sampling, windows
 from lauda.records import questions
 from lauda.session import table
-from lauda.sqltext import QUESTIONS, fold, percent
+from lauda.sqltext import QUESTIONS, fold, percent, wilson
 
 
 
@@ -177,7 +177,6 @@ fac AS (SELECT facet, value, count(*) AS n, bool_or(sel) AS selected FROM u WHER
 _FIELDS = ["matter", "subject", "level", "difficulty", "board", "organization", "role", "year", "explanation"]
 _DIMS = {"level": "level", "difficulty": "difficulty", "year": "year::varchar", "discipline": "discipline", "answer": "answer_status"}
 _TABLES = ["questions", "question_staging", "question_occurrences", "document_versions", "document_observations", "pages", "import_batches", "desktop_answer_suggestions"]
-_W = "1.959963984540054"
 
 ORACLE = {
     "count_facets": f"WITH {QUESTIONS}, {_F} SELECT * FROM fac",
@@ -217,4 +216,7 @@ ORACLE = {
     "allocation_by_area": """WITH s AS (SELECT area_code, count(*) AS n_docs FROM doc_labels GROUP BY 1), x AS (SELECT *, n_docs * 100 / sum(n_docs) OVER ()::double AS exact FROM s),
       f AS (SELECT *, floor(exact) AS fl, row_number() OVER (ORDER BY exact - floor(exact) DESC, n_docs DESC, area_code) AS rk, 100 - sum(floor(exact)) OVER () AS seats_left FROM x)
       SELECT area_code, n_docs, (fl + (rk <= seats_left)::int)::int AS share FROM f""",
+    "count_model_accuracy": f"""
+WITH t AS (SELECT model, provider, count(*) FILTER (coalesce(suggested_answer = confirmed_answer, false)) AS n_correct, count(*) AS n_total FROM desktop_answer_suggestions WHERE confirmed_answer IS NOT NULL GROUP BY 1, 2)
+SELECT *, {percent('n_correct', 'n_total')} AS accuracy, {wilson('n_correct', 'n_total', True)} AS ci_low, {wilson('n_correct', 'n_total', False)} AS ci_high FROM t""",
 }

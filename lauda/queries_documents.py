@@ -208,6 +208,11 @@ def _hits(c, markers):
     return "(" + " + ".join(f"(contains({c}, '{m}'))::int" for m in markers) + ")"
 
 
+def _tok(c):
+    stop = ", ".join(f"'{w}'" for w in text.STOP_TOKENS)
+    return f"list_distinct(list_filter(regexp_extract_all({fold_keep(c)}, '[a-z0-9]+'), lambda x: length(x) > 1 AND x NOT IN ({stop})))"
+
+
 ORACLE = {
     "doc_exact_dedup": f"SELECT sha256({fold(_T)}) AS fingerprint, min(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY 1",
     "doc_duplicate_counts": f"SELECT sum(c)::bigint AS n_rows, count(*) AS n_unique, (sum(c) - count(*))::bigint AS n_surplus, count(*) FILTER (c > 1) AS n_repeated FROM (SELECT count(*) AS c FROM documents GROUP BY sha256({fold(_T)}))",
@@ -269,4 +274,14 @@ n AS (SELECT *, row_number() OVER (ORDER BY phase, h, doc_id) AS rn FROM b)
 SELECT doc_id, phase FROM n WHERE phase = 1 OR rn <= 50""",
     "doc_missing_patterns": "SELECT array_to_string(list_filter([CASE WHEN text IS NULL THEN 'text' END, CASE WHEN lang IS NULL THEN 'lang' END, CASE WHEN source IS NULL THEN 'source' END, CASE WHEN collected_at IS NULL THEN 'collected_at' END], lambda x: x IS NOT NULL), ',') AS missing, count(*) AS n FROM documents GROUP BY 1",
     "doc_token_cost": "SELECT doc_id, greatest(1, ceil(strlen(coalesce(text, '')) / 3.0))::int AS n_tokens, round(greatest(1, ceil(strlen(coalesce(text, '')) / 3.0))::int * 0.000002::double, 8) AS cost FROM documents",
+    "doc_token_match": f"""
+WITH t AS (SELECT doc_id, {_tok("coalesce(source, '')")} AS a, {_tok("concat_ws(' ', source, doc_kind)")} AS b FROM documents)
+SELECT doc_id, round(CASE WHEN len(list_distinct(a || b)) > 0 THEN len(list_intersect(a, b))::double / len(list_distinct(a || b)) END, 6) AS jaccard,
+  coalesce(len(list_intersect(a, b)) >= 2 AND (len(list_intersect(a, b))::double / nullif(len(list_distinct(a || b)), 0)) >= 0.55, CASE WHEN len(list_intersect(a, b)) < 2 THEN false END) AS matches,
+  least(8, len(list_filter(b, lambda x: regexp_matches(x, '[0-9]'))))::int AS evidence FROM t""",
+    "doc_artifact_cut": """
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+h AS (SELECT doc_id, ls, list_transform(ls, lambda x: regexp_matches(x, '^Indique o que')) AS h1, list_transform(ls, lambda x: regexp_matches(x, '^Com base no texto')) AS h2 FROM l),
+f AS (SELECT *, least(coalesce(list_position(h1, true), len(ls) + 1), coalesce(list_position(h2, true), len(ls) + 1)) AS k FROM h)
+SELECT doc_id, length(rtrim(array_to_string(ls[1:k - 1], chr(10)), ' '))::int AS n_kept, array_to_string(list_filter([CASE WHEN list_contains(h1, true) THEN 1 END, CASE WHEN list_contains(h2, true) THEN 2 END], lambda x: x IS NOT NULL), ',') AS codes FROM f""",
 }

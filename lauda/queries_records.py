@@ -181,6 +181,14 @@ _O = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY inge
 _KEY = "nullif(trim(lower({0})), '')"
 _IN_LETTERS = "list_contains(letters, correct_answer)"
 
+
+
+def _qtext(c):
+    lines = f"list_transform(string_split(regexp_replace({c}, '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: {squeeze('x')})"
+    kept = f"list_filter({lines}, lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(concurso p[uú]blico.*|.*\\btipo [1-9][0-9]* ?[-–—]? ?p[aá]gina [0-9]+)$'))"
+    return f"regexp_replace(lower(array_to_string({kept}, ' ')), '^\\s*(?:quest(?:ão|ao)|q\\.?)[-_ ]*[0-9]+\\s*[).:-]?\\s*', '')"
+
+
 ORACLE = {
     "question_flags": f"""
 WITH {QUESTIONS}, f AS (SELECT list_filter([
@@ -253,4 +261,13 @@ SELECT document_id, bool_or(bad) AS out_of_order, count(*) AS n_rows FROM l GROU
     "question_public_view": f"""
 WITH {QUESTIONS} SELECT id, sha256(CASE WHEN length(statement) > 160 THEN substring(statement, 1, 160) || '…' ELSE statement END) AS statement_sha, least(n_pages, 32)::int AS n_pages FROM q""",
     "question_scope_ids": f"WITH {QUESTIONS} SELECT id, level FROM q WHERE {fold('level')} = 'fundamental' AND contains({fold('statement')}, 'conforme')",
+    "question_fingerprints": f"""
+WITH {QUESTIONS}, t AS (SELECT id, {_qtext('statement')} AS st, list_transform(texts, lambda x: regexp_replace(lower({squeeze('x')}), '^\\s*[a-h]\\s*[).:-]\\s*', '')) AS alts FROM q)
+SELECT id, sha256(regexp_replace({fold_keep('st')}, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS statement_fp,
+  sha256('{{"alternatives":' || to_json(alts)::varchar || ',"statement":' || to_json(st)::varchar || '}}') AS exact_fp,
+  sha256('{{"alternatives":' || to_json(list_sort(alts))::varchar || ',"statement":' || to_json(st)::varchar || '}}') AS invariant_fp FROM t""",
+    "question_mask": f"""
+WITH {QUESTIONS}, k AS (SELECT id, list_filter([CASE WHEN matter IS NOT NULL THEN 'matter' END, CASE WHEN subject IS NOT NULL THEN 'subject' END, CASE WHEN level IS NOT NULL THEN 'level' END], lambda x: x IS NOT NULL) AS known,
+  ('0x' || substring(sha256('mask' || id), 1, 8))::bigint AS h FROM q)
+SELECT id, CASE WHEN len(known) > 0 THEN known[(h % len(known)) + 1] END AS masked_field FROM k""",
 }
