@@ -215,3 +215,67 @@ def repair_hyphenation(text: str) -> str:
         return a + b if d == "­" or (a + b).casefold() in plain else m.group()
 
     return _JOIN.sub(fix, text)
+
+
+_MARK = re.compile(r"^\s*\{(\d{1,3})\}\s*$")
+
+
+def marked_questions(text: str) -> list[tuple]:
+    """(number, statement, n_alternatives, alternatives, answer) of texts whose questions open with a
+    {NN} line and end with a line of five or more #; questions of fewer than two alternatives and
+    questions without their end are left out."""
+    out = []
+    cur: tuple[int, list[str], list[tuple[str, list[str]]]] | None = None
+    for x in text.splitlines():
+        if m := _MARK.match(x):
+            cur = (int(m.group(1)), [], [])
+        elif cur and re.match(r"^\s*#{5,}\s*$", x):
+            if len(cur[2]) >= 2:
+                out.append((cur[0], " ".join(cur[1]), len(cur[2]), "|".join(f"{a}:{' '.join(t)}" for a, t in cur[2]), None))
+            cur = None
+        elif cur and x.strip():
+            if m := _ALT.match(x):
+                cur[2].append((m.group(1), [m.group(2).strip()]))
+            elif cur[2]:
+                cur[2][-1][1].append(x.strip())
+            else:
+                cur[1].append(x.strip())
+    return out
+
+
+_GRID = re.compile(r"^\s*(.+?)\s*[-–—]\s*(?:tipo|prova)\s*([1-9]\d*)\s*(?:\(([^)]*)\)|[-–—]\s*(.+?))?(?:\s+folha\s*:\s*\d+)?\s*$", re.I)
+
+
+def answer_grids(text: str) -> list[tuple]:
+    """(grid, label, variant, turn, number, answer, annulled) of a key with one grid per heading
+    'role – Tipo n (turn)'. A number that a grid gives two different answers is left out."""
+    out: dict[tuple, tuple] = {}
+    bad: set[tuple] = set()
+    grid, head, waiting = 0, None, []
+    for line in text.splitlines():
+        if m := _GRID.match(line):
+            key = (m.group(1).strip(), int(m.group(2)), (m.group(3) or m.group(4) or "").strip() or None)
+            grid, head, waiting = grid + 1, key, []
+            continue
+        if head is None or not line.strip():
+            continue
+        if _NUMBERS.match(line):
+            waiting = re.findall(r"\d{1,3}", line)
+            continue
+        letters = re.findall(r"[A-HX*]", line, re.I) if _LETTERS.match(line) else []
+        if waiting and len(letters) == len(waiting):
+            pairs, waiting = list(zip(waiting, letters)), []
+        else:
+            pairs = _INLINE.findall(line)
+            if not pairs or _INLINE.sub("", line).strip():
+                continue
+        for n, a in pairs:
+            e = _entry(n, a)
+            k = (*head, e[0])
+            if k in out and out[k][1:] != (*head, *e):
+                bad.add(k)
+            out.setdefault(k, (grid, *head, *e))
+    return [v for k, v in out.items() if k not in bad]
+
+
+GRID_SCHEMA = "grid int, label string, variant int, turn string, number int, answer string, annulled boolean"

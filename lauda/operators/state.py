@@ -94,3 +94,32 @@ class StageTable:
         if not p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
             make().write.mode("overwrite").parquet(at)
         return self.spark.read.parquet(at)
+
+
+def carry_forward(new: DataFrame, old: DataFrame, fingerprint: str, decision: str, fields: list[str]) -> DataFrame:
+    """Decisions of old rows on new rows of the same decision fingerprint; an exported decision comes
+    back as approved. Fingerprints decided differently before carry nothing."""
+    d = F.when(F.col(decision) == "exported", "approved").otherwise(F.col(decision))
+    o = old.filter(F.col(decision).isNotNull()).groupBy(fingerprint).agg(
+        F.count_distinct(d).alias("_n"), F.min(d).alias("_d"), *[F.min_by(f, F.struct(decision, f)).alias(f"_{f}") for f in fields]
+    ).filter("_n = 1")
+    j = new.join(o, fingerprint, "left")
+    return j.select(*[F.coalesce(F.col("_d"), F.col(decision)).alias(decision) if c == decision else F.coalesce(F.col(c), F.col(f"_{c}")).alias(c) if c in fields else F.col(c) for c in new.columns], F.col("_d").isNotNull().alias("carried"))
+
+
+def invalidate(groups: DataFrame, members: DataFrame, changed: DataFrame, group: str, key: str) -> DataFrame:
+    """Groups with a changed member go back to needs_review."""
+    hit = members.join(changed.select(key).distinct(), key, "left_semi").select(group).distinct().withColumn("_hit", F.lit(True))
+    return groups.join(hit, group, "left").withColumn("status", F.when(F.col("_hit"), "needs_review").otherwise(F.col("status"))).drop("_hit")
+
+
+def approved_unchanged(current: DataFrame, approvals: DataFrame, key: str, content: Column) -> DataFrame:
+    """Approved rows whose content hash is still the approved one."""
+    return current.withColumn("_h", F.sha2(content, 256)).join(approvals.select(key, F.col("content_sha256").alias("_a")), key).filter(F.col("_h") == F.col("_a")).drop("_h", "_a")
+
+
+def resume(source: DataFrame, done: DataFrame, key: str, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(next rows in key order up to the limit, one row with what remains after them)."""
+    left = source.join(done.select(key).distinct(), key, "left_anti")
+    batch = left.orderBy(key).limit(limit)
+    return batch, left.agg(F.greatest(F.count("*") - limit, F.lit(0)).alias("n_remaining"))

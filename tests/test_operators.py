@@ -196,3 +196,53 @@ def test_facets(spark):
     df = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), (None, "x")], "f string, g string")
     got = rows(facets.skip_one_facets(df, {"f": F.col("f"), "g": F.col("g")}, {"f": F.col("f") == "a", "g": F.col("g") == "x"}), "facet", "value", "n", "selected")
     assert got == [("f", "a", 1, True), ("f", "b", 1, False), ("g", "x", 1, True), ("g", "y", 1, False)]
+
+
+def test_marked_questions_and_grids():
+    t = "{12}\nQual?\nA) um\nB) dois\n#####\n{13}\nSem fim\nA) x\nB) y\n{14}\nSó uma\nA) x\n#####"
+    assert parsers.marked_questions(t) == [(12, "Qual?", 2, "A:um|B:dois", None)]
+    g = "Analista – Tipo 1 (Manhã)\n1 2 3\nA B *\nAnalista – Tipo 2 (Manhã)\n1 2 3\nC D E\nTécnico – Tipo 1\n1 - A 2 - B\n1 - C"
+    got = parsers.answer_grids(g)
+    assert [(x[1], x[2], x[3], x[4], x[5]) for x in got] == [("Analista", 1, "Manhã", 1, "A"), ("Analista", 1, "Manhã", 2, "B"), ("Analista", 1, "Manhã", 3, None), ("Analista", 2, "Manhã", 1, "C"), ("Analista", 2, "Manhã", 2, "D"), ("Analista", 2, "Manhã", 3, "E"), ("Técnico", 1, None, 2, "B")]
+
+
+def test_segments(spark):
+    from lauda.operators import segments
+
+    found = spark.createDataFrame([("d", 1, 1), ("d", 3, 2), ("d", 2, 3), ("d", 2, 4), ("d", 9, 5)], "d string, n int, o int")
+    exp = spark.createDataFrame([("d", 1, 5)], "d string, first int, last int")
+    assert rows(segments.number_exceptions(found, exp, "d", "n", "o"), "n", "exception") == [(2, "duplicate"), (2, "out_of_order"), (4, "missing"), (5, "missing"), (9, "out_of_range")]
+    assert rows(segments.segmentation_metrics(found, exp, "d", "n"), "precision", "coverage") == [(0.75, 0.6)]
+    grids = parsers.expand(spark.createDataFrame([("d", "Analista – Tipo 1 (Manhã)\n1 2\nA B\nTécnico – Tipo 1 (Manhã)\n1 2\nC D\nAnalista – Tipo 2 (Tarde)\n1 2\nE A")], "d string, t string"), "d", "t", parsers.answer_grids, parsers.GRID_SCHEMA)
+    want = spark.createDataFrame([("d", 1, "manhã", "Analista Judiciário")], "d string, variant int, turn string, role string")
+    assert rows(segments.choose_grid(grids, want, "d"), "grid") == [(1,)]
+
+
+def test_decisions(spark):
+    old = spark.createDataFrame([("f1", "exported", "ana"), ("f2", "approved", "bia"), ("f2", "rejected", "bia")], "fp string, status string, reviewer string")
+    new = spark.createDataFrame([("f1", "pending", None), ("f2", "pending", None), ("f3", "pending", None)], "fp string, status string, reviewer string")
+    assert rows(state.carry_forward(new, old, "fp", "status", ["reviewer"]), "fp", "status", "reviewer", "carried") == [("f1", "approved", "ana", True), ("f2", "pending", None, False), ("f3", "pending", None, False)]
+    g = spark.createDataFrame([("g1", "confirmed"), ("g2", "confirmed")], "g string, status string")
+    m = spark.createDataFrame([("g1", "a"), ("g2", "b")], "g string, k string")
+    assert rows(state.invalidate(g, m, spark.createDataFrame([("b",)], "k string"), "g", "k"), "g", "status") == [("g1", "confirmed"), ("g2", "needs_review")]
+    batch, left = state.resume(spark.createDataFrame([(n,) for n in range(9)], "k int"), spark.createDataFrame([(0,), (1,)], "k int"), "k", 3)
+    assert rows(batch, "k") == [(2,), (3,), (4,)] and left.first().n_remaining == 4
+
+
+def test_fetch_boundary(spark):
+    from lauda.sources import fetch
+
+    pages = spark.createDataFrame([("https://a.org/x",), ("https://a.org/adm/y",), ("https://b.org/z",)], "url string")
+    rules = spark.createDataFrame([("a.org", "/", True), ("a.org", "/adm", False)], "host string, prefix string, allow boolean")
+    ok = fetch.allowed_by_robots(pages, rules)
+    assert rows(ok, "url") == [("https://a.org/x",), ("https://b.org/z",)]
+
+    def get(url, etag):
+        if url.endswith("z"):
+            raise OSError("down")
+        return (304, etag, None) if etag else (200, "t", b"new")
+
+    cache = spark.createDataFrame([("https://a.org/x", "e1", b"old")], "url string, etag string, body binary")
+    got = {r.url: r for r in fetch.fetch(ok, cache, get, 0.0, 1).collect()}
+    assert bytes(got["https://a.org/x"].body) == b"old" and got["https://a.org/x"].status == 304
+    assert got["https://b.org/z"].attempts == 2 and "down" in got["https://b.org/z"].error
