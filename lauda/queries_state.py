@@ -128,6 +128,43 @@ def order_strata(spark, sf_dir):
     return windows.per_stratum(d, ["doc_kind", "lang"], "doc_id", "strata")
 
 
+def _expected(spark, sf_dir):
+    """Expected number range of each document: its first load's questions."""
+    q = table(spark, sf_dir, "questions").filter("document_id is not null and question_number is not null")
+    first = q.groupBy("document_id").agg(F.min("load_no").alias("load_no"))
+    return q.join(first, ["document_id", "load_no"]).groupBy("document_id").agg(F.min("question_number").alias("first"), F.max("question_number").alias("last"))
+
+
+def state_number_exceptions(spark, sf_dir):
+    """Missing, repeated and misplaced question numbers per document."""
+    from lauda.operators.segments import number_exceptions
+
+    q = table(spark, sf_dir, "questions").filter("document_id is not null").select("document_id", "question_number", F.struct("created_at", "id").alias("o"))
+    return number_exceptions(q, _expected(spark, sf_dir), "document_id", "question_number", "o")
+
+
+def state_segmentation(spark, sf_dir):
+    from lauda.operators.segments import segmentation_metrics
+
+    q = table(spark, sf_dir, "questions").filter("document_id is not null and question_number is not null").select("document_id", "question_number")
+    return segmentation_metrics(q, _expected(spark, sf_dir), "document_id", "question_number")
+
+
+def state_carry_forward(spark, sf_dir):
+    """Decisions of earlier loads carried to later questions of the same fingerprint."""
+    q = table(spark, sf_dir, "questions").select("id", "load_no", F.lower(F.trim("fingerprint")).alias("fp"), F.lower(F.trim("status")).alias("status"), "reviewer")
+    old = q.filter("load_no < 4 and status in ('exported', 'approved', 'rejected')")
+    return state.carry_forward(q.filter("load_no >= 4"), old, "fp", "status", []).groupBy("status", "carried").agg(F.count("*").alias("n"))
+
+
+def state_invalidate(spark, sf_dir):
+    """Statement groups that a deleted question sends back to review."""
+    o = table(spark, sf_dir, "question_occurrences").select(F.col("statement_fingerprint").alias("g"), F.trim(F.lower("question_id")).alias("k")).filter("g is not null")
+    gone = table(spark, sf_dir, "questions").filter("deleted_at is not null").select(F.col("id").alias("k"))
+    groups = o.select("g").distinct().withColumn("status", F.lit("confirmed"))
+    return state.invalidate(groups, o, gone, "g", "k").groupBy("status").agg(F.count("*").alias("n"))
+
+
 QUERIES = {k: v for k, v in globals().items() if k.startswith(("state_", "order_")) and callable(v)}
 
 ORACLE = {
@@ -156,4 +193,27 @@ ORACLE = {
     "order_biggest": "WITH g AS (SELECT matter, board, count(*) AS n FROM question_staging WHERE board IS NOT NULL AND matter IS NOT NULL GROUP BY 1, 2) SELECT matter, board, n FROM (SELECT *, row_number() OVER (PARTITION BY matter ORDER BY n DESC, board) AS rn FROM g) WHERE rn = 1",
     "order_first_per_key": "SELECT equivalence_fingerprint, id, contest_id FROM (SELECT *, row_number() OVER (PARTITION BY equivalence_fingerprint ORDER BY created_at, id) AS rn FROM question_occurrences) WHERE rn = 1",
     "order_strata": "SELECT doc_kind, lang, doc_id FROM (SELECT doc_kind, coalesce(lang, '(none)') AS lang, doc_id, row_number() OVER (PARTITION BY doc_kind, coalesce(lang, '(none)') ORDER BY sha256('strata' || doc_id::varchar), doc_id) AS rn FROM documents) WHERE rn = 1",
+    "state_number_exceptions": """
+WITH q AS (SELECT *, min(load_no) OVER (PARTITION BY document_id) AS f FROM questions WHERE document_id IS NOT NULL AND question_number IS NOT NULL),
+e AS (SELECT document_id, min(question_number) AS a, max(question_number) AS b FROM q WHERE load_no = f GROUP BY 1),
+w AS (SELECT document_id, unnest(range(a, b + 1))::int AS question_number FROM e),
+l AS (SELECT document_id, question_number, lag(question_number) OVER (PARTITION BY document_id ORDER BY created_at, id) AS p FROM q)
+SELECT document_id, question_number, 'missing' AS exception FROM w ANTI JOIN q USING (document_id, question_number)
+UNION ALL SELECT document_id, question_number, 'duplicate' FROM q GROUP BY 1, 2 HAVING count(*) > 1
+UNION ALL SELECT DISTINCT q.document_id, q.question_number, 'out_of_range' FROM q JOIN e USING (document_id) WHERE q.question_number NOT BETWEEN e.a AND e.b
+UNION ALL SELECT DISTINCT document_id, question_number, 'out_of_order' FROM l WHERE p > question_number""",
+    "state_segmentation": """
+WITH q AS (SELECT *, min(load_no) OVER (PARTITION BY document_id) AS f FROM questions WHERE document_id IS NOT NULL AND question_number IS NOT NULL),
+e AS (SELECT document_id, min(question_number) AS a, max(question_number) AS b FROM q WHERE load_no = f GROUP BY 1),
+h AS (SELECT DISTINCT q.document_id, q.question_number, q.question_number BETWEEN e.a AND e.b AS ok FROM q JOIN e USING (document_id)),
+g AS (SELECT document_id, any_value(b - a + 1)::bigint AS n_expected, count(*) AS n_found, count(*) FILTER (ok) AS n_matched FROM h JOIN e USING (document_id) GROUP BY 1)
+SELECT *, round(n_matched::double / n_found, 6) AS precision, round(n_matched::double / n_expected, 6) AS coverage FROM g""",
+    "state_carry_forward": """
+WITH q AS (SELECT id, load_no, lower(trim(fingerprint)) AS fp, lower(trim(status)) AS status FROM questions),
+o AS (SELECT fp, min(d) AS d FROM (SELECT fp, CASE WHEN status = 'exported' THEN 'approved' ELSE status END AS d FROM q WHERE load_no < 4 AND status IN ('exported', 'approved', 'rejected')) GROUP BY 1 HAVING count(DISTINCT d) = 1)
+SELECT coalesce(o.d, q.status) AS status, o.d IS NOT NULL AS carried, count(*) AS n FROM q LEFT JOIN o USING (fp) WHERE load_no >= 4 GROUP BY 1, 2""",
+    "state_invalidate": """
+WITH o AS (SELECT statement_fingerprint AS g, trim(lower(question_id)) AS k FROM question_occurrences WHERE statement_fingerprint IS NOT NULL),
+h AS (SELECT g, bool_or(k IN (SELECT id FROM questions WHERE deleted_at IS NOT NULL)) AS hit FROM o GROUP BY 1)
+SELECT CASE WHEN hit THEN 'needs_review' ELSE 'confirmed' END AS status, count(*) AS n FROM h GROUP BY 1""",
 }
