@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -261,6 +262,7 @@ class Model:
     flat: dict[str, str] = field(default_factory=dict)
     trigrams: Counter = field(default_factory=Counter)
     trie: Trie | None = None
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def prepare(self) -> "Model":
         """Drop lexicon entries that look like misread forms of far more frequent ones; build the trie."""
@@ -451,6 +453,7 @@ class Reader:
     def __init__(self, model: Model):
         self.m = model
         self.seen: dict[str, tuple[bool, str | None]] = {}
+        self.bad: set[str] = set()
         self.reverse = [(seen, real) for real, seen in CONFUSIONS if seen.isalpha()]
 
     def rough(self, token: str) -> str:
@@ -479,10 +482,9 @@ class Reader:
         """Judge all new tokens of a batch together."""
         if len(self.seen) > self.LIMIT:
             self.seen.clear()
+            self.bad.clear()
         ask: list[tuple[str, str]] = []
-        for t in tokens:
-            if t in self.seen:
-                continue
+        for t in tokens - self.seen.keys():
             w = self.rough(t)
             letters = sum(c.isalpha() for c in w)
             alien = bool(_ALIEN.search(w)) or w.startswith("(") or "!" in w
@@ -491,12 +493,17 @@ class Reader:
             elif alien or not t.lstrip(_OPEN)[:1].isupper() or skeleton(w) in self.m.skeletons or flat_skeleton(w) in self.m.flat or t.isupper():
                 ask.append((t, w))
             else:
-                self.seen[t] = self._name(w)
+                self._note(t, self._name(w))
         if not ask:
             return
         found = self.m.trie.within([w for _, w in ask], [2 if len(w) > 3 else 1 for _, w in ask])
         for (t, w), near in zip(ask, found):
-            self.seen[t] = self._rank(t, w, near)
+            self._note(t, self._rank(t, w, near))
+
+    def _note(self, token: str, verdict: tuple[bool, str | None]) -> None:
+        self.seen[token] = verdict
+        if verdict[0]:
+            self.bad.add(token)
 
     def _rank(self, token: str, w: str, near: list[tuple[str, int]]) -> tuple[bool, str | None]:
         lex, s = self.m.lexicon, skeleton(w)
@@ -549,6 +556,17 @@ class Reader:
         return not (mark in "-‐‑" and len(a) > 2 and a in lex and b in lex)
 
 
+_READERS: dict[str, Reader] = {}
+
+
+def reader_of(model: Model) -> Reader:
+    """The reader of a model; a worker that runs several tasks judges a token once."""
+    if model.name not in _READERS:
+        _READERS.clear()
+        _READERS[model.name] = Reader(model)
+    return _READERS[model.name]
+
+
 def cut_left(line: str) -> str | None:
     """The last token of a line that ends in a hyphen after a letter."""
     t = line.rstrip()
@@ -573,7 +591,7 @@ def read_lines(reader: Reader, lines: list[str], furniture: set[int], next_word:
         if cut:
             found.append((n, "hyphen"))
         if not left and not carried and not with_text:
-            if any(seen[t][0] for t in tokens):
+            if not reader.bad.isdisjoint(tokens):
                 found.append((n, "misread"))
             continue
         bad = False
@@ -668,7 +686,7 @@ def judged(rows: DataFrame, model: Model, with_text: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        reader = Reader(m)
+        reader = reader_of(m)
         for b in batches:
             texts = [unicodedata.normalize("NFC", t).split("\n") if t else [] for t in b.column(3).to_pylist()]
             furniture = [set(f) if f is not None else statement_furniture(x, m) for f, x in zip(b.column(4).to_pylist(), texts)]
