@@ -42,11 +42,11 @@ def mcnemar_p(b: Column, c: Column) -> Column:
 
 def largest_remainder(sizes: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Add `share`: total seats by largest remainder (fraction, then size, then key)."""
-    s = sizes.crossJoin(F.broadcast(sizes.agg(F.sum(size).alias("_all"))))  # a one-row frame
-    s = s.withColumn("_exact", F.col(size) * F.lit(total) / F.col("_all")).withColumn("_floor", F.floor("_exact"))
+    everything = F.sum(size).over(Window.partitionBy(F.lit(0)))  # one row per stratum
+    s = sizes.withColumn("_exact", F.col(size) * F.lit(total) / everything).withColumn("_floor", F.floor("_exact"))
     left = F.lit(total) - F.sum("_floor").over(Window.partitionBy(F.lit(0)))
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy((F.col("_exact") - F.col("_floor")).desc(), F.col(size).desc(), F.col(key)))
-    return s.withColumn("share", (F.col("_floor") + F.when(rank <= left, 1).otherwise(0)).cast("int")).drop("_all", "_exact", "_floor")
+    return s.withColumn("share", (F.col("_floor") + F.when(rank <= left, 1).otherwise(0)).cast("int")).drop("_exact", "_floor")
 
 
 def token_cost(text: Column, price: float) -> tuple[Column, Column]:

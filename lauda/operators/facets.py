@@ -138,11 +138,11 @@ def coverage(df: DataFrame, by: list[str], covered: Column) -> DataFrame:
 
 
 def one_row(*frames: DataFrame) -> DataFrame:
-    """Independent one-row aggregates side by side."""
-    out = frames[0]
+    """Independent one-row aggregates side by side, joined on a constant key."""
+    out = frames[0].withColumn("_one", F.lit(1))
     for f in frames[1:]:
-        out = out.crossJoin(F.broadcast(f))  # one row each
-    return out
+        out = out.join(F.broadcast(f.withColumn("_one", F.lit(1))), "_one")  # one row each
+    return out.drop("_one")
 
 
 def facet_order(df: DataFrame) -> DataFrame:

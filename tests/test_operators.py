@@ -246,3 +246,15 @@ def test_fetch_boundary(spark):
     got = {r.url: r for r in fetch.fetch(ok, cache, get, 0.0, 1).collect()}
     assert bytes(got["https://a.org/x"].body) == b"old" and got["https://a.org/x"].status == 304
     assert got["https://b.org/z"].attempts == 2 and "down" in got["https://b.org/z"].error
+
+
+def test_neighbours_and_batches_across_ranges(spark):
+    df = spark.createDataFrame([("hot" if n % 3 else f"p{n % 7}", n) for n in range(300)], "d string, n int").repartition(5)
+    parts: dict[str, list[int]] = {}
+    for n in range(300):
+        parts.setdefault("hot" if n % 3 else f"p{n % 7}", []).append(n)
+    expected = sorted((d, x, v[i - 1] if i else None, v[i + 1] if i + 1 < len(v) else None) for d, v in parts.items() for i, x in enumerate(v))
+    got = windows.with_neighbours(df, ["d"], "n", ["n"]).select("d", "n", "prev_n", "next_n").collect()
+    assert sorted(map(tuple, got), key=lambda r: (r[0], r[1])) == expected
+    assert rows(windows.batches(df, ["n"], 7), "n", "batch_no") == [(n, n // 7) for n in range(300)]
+    assert windows.with_neighbours(df.limit(0), ["d"], "n", ["n"]).count() == 0
