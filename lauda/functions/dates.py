@@ -29,6 +29,7 @@ def slug_year(c: Column) -> Column:
 
 def periods(c: Column) -> Column:
     """Distinct (year, semester) from 2024/1 or from dates dd/mm/yyyy."""
+    c = F.regexp_replace(c, r"\s*/\s*", "/")
     term = F.transform(
         F.regexp_extract_all(c, F.lit(r"(?<![0-9/])((?:19|20)[0-9]{2}/[12])(?![0-9])"), 1),
         lambda x: F.struct(F.substring(x, 1, 4).cast("int").alias("year"), F.substring(x, 6, 1).cast("int").alias("semester")),

@@ -14,14 +14,15 @@ def percent(part: Column, whole: Column, digits: int = 3) -> Column:
 
 
 def wilson(successes: Column, trials: Column, digits: int = 3) -> tuple[Column, Column]:
-    """Wilson 95 % interval in percent, clamped to 0..100; null without trials."""
+    """Wilson 95 % interval in percent, clamped to 0..100; 0 without trials."""
     n, p = trials.cast("double"), F.try_divide(successes.cast("double"), trials.cast("double"))
     z2 = Z95 * Z95
     centre = p + F.try_divide(F.lit(z2), 2 * n)
     spread = Z95 * F.sqrt(F.try_divide(p * (1 - p), n) + F.try_divide(F.lit(z2), 4 * n * n))
     scale = 1 + F.try_divide(F.lit(z2), n)
     lo, hi = F.try_divide(centre - spread, scale), F.try_divide(centre + spread, scale)
-    return F.round(F.greatest(lo, F.lit(0.0)) * 100, digits), F.round(F.least(hi, F.lit(1.0)) * 100, digits)
+    low, high = F.round(F.greatest(lo, F.lit(0.0)) * 100, digits), F.round(F.least(hi, F.lit(1.0)) * 100, digits)
+    return F.when(n > 0, low).otherwise(0.0), F.when(n > 0, high).otherwise(0.0)
 
 
 def mcnemar_p(b: Column, c: Column) -> Column:

@@ -68,8 +68,8 @@ def words(c: Column) -> Column:
 
 #: Words that carry no identity when titles of documents are compared.
 STOP_TOKENS = (
-    "arquivo caderno com concurso concursos da das de definitivo definitiva do dos em exame gabarito gabaritos oficial "
-    "oficiais pdf preliminar prova provas tipo para por e a o os as na no nas nos um uma questoes resposta respostas"
+    "arquivo caderno com concurso concursos da das de definitivo definitiva do dos em exame exames fase gabarito gabaritos oficial pdf para por "
+    "processo processos prova provas questao questoes resposta respostas selecao selecoes seletiva seletivas seletivo seletivos sem"
 ).split()
 
 

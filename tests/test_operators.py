@@ -177,8 +177,12 @@ def test_classification(spark):
     assert list(spark.range(1).select(classify.link_type(F.lit("Gabarito"), F.lit("u")), classify.challenge(F.lit("<div class=cf-turnstile>")), classify.challenge(F.lit("<p>ok"))).first()) == ["answer_key", "captcha", None]
     ev = spark.createDataFrame([("d", "year", "a", True, "2020"), ("d", "year", "b", True, "2020"), ("d", "role", "a", True, "x"), ("d", "role", "b", True, "y"), ("d", "board", "t", False, "w")], "d string, f string, source string, strong boolean, value string")
     assert rows(classify.semantic_field(ev, "d", "f"), "f", "state", "vals") == [("board", "known", "w"), ("role", "conflict", None), ("year", "known", "2020")]
-    score = classify.navigation_score(F.lit("Provas da Prefeitura X 2020"), ["prefeitura x"], ["analista"], [2020], "fgv", ["licitacao"])
-    assert spark.range(1).select(score).first()[0] == 70 + 40 + 20
+    def score(title, url="https://e.org/x"):
+        c = classify.navigation_score(F.lit(title), F.lit(url), ["prefeitura x"], ["analista"], [2020], ["fgv"], r"\bprovas\b", r"\bpagina\b", r"\b(prova|provas|gabarito)\b", r"\blicitacao\b")
+        return spark.range(1).select(c).first()[0]
+
+    assert score("Provas da Prefeitura X 2020") == 70 + 40 + 25 + 20
+    assert score("Provas da Prefeitura X 2019") == 0 and score("Provas") == 0 and score("Prefeitura X licitação") == 0 and score("Prefeitura X", "https://e.org/a.pdf") == 0
 
 
 def test_pipeline(spark):
