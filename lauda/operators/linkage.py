@@ -96,3 +96,63 @@ def pools_in_order(decisions: list[DataFrame], key: str) -> DataFrame:
     for d in decisions[1:]:
         out = out.unionByName(d.join(out.select(key), key, "left_anti"))
     return out
+
+
+#: Weight of each field that both sides know strongly, of equal intervals, of a definitive key.
+KEY_WEIGHTS = {"board": 12, "concurso": 12, "year": 12, "organization": 8, "role": 10, "stage": 8, "turn": 8, "variant": 8}
+INTERVAL_WEIGHT, DEFINITIVE_BONUS, KEY_MINIMUM, KEY_MARGIN = 12, 8, 82, 8
+#: Fields without which a pair stays incomplete.
+KEY_REQUIRED = ("board", "concurso", "year", "role", "stage", "turn", "variant")
+
+
+def assess_keys(pairs: DataFrame) -> DataFrame:
+    """State and score of pairs of an exam (columns e_*) and an answer key (columns k_*).
+
+    Per field of KEY_WEIGHTS both sides have an array of values, null or empty where unknown, and a
+    flag `_weak` where all evidence is weak; `e_interval` and `k_interval` are structs (first, last);
+    `k_phase` is definitive, unknown or preliminary. Conflict: known strong sides are disjoint (roles:
+    no common token set) or the intervals differ. Incomplete: a required field lacks strong evidence,
+    or an interval lacks. Turns are asymmetric: a key without turns fits any exam, a key of one turn
+    fits an exam without, a key of several turns leaves such an exam incomplete.
+    """
+    from lauda.functions.text import tokens, tokens_match
+
+    bad, lacking, score = F.lit(False), F.lit(False), F.lit(0)
+    for f, w in KEY_WEIGHTS.items():
+        e, k = F.col(f"e_{f}"), F.col(f"k_{f}")
+        e_ok, k_ok = known(e) & ~F.col(f"e_{f}_weak"), known(k) & ~F.col(f"k_{f}_weak")
+        if f == "role":
+            agree = F.exists(e, lambda x: F.exists(k, lambda y: (x == y) | tokens_match(tokens(x), tokens(y))))
+        else:
+            agree = F.arrays_overlap(e, k)
+        both = e_ok & k_ok
+        bad = bad | (both & ~F.coalesce(agree, F.lit(False)))
+        if f == "turn":
+            lacking = lacking | (known(k) & F.col(f"k_{f}_weak")) | (~e_ok & k_ok & (F.size(k) > 1))
+        elif f in KEY_REQUIRED:
+            lacking = lacking | ~both
+        score = score + F.when(both & F.coalesce(agree, F.lit(False)), w).otherwise(0)
+    ei, ki = F.col("e_interval"), F.col("k_interval")
+    bad = bad | F.coalesce(ei != ki, F.lit(False))
+    lacking = lacking | ei.isNull() | ki.isNull()
+    score = score + F.when(ei == ki, INTERVAL_WEIGHT).otherwise(0) + F.when(F.col("k_phase") == "definitive", DEFINITIVE_BONUS).otherwise(0)
+    return pairs.withColumns({"state": F.when(bad, "conflict").when(lacking, "incomplete").otherwise("comparable"), "score": score.cast("int")})
+
+
+def select_keys(assessed: DataFrame, key: str, candidate: str) -> DataFrame:
+    """One decision per exam: the definitive pool is judged first, then keys of unknown phase; only
+    preliminary keys of sufficient score mean awaiting_definitive; ties and small leads are ambiguous."""
+    fit = (F.col("state") == "comparable") & (F.col("score") >= KEY_MINIMUM)
+    pool = F.when(fit & (F.col("k_phase") == "definitive"), 1).when(fit & (F.col("k_phase") == "unknown"), 2).when(fit, 3)
+    rows = assessed.withColumn("_pool", pool)
+    per = rows.groupBy(key).agg(F.min("_pool").alias("_best_pool"), F.count_if(F.col("state") == "incomplete").alias("_inc"), F.count_if(F.col("state") == "conflict").alias("_con"))
+    in_pool = rows.join(per.select(key, "_best_pool"), key).filter("_pool = _best_pool and _pool < 3")
+    top = in_pool.groupBy(key).agg(F.max(F.struct("score", candidate)).alias("_top"))
+    second = in_pool.join(top, key).filter(F.col(candidate) != F.col(f"_top.{candidate}")).groupBy(key).agg(F.max("score").alias("_second"))
+    j = per.join(top, key, "left").join(second, key, "left")
+    lead = F.col("_top.score") - F.col("_second")
+    outcome = (
+        F.when(F.col("_best_pool").isNull(), F.when(F.col("_inc") > 0, "incomplete").when(F.col("_con") > 0, "conflict").otherwise("insufficient_evidence"))
+        .when(F.col("_best_pool") == 3, "awaiting_definitive").when(lead < KEY_MARGIN, "ambiguous").otherwise("selected")
+    )
+    return j.select(key, outcome.alias("outcome"), F.when(outcome == "selected", F.col(f"_top.{candidate}")).alias("chosen"), F.col("_top.score").alias("best_score"), lead.alias("margin"))

@@ -262,3 +262,28 @@ def test_neighbours_and_batches_across_ranges(spark):
     assert sorted(map(tuple, got), key=lambda r: (r[0], r[1])) == expected
     assert rows(windows.batches(df, ["n"], 7), "n", "batch_no") == [(n, n // 7) for n in range(300)]
     assert windows.with_neighbours(df.limit(0), ["d"], "n", ["n"]).count() == 0
+
+
+def test_key_selection(spark):
+    fields = list(linkage.KEY_WEIGHTS)
+
+    def pair(exam, key, phase="definitive", interval=(1, 60), weak=(), **changed):
+        row = {"exam": exam, "key": key, "k_phase": phase, "e_interval": (1, 60), "k_interval": interval}
+        for f in fields:
+            row[f"e_{f}"], row[f"k_{f}"] = [f"{f} x"], changed.get(f, [f"{f} x"])
+            row[f"e_{f}_weak"], row[f"k_{f}_weak"] = False, f in weak
+        return row
+
+    schema = "exam string, key string, k_phase string, e_interval struct<first:int,last:int>, k_interval struct<first:int,last:int>, " + ", ".join(
+        f"e_{f} array<string>, k_{f} array<string>, e_{f}_weak boolean, k_{f}_weak boolean" for f in fields
+    )
+    data = [
+        pair("a", "k1"), pair("a", "k2", "preliminary"), pair("b", "k1"), pair("b", "k3"), pair("c", "k2", "preliminary"), pair("d", "k1", interval=(1, 50)),
+        pair("e", "k1", year=[]), pair("f", "k1", turn=[]), pair("g", "k1", "unknown"), pair("h", "k1", weak=("stage",)), pair("i", "k1", role=["role y"]),
+    ]
+    df = spark.createDataFrame(data, schema)
+    got = {r.exam: (r.outcome, r.chosen) for r in linkage.select_keys(linkage.assess_keys(df), "exam", "key").collect()}
+    assert got == {
+        "a": ("selected", "k1"), "b": ("ambiguous", None), "c": ("awaiting_definitive", None), "d": ("conflict", None), "e": ("incomplete", None), "f": ("selected", "k1"),
+        "g": ("selected", "k1"), "h": ("incomplete", None), "i": ("conflict", None),
+    }
