@@ -65,7 +65,7 @@ def features(texts: DataFrame, grams: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for b in batches:
+        for b in k.by_size(batches, len(kept), len(kept) + 1):
             srcs, bodies, alts = b.column(0).to_pylist(), b.column(len(kept)).to_pylist(), b.column(len(kept) + 1).to_pylist()
             rows, keys, docs = [], [], []
             for n, (src, body, alt) in enumerate(zip(srcs, bodies, alts)):

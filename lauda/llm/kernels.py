@@ -13,6 +13,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 
@@ -107,6 +108,28 @@ def copy_key(statement: str | None, alternatives: list[tuple[str, str]]) -> byte
     return xxhash.xxh3_128_digest("\x00".join([body, *(f"{a}\x01{t}" for a, t in alts)]).encode())
 
 
+BATCH_BYTES = 16 * 1024 * 1024
+
+
+def by_size(batches, *columns: int):
+    """Batches cut so that the texts of these columns stay near BATCH_BYTES: memory follows neither the
+    number of rows in a batch nor the length of the texts (a single longer text is a batch of its own)."""
+    for b in batches:
+        size = np.zeros(b.num_rows, np.int64)
+        for c in columns:
+            size += pc.fill_null(pc.binary_length(b.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if size.sum() <= BATCH_BYTES:
+            yield b
+            continue
+        start = total = 0
+        for n, s in enumerate(size.tolist()):
+            if total and total + s > BATCH_BYTES:
+                yield b.slice(start, n - start)
+                start, total = n, 0
+            total += s
+        yield b.slice(start)
+
+
 class WordHashes(dict):
     """Odd 64-bit hash per word, remembered for up to a bounded number of words."""
 

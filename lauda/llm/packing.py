@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lauda.llm.kernels import by_size
+
 #: Where the public tokenizer's ranks are; a parameter, read where the tasks run.
 TOKENIZER = os.environ.get("LAUDA_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 #: Fixed value: the split pattern the vocabulary was made with.
@@ -67,7 +69,7 @@ def token_counts(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in batches:
+        for b in by_size(batches, 1):
             n = np.zeros(b.num_rows, np.int64)
             prompt = np.zeros(b.num_rows, np.int64)
             for i, t in enumerate(b.column(1).to_pylist()):

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lauda.llm.kernels import by_size
 from lauda.session import materialize
 
 MIN_SHARE = 2.5e-7
@@ -339,7 +340,7 @@ def count_pass(texts: DataFrame) -> DataFrame:
             raw.clear(), edge.clear(), inner.clear()
             return out
 
-        for b in batches:
+        for b in by_size(batches, 1):
             for page, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if not t:
                     continue
@@ -382,7 +383,7 @@ def edge_lines(pages: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in by_size(batches, 2):
             out: list[tuple] = []
             for doc, page, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if not t:
@@ -687,7 +688,7 @@ def judged(rows: DataFrame, model: Model, with_text: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         reader = reader_of(m)
-        for b in batches:
+        for b in by_size(batches, 3):
             texts = [unicodedata.normalize("NFC", t).split("\n") if t else [] for t in b.column(3).to_pylist()]
             furniture = [set(f) if f is not None else statement_furniture(x, m) for f, x in zip(b.column(4).to_pylist(), texts)]
             todo: set[str] = set()

@@ -119,7 +119,7 @@ def seeded_documents(docs: DataFrame, bitmap: np.ndarray, seed: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        for b in batches:
+        for b in k.by_size(batches, 1):
             h, off = k.hash_texts(b.column(1).to_pylist())
             w, at = windows(h, off, seed)
             slot = (w >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)

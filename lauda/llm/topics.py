@@ -239,7 +239,7 @@ def area_counts(docs: DataFrame, models: Models) -> DataFrame:
         ids = Ids()
         ids.bare, ids.frozen = m.vocabulary, True
         names = [*m.areas, None]
-        for b in batches:
+        for b in k.by_size(batches, 1):
             words, offsets, per = flatten(b.column(1).to_pylist(), ids)
             if len(offsets) < 2 or not m.areas:
                 continue

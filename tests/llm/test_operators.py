@@ -334,3 +334,12 @@ def test_scanned_pages(spark):
     text = {(r.record_id, r.page_number): r.text for r in scanfix.repair(df, staging, with_text=True).collect()}
     assert text["x", 1] == "O licenciamento ambiental preserva a floresta e o bem-estar coletivo. A reciclagem"
     assert text["x", 2].startswith("do esgoto reduz") and text["s1", 0] == "O licenciamento preserva a floresta e o cerrado."
+
+
+def test_batches_are_cut_by_text_size(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(kernels, "BATCH_BYTES", 10)
+    b = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["aaaa", None, "bbbbbb", "c" * 50, "", "d"])], names=["n", "t"])
+    parts = list(kernels.by_size([b], 1))
+    assert [p.column(0).to_pylist() for p in parts] == [[0, 1, 2], [3], [4, 5]]
