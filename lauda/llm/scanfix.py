@@ -39,6 +39,8 @@ MIN_COUNT = 3
 RIVAL_RATIO = 50
 EDGE_SHARE = 0.9
 EDGE_LINES = 3
+#: Words looked up in the trie together.
+QUERY_BLOCK = 512
 HYPHENS = "-‐­¬‑"
 
 #: What a recognizer takes a letter for, several characters first.
@@ -217,6 +219,10 @@ class Trie:
         if not len(self.words):
             return out
         use = [n for n, q in enumerate(queries) if 0 < len(q) < 62]
+        if len(use) > QUERY_BLOCK:  # the frontier grows with the queries that run together
+            for c in range(0, len(queries), QUERY_BLOCK):
+                out[c : c + QUERY_BLOCK] = self.within(queries[c : c + QUERY_BLOCK], edits[c : c + QUERY_BLOCK])
+            return out
         if not use:
             return out
         masks = np.zeros((len(queries), len(self.alphabet)), np.uint64)

@@ -147,11 +147,11 @@ def block_candidates(cols: list[np.ndarray], sim: tuple[int, int], by_load: bool
     real = at < (start + count)[block][:, None]
     at = np.where(real, at, 0)
     pick = lambda v: np.where(real, v[at], v.dtype.type(0))
-    size, a1, a2 = pick(n.astype(np.uint16)), pick(w1.view(np.uint64)), pick(w2.view(np.uint64))
+    full = n.max(initial=0) < 4000 and (meta >> 16 & 0xFFFF).max(initial=0) < 255  # narrow arithmetic holds
+    size, a1, a2 = pick(n.astype(np.uint16 if full else np.int64)), pick(w1.view(np.uint64)), pick(w2.view(np.uint64))
     exc = pick(np.minimum(meta >> 16 & 0xFFFF, 255).astype(np.uint8))
-    full = exc.max(initial=0) < 255 and size.max(initial=0) < 4000
     o1, o2 = np.bitwise_or.reduce(a1, axis=1), np.bitwise_or.reduce(a2, axis=1)
-    most, low, high = exc.max(axis=1).astype(np.int64), np.where(real, size, 65535).min(axis=1).astype(np.int64), size.max(axis=1).astype(np.int64)
+    most, low, high = exc.max(axis=1).astype(np.int64), np.where(real, size.astype(np.int64), 1 << 40).min(axis=1), size.max(axis=1).astype(np.int64)
     end = (first + leaves)[block]
     out = []
 
@@ -164,7 +164,7 @@ def block_candidates(cols: list[np.ndarray], sim: tuple[int, int], by_load: bool
                 total = size[x][:, :, None] + size[y][:, None, :]
                 hit = bound.astype(np.uint16) * np.uint16(p + q) >= np.maximum(total * np.uint16(p), 1)
             else:  # very large sets: wide arithmetic, excess from the packed value
-                total = size[x].astype(np.int64)[:, :, None] + size[y].astype(np.int64)[:, None, :]
+                total = size[x][:, :, None] + size[y][:, None, :]
                 ex = pick(meta >> 16 & 0xFFFF)
                 ex = np.where(ex == 0xFFFF, 1 << 40, ex)
                 hit = (bound + np.minimum(ex[x][:, :, None], ex[y][:, None, :])) * (p + q) >= np.maximum(total * p, 1)

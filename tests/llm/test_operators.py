@@ -96,10 +96,11 @@ def test_set_join_finds_exactly_the_similar_pairs(spark, monkeypatch, block, hot
     assert got == {tuple(sorted((ids[a], ids[b]))) for a, b in _brute(sets)}
 
 
-def test_set_join_large_sets(spark):
+@pytest.mark.parametrize("size", [3000, 70_000])
+def test_set_join_large_sets(spark, size):
     r = random.Random(3)
-    base = r.sample(range(10**6), 3000)
-    sets = [sorted(base), sorted(base[:2000] + r.sample(range(10**6, 2 * 10**6), 300)), sorted(r.sample(range(10**6), 3000)), sorted(base[:1500])]
+    base = r.sample(range(10**6), size)
+    sets = [sorted(base), sorted(base[: size * 2 // 3] + r.sample(range(10**6, 2 * 10**6), size // 10)), sorted(r.sample(range(10**6), size)), sorted(base[: size // 2])]
     df = spark.createDataFrame([(1, n, 0, s) for n, s in enumerate(sets)], "seed bigint, cid bigint, load_no int, grams array<int>")
     found = setjoin.candidates(setjoin.postings(df, setjoin.frequency_sketch(df)))
     got = {(x.a, x.b) for x in setjoin.verified(found, df).collect()}
