@@ -3,9 +3,10 @@
 One bigram model per area and one of the background, each interpolated with its unigrams and those
 with the background's. A sentence's score for an area is the difference of the per-token
 cross-entropies of background and area. Models are fitted on at most MAX_LABELLED labelled documents
-(those of smallest hash, so the sample doesn't depend on partitions): document labels are handed down
-to sentences in ROUNDS rounds, each giving a sentence to the label of its document that explains it
-best, or to none; the sentences given to none make a second background. Acceptance is calibrated per area on held-out halves of the labelled documents: the score from which
+and MAX_CHARS characters (those of smallest hash, so the sample doesn't depend on partitions):
+document labels are handed down to sentences in ROUNDS rounds, each giving a sentence to the label of
+its document that explains it best, or to none; the sentences given to none make a second background.
+Acceptance is calibrated per area on held-out halves of the labelled documents: the score from which
 a sentence counts is the one that makes the documents' areas agree best with the labels. A document
 is about every area that holds at least SHARE of its sentences.
 
@@ -24,12 +25,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lauda.llm import kernels as k
+from lauda.session import materialize
 
 MAX_LABELLED = 8000
+MAX_CHARS = 64_000_000
 ROUNDS = 3
 SHARE = 0.25
 L1, L2 = 0.8, 0.3
@@ -225,7 +228,11 @@ def train(docs: DataFrame, labels: DataFrame, areas: list[str]) -> Models:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(MAX_LABELLED)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").select("text", "codes").toPandas()
+    joined = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")
+    n = F.length(F.coalesce("text", F.lit("")))
+    so_far = F.sum(n).over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id"))  # at most MAX_LABELLED rows
+    fits = joined.select("doc_id", so_far.alias("sum")).filter(F.col("sum") <= MAX_CHARS).select("doc_id").distinct()
+    rows = joined.join(F.broadcast(fits), "doc_id").orderBy("doc_id").select("text", "codes").toPandas()
     return fit(rows["text"].tolist(), [set(c) for c in rows["codes"]], areas)
 
 
