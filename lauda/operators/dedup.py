@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from itertools import permutations
@@ -37,13 +38,59 @@ def within_document(df: DataFrame, doc: str, number: str, text: str, order: str)
     )
 
 
-def alternatives_score(left: list[str], right: list[str]) -> float:
-    """Least similarity over the best assignment of alternatives (at most eight)."""
-    if len(left) != len(right) or not left or len(left) > 8:
+#: Similarity of equal and of strong alternatives; of a weak one with traces of extraction;
+#: share of the longer text that the shorter must make up; growth that shows an extraction fault.
+EQUAL, STRONG, WEAK, CONTAINED, GROWTH, GROWTH_CHARS = 0.90, 0.94, 0.72, 0.45, 1.35, 18
+MAX_ALTERNATIVES = 8
+
+
+def _key(t: str) -> str:
+    d = unicodedata.normalize("NFKD", t.casefold())
+    return "".join(c for c in d if c.isalnum())
+
+
+def _similarity(a: tuple[str, str], b: tuple[str, str]) -> float:
+    """Similarity of two alternatives given as (text, key): the better of both forms."""
+    if not a[1] or not b[1]:
         return 0.0
-    m = [[SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for b in right] for a in left]
-    best = max(permutations(range(len(right))), key=lambda o: (sum(m[i][j] >= 0.94 for i, j in enumerate(o)), min(m[i][j] for i, j in enumerate(o)), sum(m[i][j] for i, j in enumerate(o))))
-    return min(m[i][j] for i, j in enumerate(best))
+    return 1.0 if a[1] == b[1] else max(SequenceMatcher(None, a[0], b[0]).ratio(), SequenceMatcher(None, a[1], b[1]).ratio())
+
+
+def alignment(left: list[str], right: list[str]) -> list[tuple[int, int, float]]:
+    """Best assignment of alternatives: most strong pairs, then the best worst pair, then the sum."""
+    if len(left) != len(right) or not left or len(left) > MAX_ALTERNATIVES:
+        return []
+    a, b = ([(" ".join(t.casefold().split()), _key(t)) for t in side] for side in (left, right))
+    m = [[_similarity(x, y) for y in b] for x in a]
+    rank = lambda o: (sum(m[i][j] >= STRONG for i, j in enumerate(o)), min(m[i][j] for i, j in enumerate(o)), sum(m[i][j] for i, j in enumerate(o)))
+    best = max(permutations(range(len(b))), key=rank)
+    return [(i, j, m[i][j]) for i, j in enumerate(best)]
+
+
+def alternatives_score(left: list[str], right: list[str]) -> float:
+    """Least similarity over the best assignment of alternatives."""
+    return min((s for _, _, s in alignment(left, right)), default=0.0)
+
+
+def alternatives_compatible(left: list[str], right: list[str]) -> bool:
+    """All alternatives alike, or all but one strong and that one damaged in extraction: a line break in
+    it or a text grown far beyond its partner, of which it still holds a part."""
+    pairs = alignment(left, right)
+    if not pairs:
+        return False
+    if all(s >= EQUAL for _, _, s in pairs):
+        return True
+    weak = [p for p in pairs if p[2] < STRONG]
+    if len(weak) != 1:
+        return False
+    i, j, score = weak[0]
+    broken = "\n" in left[i] or "\n" in right[j]
+    short, long = sorted((_key(left[i]), _key(right[j])), key=len)
+    held = len(short) / len(long) if short and short in long else 0.0
+    if broken and len(short) >= 5 and held >= 0.25:
+        return True
+    grown = len(long) >= max(len(short) * GROWTH, len(short) + GROWTH_CHARS)
+    return len(pairs) >= 4 and (broken or grown) and len(short) >= 8 and (score >= WEAK or held >= CONTAINED)
 
 
 @F.pandas_udf(DoubleType())
@@ -66,7 +113,7 @@ def exact_units(df: DataFrame, boundary: list[str], statement_key: str, content_
     )
 
 
-def near_clusters(units: DataFrame, boundary: list[str], statement_key: str, floor: float = 0.90) -> DataFrame:
+def near_clusters(units: DataFrame, boundary: list[str], statement_key: str) -> DataFrame:
     """Greedy complete-linkage clusters of units with one statement inside one boundary.
 
     Units of one booklet never meet. Buckets of one unit, nearly all, never leave the JVM; the others
@@ -90,7 +137,7 @@ def near_clusters(units: DataFrame, boundary: list[str], statement_key: str, flo
                 while j < len(clusters):
                     a, b = clusters[i], clusters[j]
                     apart = not ({x for h in a for x in h[2]} & {x for h in b for x in h[2]})
-                    if apart and all(alternatives_score(list(x[1]), list(y[1])) >= floor for x in a for y in b):
+                    if apart and all(alternatives_compatible(list(x[1]), list(y[1])) for x in a for y in b):
                         clusters[i] = sorted(a + b, key=lambda h: h[0])
                         del clusters[j]
                         j = i + 1

@@ -82,9 +82,9 @@ def question_near_clusters(spark, sf_dir):
     """Clusters of questions with one statement and compatible alternatives, never two of one document."""
     q = questions(spark, sf_dir).select(
         "id", "discipline", F.col("document_id").alias("booklet"), text.comparison_key(text.question_text(F.col("statement"))).alias("skey"),
-        F.array_sort(F.transform("alternatives", lambda a: text.comparison_key(a["text"]))).alias("alts"),
+        F.transform("alternatives", lambda a: F.coalesce(a["text"], F.lit(""))).alias("alts"),
     )
-    q = q.withColumn("ckey", F.sha2(F.array_join("alts", "|"), 256)).withColumn("skey", F.sha2("skey", 256))
+    q = q.withColumn("ckey", F.sha2(F.array_join(F.array_sort(F.transform("alts", text.comparison_key)), "|"), 256)).withColumn("skey", F.sha2("skey", 256))
     units = dedup.exact_units(q, ["discipline"], "skey", "ckey", "booklet")
     return dedup.near_clusters(units, ["discipline"], "skey")
 

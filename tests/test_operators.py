@@ -108,6 +108,10 @@ def test_near_clusters_keep_booklets_apart(spark):
     )
     assert rows(dedup.near_clusters(units, ["bd"], "sk"), "unit_id", "cluster_id") == [("u1", "u1"), ("u2", "u1"), ("u3", "u3"), ("u4", "u4")]
     assert dedup.alternatives_score(["a b c", "d e f"], ["d e f", "a b c"]) == 1.0
+    four = ["a primeira alternativa", "a segunda opção", "o terceiro texto", "uma quarta frase"]
+    assert dedup.alternatives_compatible(four, [*four[:3], "uma quarta frase\ncabeçalho da página seguinte 12"])
+    assert not dedup.alternatives_compatible(four, [*four[:3], "outra coisa bem diferente"])
+    assert not dedup.alternatives_compatible(four, four[:3])
 
 
 def test_chains(spark):
