@@ -160,9 +160,9 @@ def block_candidates(cols: list[np.ndarray], sim: tuple[int, int], by_load: bool
             x, y = la[c : c + 16384], lb[c : c + 16384]
             bound = np.bitwise_count(a1[x][:, :, None] & a1[y][:, None, :]) + np.bitwise_count(a2[x][:, :, None] & a2[y][:, None, :])
             if full:
-                bound += np.minimum(exc[x][:, :, None], exc[y][:, None, :])
+                bound = bound.astype(np.uint16) + np.minimum(exc[x][:, :, None], exc[y][:, None, :])  # up to 128 + 254
                 total = size[x][:, :, None] + size[y][:, None, :]
-                hit = bound.astype(np.uint16) * np.uint16(p + q) >= np.maximum(total * np.uint16(p), 1)
+                hit = bound * np.uint16(p + q) >= np.maximum(total * np.uint16(p), 1)
             else:  # very large sets: wide arithmetic, excess from the packed value
                 total = size[x][:, :, None] + size[y][:, None, :]
                 ex = pick(meta >> 16 & 0xFFFF)

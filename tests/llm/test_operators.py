@@ -107,6 +107,23 @@ def test_set_join_large_sets(spark, size):
     assert got == {(i, j) for i in range(4) for j in range(i + 1, 4) if len(set(sets[i]) & set(sets[j])) * 8 >= 3 * (len(sets[i]) + len(sets[j]))}
 
 
+@pytest.mark.parametrize("size", [250, 280, 320, 360, 400])
+def test_set_join_sets_of_hundreds_of_tokens(spark, size):
+    """One size a flush: up to some 380 tokens the arithmetic is narrow, and the bound passes 255."""
+    r = random.Random(size)
+    sets = []
+    for _ in range(12):
+        base = r.sample(range(10**6), size)
+        sets += [sorted(base), sorted(base[size // 50 :] + r.sample(range(10**6, 2 * 10**6), size // 50)), sorted(base[: size * 7 // 10])]
+    df = spark.createDataFrame([(1, n, n % 3, s) for n, s in enumerate(sets)], "seed bigint, cid bigint, load_no int, grams array<int>")
+    rows = setjoin.postings(df, setjoin.frequency_sketch(df))
+    assert (rows.selectExpr("max(shiftright(meta, 16) & 65535) AS e").first().e < 255) == (size < 400)
+    expected = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(set(sets[i]) & set(sets[j])) * 8 >= 3 * (len(sets[i]) + len(sets[j]))}
+    assert len(expected) == 36
+    for by_load in (False, True):
+        assert {(x.a, x.b) for x in setjoin.verified(setjoin.candidates(rows, by_load=by_load), df).collect()} == expected
+
+
 def _questions(spark, rows):
     schema = "id string, load_no int, updated_at timestamp, payload_json string"
     return canon.question_texts(spark.createDataFrame(rows, schema))
