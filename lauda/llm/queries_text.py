@@ -9,6 +9,7 @@ from lauda.llm import packing, scanfix, tiling, topics
 from lauda.session import materialize, table
 
 RUN_WORDS = 12
+TILE_WORDS = 6
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +19,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs whose tiles of six words or more cover at least 30 % of the item, in whatever order."""
-    found = tiling.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), 8, 6)
+    found = tiling.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), TILE_WORDS, TILE_WORDS, (3, 10))
     return found.filter(F.col("covered") * 10 >= F.col("n_words") * 3).select(
         "doc_id", "item_id", "longest", "n_tiles", F.round(F.col("covered") / F.col("n_words"), 4).alias("coverage")
     )

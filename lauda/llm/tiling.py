@@ -90,6 +90,16 @@ def greedy_tiles(doc: list[int], item: list[int], min_tile: int) -> list[tuple[i
             return tiles
 
 
+def coverage_bound(doc: np.ndarray, item: np.ndarray, min_tile: int) -> int:
+    """Item words inside runs of min_tile words that the document has too: tiles cover no others."""
+    own, at = windows(item, np.array([0, len(item)]), min_tile)
+    hit = at[np.isin(own, windows(doc, np.array([0, len(doc)]), min_tile)[0])]
+    mark = np.zeros(len(item), bool)
+    for d in range(min_tile):
+        mark[hit + d] = True
+    return int(mark.sum())
+
+
 def item_seeds(items: DataFrame, seed: int) -> DataFrame:
     """(item_id, words, seeds) per item."""
 
@@ -136,8 +146,10 @@ def seeded_documents(docs: DataFrame, bitmap: np.ndarray, seed: int) -> DataFram
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, doc_words array<bigint>, seeds array<bigint>")
 
 
-def leaks(docs: DataFrame, items: DataFrame, seed: int, min_tile: int) -> DataFrame:
-    """(doc_id, item_id, longest, n_tiles, covered, item_words) of every pair that shares a seed."""
+def leaks(docs: DataFrame, items: DataFrame, seed: int, min_tile: int, least: tuple[int, int] = (0, 1)) -> DataFrame:
+    """(doc_id, item_id, longest, n_tiles, covered, item_words) of every pair that shares a seed; a seed
+    above min_tile leaves out pairs whose tiles are all shorter than a seed. Pairs whose bound shows
+    that they cover less than the fraction `least` of the item are not tiled and give no row."""
     its = materialize(item_seeds(items.filter("item_id is not null").dropDuplicates(["item_id"]), seed), "items")
     hits = materialize(seeded_documents(docs.filter("doc_id is not null"), seed_bitmap(its), seed), "leak-docs")
     seeds = its.select("item_id", F.explode("seeds").alias("s")).distinct()
@@ -146,17 +158,22 @@ def leaks(docs: DataFrame, items: DataFrame, seed: int, min_tile: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for d, i in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                t = greedy_tiles([x & (1 << 64) - 1 for x in d], [x & (1 << 64) - 1 for x in i], min_tile)
+            out, kept = [], []
+            (doc, doc_off), (item, item_off) = ((c.values.to_numpy().view(np.uint64), c.offsets.to_numpy()) for c in (b.column(2), b.column(3)))
+            for r in range(b.num_rows):
+                d, i = doc[doc_off[r] : doc_off[r + 1]], item[item_off[r] : item_off[r + 1]]
+                if least[0] and coverage_bound(d, i, min_tile) * least[1] < len(i) * least[0]:
+                    continue
+                t = greedy_tiles(d.tolist(), i.tolist(), min_tile)
+                kept.append(r)
                 out.append((max((n for _, _, n in t), default=0), len(t), sum(n for _, _, n in t), len(i)))
-            cols = [b.column(0), b.column(1), *(pa.array(c, pa.int32()) for c in zip(*out))] if out else None
+            cols = [b.column(0).take(pa.array(kept)), b.column(1).take(pa.array(kept)), *(pa.array(c, pa.int32()) for c in zip(*out))] if out else None
             if cols:
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "longest", "n_tiles", "covered", "n_words"])
 
     tiled = both.select("doc_id", "item_id", "doc_words", "item_words").mapInArrow(
         run, "doc_id bigint, item_id bigint, longest int, n_tiles int, covered int, n_words int"
     )
-    # a document delivered twice has two rows; the one that gives away more speaks for it
-    best = F.max(F.struct("longest", "covered", "n_tiles", "n_words")).alias("b")
+    # a document delivered twice has two rows; the one that covers more of the item speaks for it
+    best = F.max(F.struct("covered", "longest", "n_tiles", "n_words")).alias("b")
     return tiled.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.longest", "b.n_tiles", "b.covered", "b.n_words")

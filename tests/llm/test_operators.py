@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lauda.llm import canon, history, kernels, neardup, packing, scanfix, setjoin, survivors, tiling, topics
+from lauda.llm import canon, history, kernels, neardup, packing, queries_text, scanfix, setjoin, survivors, tiling, topics
 from lauda.llm.ledger import Ledger, copies
 
 # ------------------------------------------------------------------ canonical keys
@@ -245,6 +245,34 @@ def test_reordered_passage_is_covered():
     assert sum(n for _, _, n in tiling.greedy_tiles(doc, item, 6)) == 30
 
 
+def test_coverage_of_reordered_short_pieces(spark, tmp_path):
+    """Against brute force, without seeds; a document delivered twice counts by its better coverage."""
+    r = random.Random(9)
+    words = [f"p{n}" for n in range(400)]
+    items = [(n, " ".join(r.sample(words, 40))) for n in range(5)]
+    docs = []
+    for n in range(40):
+        src = r.choice(items)[1].split()
+        pieces = [src[a : a + 6 + (a // 7) % 2] for a in range(0, 35, 7)][: 1 + n % 5]
+        r.shuffle(pieces)
+        docs.append((n, " ".join(w for piece in pieces for w in [*piece, *r.sample(words, 3)])))
+    one = items[0][1].split()
+    docs += [(100, " ".join(one[:11])), (100, " x ".join(" ".join(one[a : a + 6]) for a in (30, 20, 10, 0))), (101, None), (102, items[1][1])]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    ids: dict[str, int] = {}
+    number = lambda t: [ids.setdefault(w, len(ids) + 1) for w in kernels.words(t or "")]
+    expected: dict[tuple[int, int], float] = {}
+    for d, t in docs:
+        for i, u in items:
+            c = sum(n for _, _, n in tiling.greedy_tiles(number(t), number(u), 6)) / 40
+            if c >= 0.3:
+                expected[d, i] = max(c, expected.get((d, i), 0))
+    found = queries_text.p8_coverage(spark, str(tmp_path)).collect()
+    assert {(x.doc_id, x.item_id): x.coverage for x in found} == expected and len(found) == len(expected)
+    assert expected[100, 0] == 0.6 and len(expected) > 30
+
+
 # ------------------------------------------------------------------ topics
 
 
