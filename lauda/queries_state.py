@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lauda.operators import state, windows
-from lauda.session import table
+from lauda.session import materialize, table
 from lauda.sources.sinks import latest_import, package_manifest
 
 
@@ -28,6 +28,15 @@ def state_insert_ignore(spark, sf_dir):
     return cur
 
 
+def state_insert_ignore_all(spark, sf_dir):
+    """Digest registry after every load, in order: digests and the id that brought them first. Null loads count as load 0."""
+    o = table(spark, sf_dir, "document_observations").select(F.lower(F.trim("binary_sha256")).alias("digest"), "id", F.coalesce("load_no", F.lit(0)).alias("load_no"))
+    cur = o.select("digest", "id").limit(0)
+    for n in sorted(r.load_no for r in o.select("load_no").distinct().collect()):  # one entry per load
+        cur = materialize(state.insert_ignore(cur, o.filter(F.col("load_no") == n).select("digest", "id"), ["digest"]), "digests")
+    return cur
+
+
 def state_upsert(spark, sf_dir):
     """Suggestions per question after the redelivered rows were merged in."""
     s = table(spark, sf_dir, "desktop_answer_suggestions").select("id", "status", "ingested_at")
@@ -59,6 +68,17 @@ def state_retry_queue(spark, sf_dir):
     return state.retry_queue(queue, outcomes, "user_id", 5, 60)
 
 
+def state_retry_queue_all(spark, sf_dir):
+    """Retry queue of all users after one round of outcomes: the last event is the outcome, earlier events other than purchases are the attempts (four at most)."""
+    ev = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
+    e = _latest(ev, ["user_id"], ["ts", "event_id"])
+    earlier = ev.join(e.select("user_id", "event_id"), ["user_id", "event_id"], "left_anti").filter("event_type <> 'purchase'")
+    n = earlier.groupBy("user_id").agg(F.least(F.count("*"), F.lit(4)).cast("int").alias("attempts"))
+    queue = n.select("user_id", "attempts", F.lit("waiting").alias("status"), F.lit(None).cast(e.schema["ts"].dataType).alias("next_at"))
+    outcomes = e.select("user_id", (F.col("event_type") != "purchase").alias("failed"), F.col("ts").alias("at"))
+    return state.retry_queue(queue, outcomes, "user_id", 5, 60)
+
+
 def state_pending(spark, sf_dir):
     """Questions not processed, changed since, or processed by an older version."""
     q = table(spark, sf_dir, "questions").select("id", "updated_at", "exported_at")
