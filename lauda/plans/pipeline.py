@@ -9,7 +9,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lauda.functions import hashing
+from lauda.functions import hashing, text
 from lauda.operators import classify, dedup, parsers
 from lauda.operators.state import StageTable
 
@@ -54,4 +54,5 @@ class Pipeline:
         return self.enrich(rows.withColumn("statement_fingerprint", hashing.statement_fingerprint(F.col("statement"))))
 
     def distinct_questions(self, questions: DataFrame) -> DataFrame:
-        return dedup.keep_first(questions, F.col("statement_fingerprint"), "number")
+        """One row per statement and lettered alternatives: questions of one stem with other alternatives are no copies."""
+        return dedup.keep_first(questions, F.struct("statement_fingerprint", "n_alternatives", text.fold(F.col("alternatives"))), "number")

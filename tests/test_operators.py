@@ -201,6 +201,16 @@ def test_pipeline(spark):
     assert rows(checked_suggestions(s, spark.createDataFrame([("a",)], "path string"), 0.5), "id", "code") == [("1", "accepted"), ("2", "unknown_path"), ("3", "low_confidence"), ("4", "no_choice")]
 
 
+def test_pipeline_keeps_questions_of_one_stem(spark):
+    stem = "Assinale a alternativa correta."
+    texts = [(stem, "um", "dois"), (stem, "três", "quatro"), (stem.upper(), "TRES", " quatro"), (stem, "dois", "um"), ("", "um", "dois"), ("", "x", "y")]
+    pages = spark.createDataFrame([("d", 1, "\n".join(f"Questão {n}\n{s}\n(A) {a}\n(B) {b}" for n, (s, a, b) in enumerate(texts, 1)), "prova")], "document_id string, page_number int, text string, name string")
+    p = Pipeline()
+    q = p.questions(p.documents(pages))
+    assert q.count() == 6
+    assert rows(p.distinct_questions(q), "number", "n_copies") == [(1, 1), (2, 2), (4, 1), (5, 1), (6, 1)]
+
+
 def test_digest_registry_of_all_loads(spark, tmp_path):
     obs = [("a", "X ", 1), ("b", "x", 3), ("c", "y", 8), ("d", "y", 5), ("e", "z", None), ("f", "z", 2), ("h", "w", 8), ("g", "w", 8)]
     spark.createDataFrame(obs, "id string, binary_sha256 string, load_no int").write.parquet(str(tmp_path / "document_observations.parquet"))
