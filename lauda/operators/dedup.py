@@ -41,6 +41,7 @@ def within_document(df: DataFrame, doc: str, number: str, text: str, order: str)
 #: Similarity of equal and of strong alternatives; of a weak one with traces of extraction;
 #: share of the longer text that the shorter must make up; growth that shows an extraction fault.
 EQUAL, STRONG, WEAK, CONTAINED, GROWTH, GROWTH_CHARS = 0.90, 0.94, 0.72, 0.45, 1.35, 18
+#: Alternatives up to which all assignments are tried; for more the same best one is computed.
 MAX_ALTERNATIVES = 8
 
 
@@ -56,14 +57,67 @@ def _similarity(a: tuple[str, str], b: tuple[str, str]) -> float:
     return 1.0 if a[1] == b[1] else max(SequenceMatcher(None, a[0], b[0]).ratio(), SequenceMatcher(None, a[1], b[1]).ratio())
 
 
+def _cheapest(cost: list[list[float]]) -> list[int]:
+    """Column of each row in an assignment of least total cost (Hungarian method, cubic time)."""
+    n = len(cost)
+    u, v, row, way = [0.0] * (n + 1), [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+    for i in range(1, n + 1):
+        row[0], j0 = i, 0
+        least, used = [float("inf")] * (n + 1), [False] * (n + 1)
+        while row[j0]:
+            used[j0] = True
+            i0 = row[j0]
+            for j in range(1, n + 1):
+                if not used[j] and (c := cost[i0 - 1][j - 1] - u[i0] - v[j]) < least[j]:
+                    least[j], way[j] = c, j0
+            j1 = min((j for j in range(1, n + 1) if not used[j]), key=least.__getitem__)
+            delta = least[j1]
+            for j in range(n + 1):
+                if used[j]:
+                    u[row[j]] += delta
+                    v[j] -= delta
+                else:
+                    least[j] -= delta
+            j0 = j1
+        while j0:
+            row[j0] = row[way[j0]]
+            j0 = way[j0]
+    out = [0] * n
+    for j in range(1, n + 1):
+        out[row[j] - 1] = j - 1
+    return out
+
+
+def best_assignment(m: list[list[float]]) -> list[int]:
+    """Most strong pairs, then the best worst pair, then the sum, without trying all assignments."""
+    n = len(m)
+
+    def at_least(floor: float) -> tuple[int, list[int]]:
+        """Strong pairs of the best assignment by strong pairs and sum; -1 when it needs a pair below the floor."""
+        o = _cheapest([[-(x >= STRONG) * (n + 1) - x if x >= floor else (n + 2.0) ** 2 for x in r] for r in m])
+        return (sum(m[i][j] >= STRONG for i, j in enumerate(o)) if all(m[i][j] >= floor for i, j in enumerate(o)) else -1), o
+
+    floors = sorted({x for r in m for x in r})
+    most, best = at_least(floors[0])
+    low, high = 0, len(floors) - 1
+    while low < high:
+        mid = (low + high + 1) // 2
+        strong, o = at_least(floors[mid])
+        if strong == most:
+            low, best = mid, o
+        else:
+            high = mid - 1
+    return best
+
+
 def alignment(left: list[str], right: list[str]) -> list[tuple[int, int, float]]:
     """Best assignment of alternatives: most strong pairs, then the best worst pair, then the sum."""
-    if len(left) != len(right) or not left or len(left) > MAX_ALTERNATIVES:
+    if len(left) != len(right) or not left:
         return []
     a, b = ([(" ".join(t.casefold().split()), _key(t)) for t in side] for side in (left, right))
     m = [[_similarity(x, y) for y in b] for x in a]
     rank = lambda o: (sum(m[i][j] >= STRONG for i, j in enumerate(o)), min(m[i][j] for i, j in enumerate(o)), sum(m[i][j] for i, j in enumerate(o)))
-    best = max(permutations(range(len(b))), key=rank)
+    best = max(permutations(range(len(b))), key=rank) if len(b) <= MAX_ALTERNATIVES else best_assignment(m)
     return [(i, j, m[i][j]) for i, j in enumerate(best)]
 
 

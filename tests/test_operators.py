@@ -2,6 +2,7 @@ import datetime
 import gzip
 import io
 import json
+import random
 import zipfile
 
 import pytest
@@ -211,6 +212,21 @@ def test_pipeline_keeps_questions_of_one_stem(spark):
     assert rows(p.distinct_questions(q), "number", "n_copies") == [(1, 1), (2, 2), (4, 1), (5, 1), (6, 1)]
 
 
+def test_alignment_of_many_alternatives():
+    from itertools import permutations
+
+    r = random.Random(4)
+    for _ in range(150):
+        n = r.randrange(1, 7)
+        m = [[r.choice([0.0, 0.3, 0.5, 0.72, 0.9, 0.93, 0.94, 0.97, 1.0, r.random()]) for _ in range(n)] for _ in range(n)]
+        rank = lambda o: (sum(m[i][j] >= dedup.STRONG for i, j in enumerate(o)), min(m[i][j] for i, j in enumerate(o)), round(sum(m[i][j] for i, j in enumerate(o)), 9))
+        assert rank(dedup.best_assignment(m)) == max(map(rank, permutations(range(n))))
+    alts = [f"alternativa de nome {w}" for w in "alfa beta gama delta épsilon zeta eta teta iota capa lambda".split()]
+    for n in (9, 11):
+        assert dedup.alternatives_compatible(alts[:n], alts[:n][::-1]) and dedup.alternatives_score(alts[:n], alts[:n][::-1]) == 1
+        assert not dedup.alternatives_compatible(alts[:n], [*alts[: n - 2], "outra coisa", "nada disso"])
+
+
 def test_digest_registry_of_all_loads(spark, tmp_path):
     obs = [("a", "X ", 1), ("b", "x", 3), ("c", "y", 8), ("d", "y", 5), ("e", "z", None), ("f", "z", 2), ("h", "w", 8), ("g", "w", 8)]
     spark.createDataFrame(obs, "id string, binary_sha256 string, load_no int").write.parquet(str(tmp_path / "document_observations.parquet"))
