@@ -5,8 +5,8 @@ frequent enough make the lexicon, kept as a trie. (2) Look at the edge lines of
 heads repeat in their document or have a shape that is found at page edges only, page numbers keep a
 constant distance from the page's position. (3) Go through the lines: words outside the lexicon are
 looked up by intersecting Levenshtein automata with the trie (complete up to two edits), candidates
-are ranked by whether recognition confusions explain the difference, by frequency and by presence
-on the same page; words cut at a line or page end are joined unless their hyphen was printed.
+are ranked by whether recognition confusions explain the difference and by frequency, without
+context; words cut at a line or page end are joined unless their hyphen was printed.
 
 The lexicon holds words of a relative frequency of at least MIN_SHARE, so at most 1 / MIN_SHARE
 entries however large the collection is; the same bound holds for line shapes. Only those two tables
