@@ -1,14 +1,9 @@
 """New batches against all history: digests, copies and near duplicates, load after load.
 
-Exact part: a ledger of the first load that brought each key (digest in its plain spelling, copy key,
-set of word pairs). Near part: a segment index for bounded edit distance. A record is the string of
-its word pairs in one global order, rare first. Two records of similarity p/q differ by at most
-(q - p) / (q + p) * (na + nb) insertions and deletions, and the longer may lose at most n - ceil(p n / q)
-of its symbols, so it is stored as a fixed number of segments, one more than that: at least one of
-them is found unchanged in the partner (pigeonhole). At these distances a segment is a single symbol.
-Segments are stored with the record's length and their position; a batch probes with its own symbols
-at the positions and lengths that the distance allows, survivors are verified, and the batch's
-segments are appended. No text of the history is read again.
+Two persisted states are probed and then appended by every load: a ledger of the keys seen so far (digest
+in its plain spelling, copy key, set of word pairs) and the segment index for bounded edit distance
+(segments.py). A load is shuffled to their buckets; the states themselves are never shuffled again and
+no text or set of the history is worked through again.
 
 Edge cases: a blank or null digest matches nothing; rows of one id are one record of its earliest
 load; records that came in the same load don't make each other repeats; null loads count as load 0.
@@ -16,14 +11,14 @@ load; records that came in the same load don't make each other repeats; null loa
 
 from __future__ import annotations
 
-from functools import reduce
-
-import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lauda.llm import neardup, setjoin
-from lauda.session import scratch
+from lauda.llm.segments import Bucketed, SegmentIndex
+from lauda.session import drop_path, scratch
+
+#: Segments of one bucket of the index, and keys of one bucket of the ledger.
+BUCKET_ROWS = 4_000_000
 
 
 def plain_digest(c: Column) -> Column:
@@ -43,47 +38,79 @@ def digest_rows(df: DataFrame, src: str, field: str) -> DataFrame:
     )
 
 
-def repeats(rows: DataFrame) -> DataFrame:
-    """(src_table, record_id) of rows whose key an earlier load brought. The first loads are unique
-    per key, partial sums make a hot key cheap, and AQE may split its rows."""
-    first = rows.groupBy("src_table", "k1", "k2").agg(F.min("load_no").alias("first"), F.max("load_no").alias("last"))
-    again = first.filter("last > first").drop("last")
-    return rows.join(again, ["src_table", "k1", "k2"]).filter("load_no > first").select("src_table", F.col("id").alias("record_id"))
-
-
-def near_repeats(feats: DataFrame, members: DataFrame) -> DataFrame:
-    """Records with an earlier near duplicate of another word-pair set: all loads in one pass."""
-    first = neardup.class_pairs(feats, by_load=True).groupBy("b").agg(F.min("load_a").alias("first"))
-    return members.join(first.withColumnRenamed("b", "cid"), "cid").filter("load_no > first").select(
-        "src_table", F.col("id").alias("record_id")
-    )
+def buckets_for(rows: int, floor: int) -> int:
+    return max(floor, -(-rows // BUCKET_ROWS))
+
+
+def _partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
 
+def _read(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
-class SegmentIndex:
-    """The persisted index: probe one batch, then append it. The symbol order is frozen with the
-    history it was built on; later symbols count as rarest, which keeps the join exact."""
-
-    def __init__(self, history: DataFrame):
-        self.spark = history.sparkSession
-        self.root = scratch(self.spark, "segments")
-        self.sketch: np.ndarray = setjoin.frequency_sketch(neardup.with_seed(history))
-        self.feats: list[DataFrame] = []
-        self.loads = 0
-        self.append(history)
-
-    def _rows(self, feats: DataFrame) -> DataFrame:
-        return setjoin.postings(neardup.with_seed(feats), self.sketch, frozen=True)
-
-    def append(self, feats: DataFrame) -> None:
-        self._rows(feats).write.parquet(f"{self.root}/{self.loads}")
-        self.feats.append(feats)
-        self.loads += 1
-
-    def probe(self, batch: DataFrame) -> DataFrame:
-        """Verified (a, b): classes of the index and of the batch. Only index segments of blocks the
-        batch touches survive the semi-join."""
-        mine = self._rows(batch)
-        index = self.spark.read.schema(setjoin.POSTING).parquet(*[f"{self.root}/{n}" for n in range(self.loads)])
-        near = index.join(mine.select("blk").distinct(), "blk", "left_semi")
-        found = setjoin.candidates(near.unionByName(mine), by_load=True)
-        return setjoin.verified(found, reduce(DataFrame.unionByName, [*self.feats, batch]))
+
+def loads_of(rows: DataFrame) -> list[int]:
+    """The loads in order: one entry each."""
+    return sorted(r.load_no for r in rows.select("load_no").distinct().collect())
+
+
+def repeated_keys(rows: DataFrame) -> DataFrame:
+    """(src_table, k1, k2, load_no): keys of each load that an earlier one brought.
+
+    rows: (src_table, id, load_no, k1, k2), partitioned by load_no on disk. A load's keys are reduced to
+    one row each before they meet the ledger, so a key that holds a third of a load costs one row.
+    """
+    spark = rows.sparkSession
+    key = ["src_table", "k1", "k2"]
+    ledger = Bucketed(spark, "keys", "src_table string, k1 bigint, k2 int", key, buckets_for(rows.count(), _partitions(spark)))
+    paths: list[str] = []
+    for load in loads_of(rows):
+        mine = rows.filter(F.col("load_no") == load).groupBy(*key).agg(F.lit(load).alias("load_no"))
+        if not ledger.made:
+            ledger.append(mine.select(*key))
+            continue
+        paths.append(scratch(spark, "keys-of-load"))
+        mine.join(ledger.read().withColumn("known", F.lit(True)), key, "left").write.parquet(paths[-1])
+        marked = spark.read.parquet(paths[-1])
+        ledger.append(marked.filter("known is null").select(*key))
+    ledger.drop()
+    return _read(spark, paths, "src_table string, k1 bigint, k2 int, load_no int, known boolean").filter("known").drop("known")
+
+
+def repeats(rows: DataFrame) -> DataFrame:
+    """(src_table, record_id) of rows whose key an earlier load brought. Repeated keys are unique per load,
+    so AQE may split the rows of a hot one."""
+    return rows.join(repeated_keys(rows), ["src_table", "k1", "k2", "load_no"]).select("src_table", F.col("id").alias("record_id"))
+
+
+def near_classes(sets: DataFrame) -> DataFrame:
+    """(cid, first): classes with a near duplicate of an earlier load and the earliest load of one.
+
+    sets: (seed, cid, load_no, grams), partitioned by load_no on disk. Each load is probed, then appended.
+    """
+    spark = sets.sparkSession
+    index: SegmentIndex | None = None
+    paths: list[str] = []
+    for load in loads_of(sets):
+        mine = sets.filter(F.col("load_no") == load)
+        if index is None:
+            size = mine.agg(F.sum(F.size("grams"))).first()[0] or 0
+            index = SegmentIndex(mine, buckets_for(size * 2 // 5, _partitions(spark)))
+            index.append(index.unknown(mine))
+            continue
+        at = scratch(spark, "batch")
+        index.unknown(mine).write.parquet(at)
+        fresh = spark.read.parquet(at)
+        paths.append(scratch(spark, "near-of-load"))
+        index.probe(fresh).groupBy(F.col("b").alias("cid")).agg(F.min("load_a").alias("first")).write.parquet(paths[-1])
+        index.append(fresh)
+        drop_path(spark, at)
+    if index:
+        index.drop()
+    return _read(spark, paths, "cid bigint, first int")
+
+
+def near_repeats(near: DataFrame, members: DataFrame) -> DataFrame:
+    """Records of classes with a near duplicate in an earlier load than their own."""
+    return members.join(near, "cid").filter("load_no > first").select("src_table", F.col("id").alias("record_id"))

@@ -87,7 +87,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(centre).distinct()
 
 
-def prepared(texts: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+def prepared(texts: DataFrame, name: str, partition_by: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(features, members), both written once."""
-    feats = materialize(canon.features(texts, grams=True), f"{name}-feats")
+    feats = materialize(canon.features(texts, grams=True), f"{name}-feats", partition_by)
     return feats, materialize(canon.members(feats), f"{name}-members")

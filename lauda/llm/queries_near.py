@@ -38,7 +38,8 @@ ORACLE: dict[str, str] = {}
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feats, members = neardup.prepared(canon.question_texts(table(spark, sf_dir, "questions")), "load")
+    feats, members = neardup.prepared(canon.question_texts(table(spark, sf_dir, "questions")), "load", "load_no")
+    sets = neardup.with_seed(feats).filter(F.size("grams") > 0)
     has_set = feats.filter(F.size("grams") > 0).select("cid").distinct()
     base = members.select("src_table", "id", "load_no", "cid", "ckey")
     copies = base.select("src_table", "id", "load_no", F.xxhash64(F.lit("copy"), "ckey").alias("k1"), F.hash("ckey", F.lit("copy")).alias("k2"))
@@ -46,13 +47,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = copies.unionByName(sets)
     for src, field in (("import_batches", "content_sha256"), ("document_observations", "binary_sha256"), ("questions", "fingerprint")):
         keys = keys.unionByName(history.digest_rows(table(spark, sf_dir, src), src, field))
-    return history.repeats(keys).unionByName(history.near_repeats(feats, members)).distinct()
+    keys = materialize(keys, "load-keys", "load_no")
+    return history.repeats(keys).unionByName(history.near_repeats(history.near_classes(sets), members)).distinct()
 
 
 def p2_repeats_per_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest repeats of batches and observations per load."""
     keys = [history.digest_rows(table(spark, sf_dir, s), s, f) for s, f in (("import_batches", "content_sha256"), ("document_observations", "binary_sha256"))]
-    rows = keys[0].unionByName(keys[1])
+    rows = materialize(keys[0].unionByName(keys[1]), "digest-keys", "load_no")
     found = history.repeats(rows).distinct().withColumnRenamed("record_id", "id")
     return rows.join(found, ["src_table", "id"], "left_semi").groupBy("src_table", "load_no").agg(F.countDistinct("id").alias("n_repeats"))
 

@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lauda.llm import canon, history, kernels, neardup, packing, queries_text, scanfix, setjoin, survivors, tiling, topics
+from lauda.llm import canon, history, kernels, neardup, packing, queries_text, scanfix, segments, setjoin, survivors, tiling, topics
 from lauda.llm.ledger import Ledger, copies
 
 # ------------------------------------------------------------------ canonical keys
@@ -146,20 +146,45 @@ def test_segment_index_load_after_load_equals_one_pass(spark):
             s[r.randrange(len(s))] = r.choice(words)
         rows.append((f"q{n:03d}", n % 3, datetime.datetime(2024, 1, 1), _payload(" ".join(s))))
     feats, members = neardup.prepared(_questions(spark, rows), "t")
-    once = {x.record_id for x in history.near_repeats(feats, members).collect()}
     sets = {i: set(zip(t, t[1:])) for i, _, _, p in rows for t in [kernels.words(kernels.parse_payload(p)[0])]}
     loads = {i: n for i, n, _, _ in rows}
     near = lambda a, b: len(sets[a] & sets[b]) * 8 >= 3 * (len(sets[a]) + len(sets[b]))
     expected = {i for i in sets if any(loads[j] < loads[i] and sets[j] != sets[i] and near(i, j) for j in sets)}
-    assert once == expected
-    index = history.SegmentIndex(feats.filter("load_no = 0"))
-    stepwise = set()
+    one = neardup.with_seed(feats).filter("size(grams) > 0")
+    got = {x.record_id for x in history.near_repeats(history.near_classes(one), members).collect()}
+    equal = {i for i in sets if any(loads[j] < loads[i] and sets[j] == sets[i] for j in sets)}  # these come by their key
+    assert got <= expected and got | equal == expected | equal and len(got - equal) > 20
+
+
+@pytest.mark.parametrize("block", [65536, 12])
+def test_segment_index_finds_all_similar_sets(spark, monkeypatch, block):
+    """Every pair of different loads that brute force finds, with and without striped hot keys."""
+    monkeypatch.setattr(segments, "BLOCK_ROWS", block)
+    monkeypatch.setattr(segments, "PASS_SYMBOLS", 100)
+    sets = sorted({tuple(s) for s in _sets(random.Random(block), 240, 60, hot=True) if s})
+    loads = {n: n % 3 for n in range(len(sets))}
+    df = spark.createDataFrame([(1, n, loads[n], list(s)) for n, s in enumerate(sets)], "seed bigint, cid bigint, load_no int, grams array<int>")
+    index = segments.SegmentIndex(df.filter("load_no = 0"), 3)
+    index.append(index.unknown(df.filter("load_no = 0")))
+    got = set()
     for load in (1, 2):
-        batch = feats.filter(f"load_no = {load}")
-        hits = index.probe(batch).select("b").distinct().withColumnRenamed("b", "cid")
-        stepwise |= {x.id for x in members.filter(f"load_no = {load}").join(hits, "cid").collect()}
-        index.append(batch)
-    assert stepwise == expected
+        fresh = index.unknown(df.filter(f"load_no <= {load}"))  # known classes stay out
+        assert {x.load_no for x in fresh.select("load_no").distinct().collect()} == {load}
+        got |= {(x.a, x.b) for x in index.probe(fresh).collect()}
+        index.append(fresh)
+    assert any(s is not None for s in index.stripes) == (block == 12)
+    expected = {(i, j) for a, b in _brute(sets) for i, j in [sorted((sets.index(a), sets.index(b)), key=loads.get)] if loads[i] != loads[j]}
+    assert got == expected and len(got) > 100
+    index.drop()
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.tuples(st.sets(st.integers(0, 30)), st.sets(st.integers(0, 30)), st.integers(0, 20)), min_size=1, max_size=8))
+def test_bounded_distance(cases):
+    flat = lambda k: np.array([x for c in cases for x in sorted(c[k])], np.int64)
+    off = lambda k: np.cumsum([0, *(len(c[k]) for c in cases)])
+    got = segments.bounded_distance(flat(0), off(0), flat(1), off(1), np.array([c[2] for c in cases]))
+    assert got.tolist() == [min(len(a ^ b), k + 1) for a, b, k in cases]
 
 
 def test_components_of_chains_and_stars(spark):
