@@ -36,10 +36,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = scratch(df.sparkSession, name)
-    df.write.mode("overwrite").option("compression", "lz4").parquet(path)
+    writer = df.write.mode("overwrite").option("compression", "lz4")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
