@@ -39,7 +39,7 @@ ORACLE: dict[str, str] = {}
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     feats, members = neardup.prepared(canon.question_texts(table(spark, sf_dir, "questions")), "load", "load_no")
-    sets = neardup.with_seed(feats).filter(F.size("grams") > 0)
+    strings = neardup.with_seed(feats).filter(F.size("grams") > 0)
     has_set = feats.filter(F.size("grams") > 0).select("cid").distinct()
     base = members.select("src_table", "id", "load_no", "cid", "ckey")
     copies = base.select("src_table", "id", "load_no", F.xxhash64(F.lit("copy"), "ckey").alias("k1"), F.hash("ckey", F.lit("copy")).alias("k2"))
@@ -48,7 +48,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     for src, field in (("import_batches", "content_sha256"), ("document_observations", "binary_sha256"), ("questions", "fingerprint")):
         keys = keys.unionByName(history.digest_rows(table(spark, sf_dir, src), src, field))
     keys = materialize(keys, "load-keys", "load_no")
-    return history.repeats(keys).unionByName(history.near_repeats(history.near_classes(sets), members)).distinct()
+    return history.repeats(keys).unionByName(history.near_repeats(history.near_classes(strings), members)).distinct()
 
 
 def p2_repeats_per_load(spark: SparkSession, sf_dir: str) -> DataFrame:
