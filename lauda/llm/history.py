@@ -92,19 +92,19 @@ def near_classes(sets: DataFrame) -> DataFrame:
     spark = sets.sparkSession
     index: SegmentIndex | None = None
     paths: list[str] = []
-    for load in loads_of(sets):
+    sizes = {r.load_no: r.n for r in sets.groupBy("load_no").agg(F.sum(F.size("grams")).alias("n")).collect()}  # one entry each
+    for load in sorted(sizes):
         mine = sets.filter(F.col("load_no") == load)
         if index is None:
-            size = mine.agg(F.sum(F.size("grams"))).first()[0] or 0
-            index = SegmentIndex(mine, buckets_for(size * 2 // 5, _partitions(spark)))
-            index.append(index.unknown(mine))
+            index = SegmentIndex(mine, buckets_for(sizes[load] * 2 // 5, _partitions(spark)))
+            index.append(index.unknown(mine), sizes[load])
             continue
         at = scratch(spark, "batch")
         index.unknown(mine).write.parquet(at)
         fresh = spark.read.parquet(at)
         paths.append(scratch(spark, "near-of-load"))
         index.probe(fresh).groupBy(F.col("b").alias("cid")).agg(F.min("load_a").alias("first")).write.parquet(paths[-1])
-        index.append(fresh)
+        index.append(fresh, sizes[load])
         drop_path(spark, at)
     if index:
         index.drop()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +50,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     for src, field in (("import_batches", "content_sha256"), ("document_observations", "binary_sha256"), ("questions", "fingerprint")):
         keys = keys.unionByName(history.digest_rows(table(spark, sf_dir, src), src, field))
     keys = materialize(keys, "load-keys", "load_no")
-    return history.repeats(keys).unionByName(history.near_repeats(history.near_classes(strings), members)).distinct()
+    with ThreadPoolExecutor(2) as pool:  # two states that don't know of one another
+        near = pool.submit(history.near_classes, strings)
+        same = history.repeats(keys)
+        return same.unionByName(history.near_repeats(near.result(), members)).distinct()
 
 
 def p2_repeats_per_load(spark: SparkSession, sf_dir: str) -> DataFrame:

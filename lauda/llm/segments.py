@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ from lauda.llm.kernels import mix
 from lauda.llm.setjoin import SIM, SKETCH_BITS, _tokens, frequency_sketch, signatures
 from lauda.session import drop_path, scratch
 
-BLOCK_ROWS = 65536
+BLOCK_ROWS = 1 << 18
 #: Symbols of one numpy pass.
 PASS_SYMBOLS = 1 << 20
 SEGMENT = "key bigint, cid bigint, load_no int, n int, pos int, rest bigint, w1 bigint, w2 bigint, excess int"
@@ -209,8 +210,10 @@ class SegmentIndex:
         one = sets.groupBy("cid").agg(F.min_by(F.struct("seed", "load_no", "grams"), "load_no").alias("s")).select("s.seed", "cid", "s.load_no", "s.grams")
         return one.join(self.strings.read().select("cid"), "cid", "left_anti").select("seed", "cid", "load_no", "grams")
 
-    def _hot(self, sets: DataFrame) -> np.ndarray | None:
+    def _hot(self, sets: DataFrame, symbols: int) -> np.ndarray | None:
         """Stripes of each slot of first symbols in these sets; hashed to a fixed number of slots."""
+        if symbols <= BLOCK_ROWS:  # no key can have more segments than there are symbols
+            return None
         freq, sim, bounds = self.freq, self.sim, self.bounds
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,10 +225,7 @@ class SegmentIndex:
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(acc[at])], names=["slot", "n"])
 
         slots = sets.mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-        total = slots.agg(F.sum("n")).first()[0] or 0
-        if total <= BLOCK_ROWS:
-            return None
-        block = max(BLOCK_ROWS, 16 * total >> SKETCH_BITS)
+        block = max(BLOCK_ROWS, 16 * symbols >> SKETCH_BITS)
         hot = slots.filter(F.col("n") > block).toPandas()  # at most total / block rows
         if not len(hot):
             return None
@@ -233,9 +233,9 @@ class SegmentIndex:
         out[hot["slot"].to_numpy()] = -(-hot["n"].to_numpy() // block)
         return out
 
-    def append(self, sets: DataFrame) -> None:
-        """Add classes that the index does not hold yet."""
-        hot = self._hot(sets)
+    def append(self, sets: DataFrame, symbols: int) -> None:
+        """Add classes that the index does not hold yet; symbols bounds the number of their symbols."""
+        hot = self._hot(sets, symbols)
         freq, sim, bounds, generation = self.freq, self.sim, self.bounds, len(self.stripes)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,8 +248,8 @@ class SegmentIndex:
                     key = np.where(n > 1, _striped(key, generation, stripe), key)
                 yield s.table(key, owner, number, {"rest": rest.view(np.int64)})
 
-        self.segments.append(sets.mapInArrow(run, SEGMENT))
-        self.strings.append(sets.select("cid", "load_no", "grams"))
+        with ThreadPoolExecutor(2) as pool:  # two tables, two jobs side by side
+            list(pool.map(lambda job: job[0].append(job[1]), [(self.segments, sets.mapInArrow(run, SEGMENT)), (self.strings, sets.select("cid", "load_no", "grams"))]))
         self.stripes.append(hot)
 
     def probes(self, sets: DataFrame) -> DataFrame:
