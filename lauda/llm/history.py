@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lauda.llm.segments import Bucketed, SegmentIndex
-from lauda.session import drop_path, scratch
+from lauda.session import scratch
 
 #: Segments of one bucket of the index, and keys of one bucket of the ledger.
 BUCKET_ROWS = 4_000_000
@@ -92,20 +92,16 @@ def near_classes(sets: DataFrame) -> DataFrame:
     spark = sets.sparkSession
     index: SegmentIndex | None = None
     paths: list[str] = []
-    sizes = {r.load_no: r.n for r in sets.groupBy("load_no").agg(F.sum(F.size("grams")).alias("n")).collect()}  # one entry each
+    sizes = {r.load_no: r for r in sets.groupBy("load_no").agg(F.sum(F.size("grams")).alias("symbols"), F.count("*").alias("strings")).collect()}  # one entry each
     for load in sorted(sizes):
-        mine = sets.filter(F.col("load_no") == load)
+        mine, size = sets.filter(F.col("load_no") == load), sizes[load]
         if index is None:
-            index = SegmentIndex(mine, buckets_for(sizes[load] * 2 // 5, _partitions(spark)))
-            index.append(index.unknown(mine), sizes[load])
-            continue
-        at = scratch(spark, "batch")
-        index.unknown(mine).write.parquet(at)
-        fresh = spark.read.parquet(at)
-        paths.append(scratch(spark, "near-of-load"))
-        index.probe(fresh).groupBy(F.col("b").alias("cid")).agg(F.min("load_a").alias("first")).write.parquet(paths[-1])
-        index.append(fresh, sizes[load])
-        drop_path(spark, at)
+            index = SegmentIndex(mine, buckets_for(size.symbols * 2 // 5, _partitions(spark)))
+        fresh = index.intake(mine, load)
+        if index.stripes:
+            paths.append(scratch(spark, "near-of-load"))
+            index.probe(fresh, size.symbols).groupBy(F.col("b").alias("cid")).agg(F.min("load_a").alias("first")).write.parquet(paths[-1])
+        index.append(fresh, size.strings)
     if index:
         index.drop()
     return _read(spark, paths, "cid bigint, first int")

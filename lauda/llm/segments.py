@@ -32,7 +32,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +40,15 @@ from pyspark.sql import functions as F
 
 from lauda.llm.kernels import mix
 from lauda.llm.setjoin import SIM, SKETCH_BITS, _tokens, frequency_sketch, signatures
-from lauda.session import drop_path, scratch
+from lauda.session import drop_path, materialize, scratch
 
 BLOCK_ROWS = 1 << 18
 #: Symbols of one numpy pass.
 PASS_SYMBOLS = 1 << 20
 SEGMENT = "key bigint, cid bigint, load_no int, n int, pos int, rest bigint, w1 bigint, w2 bigint, excess int"
-STRING = "cid bigint, load_no int, grams array<int>"
+STRING = "seed bigint, cid bigint, load_no int, grams array<int>"
+#: Rows of a bucket up to which a batch is hashed in memory instead of sorted.
+HASHED_ROWS = 2_000_000
 _SLOT = np.uint64((1 << SKETCH_BITS) - 1)
 
 
@@ -182,7 +183,10 @@ class Bucketed:
         self.made = False
 
     def append(self, df: DataFrame) -> None:
-        rows = df.repartition(self.buckets, *self.keys)
+        self.append_placed(df.repartition(self.buckets, *self.keys))
+
+    def append_placed(self, rows: DataFrame) -> None:
+        """Append rows that lie in the table's buckets already."""
         rows.write.mode("append").bucketBy(self.buckets, *self.keys).option("path", self.path).option("compression", "lz4").format("parquet").saveAsTable(self.name)
         self.made = True
 
@@ -205,14 +209,18 @@ class SegmentIndex:
         self.strings = Bucketed(self.spark, "strings", STRING, ["cid"], buckets)
         self.stripes: list[np.ndarray | None] = []  # per append: stripes of each key slot, None without a hot one
 
-    def unknown(self, sets: DataFrame) -> DataFrame:
-        """One row per class that the index does not hold yet."""
-        one = sets.groupBy("cid").agg(F.min_by(F.struct("seed", "load_no", "grams"), "load_no").alias("s")).select("s.seed", "cid", "s.load_no", "s.grams")
-        return one.join(self.strings.read().select("cid"), "cid", "left_anti").select("seed", "cid", "load_no", "grams")
-
-    def _hot(self, sets: DataFrame, symbols: int) -> np.ndarray | None:
-        """Stripes of each slot of first symbols in these sets; hashed to a fixed number of slots."""
-        if symbols <= BLOCK_ROWS:  # no key can have more segments than there are symbols
+    def intake(self, sets: DataFrame, load: int) -> DataFrame:
+        """Store the strings of classes that the index does not hold yet and give them back: one shuffle by
+        class serves the reduction to one row a class, the anti-join and the bucketed table."""
+        placed = sets.select("seed", "cid", F.lit(load).alias("load_no"), "grams").repartition(self.strings.buckets, "cid")
+        one = placed.groupBy("cid").agg(F.first("seed").alias("seed"), F.first("load_no").alias("load_no"), F.first("grams").alias("grams"))
+        fresh = one.join(self.strings.read().select("cid"), "cid", "left_anti")
+        self.strings.append_placed(fresh.select("seed", "cid", "load_no", "grams"))
+        return self.strings.read().filter(F.col("load_no") == load)  # files of other loads are skipped by their statistics
+
+    def _hot(self, fresh: DataFrame, strings: int) -> np.ndarray | None:
+        """Stripes of each slot of first symbols in these strings; hashed to a fixed number of slots."""
+        if strings <= BLOCK_ROWS:  # a key has one segment of a string at most
             return None
         freq, sim, bounds = self.freq, self.sim, self.bounds
 
@@ -224,18 +232,18 @@ class SegmentIndex:
             at = np.flatnonzero(acc)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(acc[at])], names=["slot", "n"])
 
-        slots = sets.mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-        block = max(BLOCK_ROWS, 16 * symbols >> SKETCH_BITS)
-        hot = slots.filter(F.col("n") > block).toPandas()  # at most total / block rows
+        slots = materialize(fresh.mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")), "slots")
+        block = max(BLOCK_ROWS, 16 * (slots.agg(F.sum("n")).first()[0] or 0) >> SKETCH_BITS)
+        hot = slots.filter(F.col("n") > block).toPandas()  # at most 2^SKETCH_BITS / 16 rows
         if not len(hot):
             return None
         out = np.ones(1 << SKETCH_BITS, np.int32)
         out[hot["slot"].to_numpy()] = -(-hot["n"].to_numpy() // block)
         return out
 
-    def append(self, sets: DataFrame, symbols: int) -> None:
-        """Add classes that the index does not hold yet; symbols bounds the number of their symbols."""
-        hot = self._hot(sets, symbols)
+    def append(self, fresh: DataFrame, strings: int) -> None:
+        """Add the segments of strings that intake gave; strings bounds their number."""
+        hot = self._hot(fresh, strings)
         freq, sim, bounds, generation = self.freq, self.sim, self.bounds, len(self.stripes)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,8 +256,7 @@ class SegmentIndex:
                     key = np.where(n > 1, _striped(key, generation, stripe), key)
                 yield s.table(key, owner, number, {"rest": rest.view(np.int64)})
 
-        with ThreadPoolExecutor(2) as pool:  # two tables, two jobs side by side
-            list(pool.map(lambda job: job[0].append(job[1]), [(self.segments, sets.mapInArrow(run, SEGMENT)), (self.strings, sets.select("cid", "load_no", "grams"))]))
+        self.segments.append(fresh.mapInArrow(run, SEGMENT))
         self.stripes.append(hot)
 
     def probes(self, sets: DataFrame) -> DataFrame:
@@ -271,10 +278,13 @@ class SegmentIndex:
 
         return sets.mapInArrow(run, SEGMENT.replace("rest bigint, ", ""))
 
-    def candidates(self, sets: DataFrame) -> DataFrame:
-        """Distinct (a, b, load_a) with b of these sets whose bounds allow the similarity."""
+    def candidates(self, fresh: DataFrame, symbols: int) -> DataFrame:
+        """Distinct (a, b, load_a) with b of these strings whose bounds allow the similarity; symbols bounds
+        their length in sum."""
         p, q = self.sim
-        mine = self.probes(sets).withColumnsRenamed({c: f"b_{c}" for c in ("cid", "n", "pos", "w1", "w2", "excess")}).drop("load_no")
+        mine = self.probes(fresh).withColumnsRenamed({c: f"b_{c}" for c in ("cid", "n", "pos", "w1", "w2", "excess")}).drop("load_no")
+        if 3 * symbols <= HASHED_ROWS * self.segments.buckets:
+            mine = mine.hint("shuffle_hash")  # the index streams past, unsorted
         na, nb = F.col("n"), F.col("b_n")
         need = F.expr(f"({p} * (n + b_n) + {p + q - 1}) div {p + q}")
         bound = F.bit_count(F.col("w1").bitwiseAND(F.col("b_w1"))) + F.bit_count(F.col("w2").bitwiseAND(F.col("b_w2"))) + F.least("excess", "b_excess")
@@ -282,10 +292,11 @@ class SegmentIndex:
         whole = F.col("rest").bitwiseAND(F.bitwise_not("b_w1")) == 0
         return self.segments.read().join(mine, "key").filter(near & whole & (bound >= need)).groupBy(F.col("cid").alias("a"), F.col("b_cid").alias("b")).agg(F.min("load_no").alias("load_a"))
 
-    def probe(self, sets: DataFrame) -> DataFrame:
+    def probe(self, fresh: DataFrame, symbols: int) -> DataFrame:
         """Verified (a, b, load_a): class of the index, class of the batch, load that brought a."""
-        pairs = self.candidates(sets).join(self.strings.read().select(F.col("cid").alias("a"), F.col("grams").alias("grams_a")), "a")
-        return verified(pairs.join(sets.select(F.col("cid").alias("b"), F.col("grams").alias("grams_b")), "b"), self.sim)
+        stored = self.strings.read()
+        pairs = self.candidates(fresh, symbols).join(stored.select(F.col("cid").alias("a"), F.col("grams").alias("grams_a")), "a")
+        return verified(pairs.join(fresh.select(F.col("cid").alias("b"), F.col("grams").alias("grams_b")), "b"), self.sim)
 
     def drop(self) -> None:
         self.segments.drop()

@@ -165,13 +165,13 @@ def test_segment_index_finds_all_similar_sets(spark, monkeypatch, block):
     loads = {n: n % 3 for n in range(len(sets))}
     df = spark.createDataFrame([(1, n, loads[n], list(s)) for n, s in enumerate(sets)], "seed bigint, cid bigint, load_no int, grams array<int>")
     index = segments.SegmentIndex(df.filter("load_no = 0"), 3)
-    index.append(index.unknown(df.filter("load_no = 0")), 10**6)
     got = set()
-    for load in (1, 2):
-        fresh = index.unknown(df.filter(f"load_no <= {load}"))  # known classes stay out
-        assert {x.load_no for x in fresh.select("load_no").distinct().collect()} == {load}
-        got |= {(x.a, x.b) for x in index.probe(fresh).collect()}
-        index.append(fresh, 10**6)
+    for load in range(3):
+        fresh = index.intake(df.filter(f"load_no <= {load}"), load)  # known classes stay out
+        assert {x.cid for x in fresh.select("cid").collect()} == {n for n in loads if loads[n] == load}
+        if load:
+            got |= {(x.a, x.b) for x in index.probe(fresh, 10**4 if block > 12 else 10**9).collect()}
+        index.append(fresh, len(sets))
     assert any(s is not None for s in index.stripes) == (block == 12)
     expected = {(i, j) for a, b in _brute(sets) for i, j in [sorted((sets.index(a), sets.index(b)), key=loads.get)] if loads[i] != loads[j]}
     assert got == expected and len(got) > 100
