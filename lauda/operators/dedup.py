@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 from difflib import SequenceMatcher
-from itertools import permutations
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType
 
 BOUNDARY = ["contest_id", "application_id", "role_id", "stage_id", "shift_id", "content_kind"]
 
@@ -38,23 +39,45 @@ def within_document(df: DataFrame, doc: str, number: str, text: str, order: str)
     )
 
 
-#: Similarity of equal and of strong alternatives; of a weak one with traces of extraction;
-#: share of the longer text that the shorter must make up; growth that shows an extraction fault.
-EQUAL, STRONG, WEAK, CONTAINED, GROWTH, GROWTH_CHARS = 0.90, 0.94, 0.72, 0.45, 1.35, 18
-#: Alternatives up to which all assignments are tried; for more the same best one is computed.
-MAX_ALTERNATIVES = 8
+#: Similarity from which alternatives are equal, strong, weak with traces of damage; an answer's closest text.
+EQUAL, STRONG, WEAK, CLOSEST = 0.90, 0.94, 0.72, 0.90
+#: Share of the longer text that a contained one makes up (broken line, other damage).
+HELD_BROKEN, HELD = 0.25, 0.45
+#: Least letters of the shorter text (broken line, other damage), growth that shows damage, least alternatives.
+LETTERS_BROKEN, LETTERS, GROWTH, GROWTH_CHARS, ALTERNATIVES = 5, 8, 1.35, 18, 4
 
 
-def _key(t: str) -> str:
-    d = unicodedata.normalize("NFKD", t.casefold())
-    return "".join(c for c in d if c.isalnum())
+@dataclass(frozen=True)
+class Alternative:
+    """One alternative as it is compared: its words, its letters and digits alone, whether a line breaks in it."""
 
+    shown: str
+    bare: str
+    broken: bool
 
-def _similarity(a: tuple[str, str], b: tuple[str, str]) -> float:
-    """Similarity of two alternatives given as (text, key): the better of both forms."""
-    if not a[1] or not b[1]:
-        return 0.0
-    return 1.0 if a[1] == b[1] else max(SequenceMatcher(None, a[0], b[0]).ratio(), SequenceMatcher(None, a[1], b[1]).ratio())
+    @classmethod
+    @lru_cache(maxsize=1 << 16)
+    def of(cls, text: str) -> "Alternative":
+        flat = unicodedata.normalize("NFKD", text.casefold())
+        return cls(" ".join(text.casefold().split()), "".join(filter(str.isalnum, flat)), "\n" in text)
+
+    def closeness(self, other: "Alternative") -> float:
+        if self.bare == other.bare:
+            return float(bool(self.bare))
+        if not (self.bare and other.bare):
+            return 0.0
+        return max(SequenceMatcher(None, x, y).ratio() for x, y in ((self.shown, other.shown), (self.bare, other.bare)))
+
+    def damaged_form_of(self, other: "Alternative", score: float, alternatives: int) -> bool:
+        """Whether a weak pair may be one alternative that extraction broke or let run on."""
+        size, full = sorted((len(self.bare), len(other.bare)))
+        inside = self.bare in other.bare or other.bare in self.bare
+        held = size / full if size and inside else 0.0
+        broken = self.broken or other.broken
+        if broken and held >= HELD_BROKEN and size >= LETTERS_BROKEN:
+            return True
+        traced = broken or full - size >= GROWTH_CHARS and full >= GROWTH * size
+        return traced and alternatives >= ALTERNATIVES and size >= LETTERS and (held >= HELD or score >= WEAK)
 
 
 def _cheapest(cost: list[list[float]]) -> list[int]:
@@ -111,14 +134,12 @@ def best_assignment(m: list[list[float]]) -> list[int]:
 
 
 def alignment(left: list[str], right: list[str]) -> list[tuple[int, int, float]]:
-    """Best assignment of alternatives: most strong pairs, then the best worst pair, then the sum."""
-    if len(left) != len(right) or not left:
+    """(left, right, closeness) of the best assignment of alternatives, in polynomial time for any number of
+    them; empty where the numbers differ."""
+    if not left or len(left) != len(right):
         return []
-    a, b = ([(" ".join(t.casefold().split()), _key(t)) for t in side] for side in (left, right))
-    m = [[_similarity(x, y) for y in b] for x in a]
-    rank = lambda o: (sum(m[i][j] >= STRONG for i, j in enumerate(o)), min(m[i][j] for i, j in enumerate(o)), sum(m[i][j] for i, j in enumerate(o)))
-    best = max(permutations(range(len(b))), key=rank) if len(b) <= MAX_ALTERNATIVES else best_assignment(m)
-    return [(i, j, m[i][j]) for i, j in enumerate(best)]
+    grid = [[x.closeness(y) for y in map(Alternative.of, right)] for x in map(Alternative.of, left)]
+    return [(i, j, grid[i][j]) for i, j in enumerate(best_assignment(grid))]
 
 
 def alternatives_score(left: list[str], right: list[str]) -> float:
@@ -127,24 +148,53 @@ def alternatives_score(left: list[str], right: list[str]) -> float:
 
 
 def alternatives_compatible(left: list[str], right: list[str]) -> bool:
-    """All alternatives alike, or all but one strong and that one damaged in extraction: a line break in
-    it or a text grown far beyond its partner, of which it still holds a part."""
-    pairs = alignment(left, right)
-    if not pairs:
-        return False
-    if all(s >= EQUAL for _, _, s in pairs):
-        return True
-    weak = [p for p in pairs if p[2] < STRONG]
-    if len(weak) != 1:
+    """All alternatives equal, or all strong but the weakest, which may be damaged in extraction."""
+    by_score = sorted(alignment(left, right), key=lambda p: p[2])
+    if not by_score or by_score[0][2] >= EQUAL:
+        return bool(by_score)
+    if len(by_score) > 1 and by_score[1][2] < STRONG:
         return False
-    i, j, score = weak[0]
-    broken = "\n" in left[i] or "\n" in right[j]
-    short, long = sorted((_key(left[i]), _key(right[j])), key=len)
-    held = len(short) / len(long) if short and short in long else 0.0
-    if broken and len(short) >= 5 and held >= 0.25:
-        return True
-    grown = len(long) >= max(len(short) * GROWTH, len(short) + GROWTH_CHARS)
-    return len(pairs) >= 4 and (broken or grown) and len(short) >= 8 and (score >= WEAK or held >= CONTAINED)
+    i, j, score = by_score[0]
+    return Alternative.of(left[i]).damaged_form_of(Alternative.of(right[j]), score, len(by_score))
+
+
+def mapped_answer(answer: str | None, own: list[str], reference: list[str]) -> str | None:
+    """Bare text of the reference's alternative that an answer text stands for.
+
+    The answer's own alternative leads through the alignment; an answer that is none of its question's
+    alternatives goes to the closest one of the reference, and stays itself where none is close.
+    """
+    if not answer or not (mine := Alternative.of(answer)).bare:
+        return None
+    position = next((n for n, t in enumerate(own) if Alternative.of(t).bare == mine.bare), None)
+    target = {i: j for i, j, _ in alignment(own, reference)}.get(position)
+    if target is not None:
+        return Alternative.of(reference[target]).bare
+    near = max(((mine.closeness(Alternative.of(t)), Alternative.of(t).bare) for t in reference), default=(0.0, ""))
+    return near[1] if near[0] >= CLOSEST else mine.bare
+
+
+@F.pandas_udf(StringType())
+def mapped_answers(answer: pd.Series, own: pd.Series, reference: pd.Series) -> pd.Series:
+    """mapped_answer of every row; null lists count as empty."""
+    full = lambda x: [t or "" for t in x] if x is not None else []
+    return pd.Series([mapped_answer(a, full(x), full(y)) for a, x, y in zip(answer, own, reference)], dtype=object)
+
+
+def answer_consensus(members: DataFrame, group: str, representative: DataFrame) -> DataFrame:
+    """(group, n_answers, n_values, outcome, answer_text): do a group's members, whose alternatives may stand in
+    another order, name the same answer?
+
+    members: (group, answer_text, alts); representative: (group, rep_alts), one row per group. Equal
+    (answer, alternatives) of a group are mapped once. agreed, conflict, or missing without any answer.
+    """
+    one = members.groupBy(group, "answer_text", "alts").agg(F.count("*").alias("_n"))
+    mapped = one.join(representative, group).select(group, "_n", mapped_answers("answer_text", "alts", "rep_alts").alias("_v"))
+    per = mapped.groupBy(group, "_v").agg(F.sum("_n").alias("_n")).groupBy(group).agg(
+        F.sum(F.when(F.col("_v").isNotNull(), F.col("_n"))).alias("n_answers"), F.count("_v").alias("n_values"), F.min("_v").alias("_v")
+    )
+    outcome = F.when(F.col("n_values") == 0, "missing").when(F.col("n_values") == 1, "agreed").otherwise("conflict")
+    return per.select(group, F.coalesce("n_answers", F.lit(0)).alias("n_answers"), "n_values", outcome.alias("outcome"), F.when(F.col("n_values") == 1, F.col("_v")).alias("answer_text"))
 
 
 @F.pandas_udf(DoubleType())
@@ -167,38 +217,45 @@ def exact_units(df: DataFrame, boundary: list[str], statement_key: str, content_
     )
 
 
-def near_clusters(units: DataFrame, boundary: list[str], statement_key: str) -> DataFrame:
-    """Greedy complete-linkage clusters of units with one statement inside one boundary.
+def complete_linkage(units: list[tuple[str, list[str], set[str]]]) -> list[list[int]]:
+    """Clusters of units (id, alternatives, booklets) in the given order: the first free unit gathers every
+    later free one that is compatible with all it has gathered. Each pair is compared once at most."""
+    free = list(range(len(units)))
+    out = []
+    while free:
+        seed, *others = free
+        cluster, books, free = [seed], set(units[seed][2]), []
+        for n in others:
+            if books.isdisjoint(units[n][2]) and all(alternatives_compatible(units[m][1], units[n][1]) for m in cluster):
+                cluster.append(n)
+                books |= units[n][2]
+            else:
+                free.append(n)
+        out.append(cluster)
+    return out
+
 
-    Units of one booklet never meet. Buckets of one unit, nearly all, never leave the JVM; the others
-    are streamed sorted through one ordered pass, a bucket at a time.
-    """
-    from pyspark.sql import Window
+def near_clusters(units: DataFrame, boundary: list[str], statement_key: str, content_key: str = "unit_id") -> DataFrame:
+    """(unit_id, cluster_id): greedy complete-linkage clusters of units with one statement inside one
+    boundary, taken in the order of their content key; the cluster is named by its smallest unit.
 
-    n = F.count("*").over(Window.partitionBy(*boundary, statement_key))
-    marked = units.withColumn("_n", n)
+    Units of one booklet never meet, nor do units with different numbers of alternatives, which lie in
+    buckets of their own. Buckets of one unit, nearly all, never leave the JVM; the others are streamed
+    sorted through one ordered pass, a bucket at a time.
+    """
+    bucket = [*boundary, statement_key, "_size"]
+    sized = units.withColumn("_size", F.coalesce(F.size("alts"), F.lit(0)))
+    counts = sized.groupBy(*[F.col(c).alias(f"_b_{c}") for c in bucket]).agg(F.count("*").alias("_n"))
+    marked = sized.join(counts, [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in bucket]).select(*sized.columns, "_n")
     single = marked.filter("_n = 1").select("unit_id", F.col("unit_id").alias("cluster_id"))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
+        held: list[tuple[str, list[str], set[str]]] = []
         last = None
 
         def done() -> pd.DataFrame:
-            clusters = [[h] for h in held]
-            i = 0
-            while i < len(clusters):
-                j = i + 1
-                while j < len(clusters):
-                    a, b = clusters[i], clusters[j]
-                    apart = not ({x for h in a for x in h[2]} & {x for h in b for x in h[2]})
-                    if apart and all(alternatives_compatible(list(x[1]), list(y[1])) for x in a for y in b):
-                        clusters[i] = sorted(a + b, key=lambda h: h[0])
-                        del clusters[j]
-                        j = i + 1
-                    else:
-                        j += 1
-                i += 1
-            return pd.DataFrame([(h[0], c[0][0]) for c in clusters for h in c], columns=["unit_id", "cluster_id"])
+            rows = [(held[n][0], min(held[m][0] for m in c)) for c in complete_linkage(held) for n in c]
+            return pd.DataFrame(rows, columns=["unit_id", "cluster_id"])
 
         for pdf in it:
             for key, uid, alts, books in zip(pdf["_key"], pdf["unit_id"], pdf["alts"], pdf["booklets"]):
@@ -206,12 +263,12 @@ def near_clusters(units: DataFrame, boundary: list[str], statement_key: str) ->
                     yield done()
                     held = []
                 last = key
-                held.append((uid, alts if alts is not None else [], books if books is not None else []))
+                held.append((uid, [t or "" for t in alts] if alts is not None else [], set(books) if books is not None else set()))
         if held:
             yield done()
 
-    many = marked.filter("_n > 1").select(F.xxhash64(*boundary, statement_key).alias("_key"), "unit_id", "alts", "booklets")
-    multi = many.repartition("_key").sortWithinPartitions("_key", "unit_id").mapInPandas(run, "unit_id string, cluster_id string")
+    many = marked.filter("_n > 1").select(F.sha2(F.to_json(F.struct(*bucket)), 256).alias("_key"), F.col(content_key).alias("_content"), "unit_id", "alts", "booklets")
+    multi = many.repartition("_key").sortWithinPartitions("_key", "_content", "unit_id").select("_key", "unit_id", "alts", "booklets").mapInPandas(run, "unit_id string, cluster_id string")
     return single.unionByName(multi)
 
 
@@ -240,26 +297,30 @@ def supersession_heads(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(edges.select(F.col("predecessor").alias("node")).filter("node is not null").distinct(), "node", "left_anti")
 
 
-def chain_depth(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def chain_depth(edges: DataFrame) -> DataFrame:
     """(node, root, depth) of predecessor chains by pointer doubling: a chain of length L takes log2 L
-    joins. Nodes on a cycle, or whose chain leaves the table, get a null root."""
-    from lauda.session import materialize
+    joins. Nodes on a cycle, or whose chain leaves the table, get a null root and depth; of several rows of
+    a node the smallest predecessor counts; rows without a node take no part.
+
+    Every round resolves some node of each unfinished chain, so when a round resolves none, what is left
+    runs into a cycle.
+    """
+    from lauda.session import materialize, release
 
-    first = edges.select("node", F.col("predecessor").alias("up"))
+    first = edges.filter("node is not null").groupBy("node").agg(F.min("predecessor").alias("up"))
     known = first.select(F.col("node").alias("up"), F.lit(True).alias("_in"))
+    there = F.col("_in").isNotNull()
     cur = first.join(known, "up", "left").select(
-        "node", F.when(F.col("_in"), F.col("up")).alias("up"), F.when(F.col("_in"), 1).otherwise(0).alias("depth"), (F.col("up").isNotNull() & F.col("_in").isNull()).alias("dangling")
+        "node", F.when(there, F.col("up")).alias("up"), there.cast("bigint").alias("depth"), (F.col("up").isNotNull() & ~there).alias("dangling"), F.coalesce(F.when(there, F.col("up")), F.col("node")).alias("root")
     )
-    cur, n = materialize(cur, "chain"), 0
-    while n < rounds and cur.filter("up is not null").limit(1).count():
-        up = cur.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("dangling").alias("g2"), F.coalesce(F.col("root"), F.col("node")).alias("r2") if "root" in cur.columns else F.col("node").alias("r2"))
-        nxt = cur.join(up, "up", "left").select(
-            "node",
-            F.col("up2").alias("up"),
-            (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"),
-            (F.col("dangling") | F.coalesce("g2", F.lit(False))).alias("dangling"),
-            F.coalesce(F.col("r2"), F.col("root") if "root" in cur.columns else F.col("node")).alias("root"),
+    cur, before = materialize(cur, "chain"), None
+    while (live := cur.filter("up is not null").count()) and live != before:
+        ahead = cur.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("dangling").alias("g2"), F.col("root").alias("r2"))
+        running = cur.filter("up is not null").join(ahead, "up").select(
+            "node", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), F.col("g2").alias("dangling"), F.col("r2").alias("root")
         )
-        cur, n = materialize(nxt, "chain"), n + 1
-    root = F.col("root") if "root" in cur.columns else F.col("node")
-    return cur.select("node", F.when(F.col("up").isNull() & ~F.col("dangling"), root).alias("root"), F.when(F.col("up").isNull() & ~F.col("dangling"), F.col("depth")).alias("depth"))
+        last, before = cur, live
+        cur = materialize(cur.filter("up is null").unionByName(running), "chain")
+        release(last)
+    whole = F.col("up").isNull() & ~F.col("dangling")
+    return cur.select("node", F.when(whole, F.col("root")).alias("root"), F.when(whole, F.col("depth")).alias("depth"))

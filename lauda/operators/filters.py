@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lauda.functions import text as t
+from lauda.session import checked_broadcast
 
 
 def fold_literal(value: str) -> str:
@@ -151,7 +152,7 @@ class Scope:
             raise ValueError("a scope names ids, a filter or everything, and only one of them")
         if self.ids is not None:
             wanted = df.sparkSession.createDataFrame([(i,) for i in self.ids], "id string")
-            return df.join(F.broadcast(wanted), "id", "left_semi")  # as many as the caller listed
+            return df.join(checked_broadcast(wanted), "id", "left_semi")
         return filtered(df, self.filters) if self.filters is not None else df
 
 

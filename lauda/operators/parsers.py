@@ -81,49 +81,87 @@ def chunks(text: str, size: int = 12000, overlap: int = 800) -> list[tuple]:
 
 CHUNK_SCHEMA = "chunk_no int, start int, chunk string"
 
-#: Answer letters A to H, X, * or ANULADO/A after a number of up to three digits.
-_INLINE = re.compile(r"(?<!\d)(\d{1,3})\s*[.\-):]\s*([A-H]|X|ANULAD[AO]|\*)(?=\s|$)", re.I)
-_SINGLE = re.compile(r"^\s*(\d{1,3})\s*[.\-):]?\s*([A-H]|X|ANULAD[AO]|\*)\s*$", re.I)
-_TABLE = re.compile(r"(?<!\d)(\d{1,3})\s+([A-H]|X|\*)(?=\s|$)", re.I)
-_NUMBERS = re.compile(r"^(?:\s*\d{1,3}\s*){2,}$")
-_LETTERS = re.compile(r"^(?:\s*[A-HX*][.\s]*)+$", re.I)
+#: Answer letters, signs and words of an annulled question, marks between number and answer.
+ANSWERS, VOID_SIGNS, VOID_WORDS, BETWEEN = "ABCDEFGH", ("X", "*"), ("ANULADA", "ANULADO"), ".-):"
+_TOKEN = re.compile(r"\d+|[^\W\d_]+|\S")
 
 
-def _entry(number: str, raw: str) -> tuple[int, str | None, bool]:
-    raw = raw.upper()
-    void = raw in ("X", "*") or raw.startswith("ANULAD")
-    return int(number), None if void else raw, void
+def _verdict(token: str) -> tuple[str | None, bool] | None:
+    """(answer, annulled) that a token states, None when it states neither."""
+    t = token.upper()
+    if len(t) == 1 and t in ANSWERS:
+        return t, False
+    return (None, True) if t in VOID_SIGNS or t in VOID_WORDS else None
+
+
+def _number_row(line: str) -> list[int]:
+    """The numbers of a line of two or more numbers and nothing else."""
+    parts = line.split()
+    return [int(x) for x in parts] if len(parts) > 1 and all(x.isdecimal() and len(x) <= 3 for x in parts) else []
+
+
+def _answer_row(line: str) -> list[tuple[str | None, bool]]:
+    """The verdicts of a line of single letters and signs, dots aside."""
+    signs = [_verdict(c) for c in "".join(line.split()).replace(".", "")]
+    return signs if signs and all(signs) else []
+
+
+def _stated_pairs(line: str) -> tuple[list[tuple[int, str | None, bool]], bool]:
+    """((number, answer, annulled) of a line, whether they make up all of it).
+
+    Pairs with a mark between number and answer come before pairs that merely stand side by side; a
+    verdict has to end at white space. A word for annulled without a mark counts only on a line of its own.
+    """
+    found = list(_TOKEN.finditer(line))
+    marked, plain, used = [], [], 0
+    for at, m in enumerate(found):
+        if not m.group().isdecimal() or len(m.group()) > 3:
+            continue
+        mark = at + 1 < len(found) and found[at + 1].group() in BETWEEN
+        end = found[at + 1 + mark] if at + 1 + mark < len(found) else None
+        verdict = _verdict(end.group()) if end else None
+        if verdict is None or not line[end.end() : end.end() + 1].isspace() and end.end() < len(line):
+            continue
+        pair = (int(m.group()), *verdict)
+        if mark:
+            marked.append(pair)
+            used += 3
+        elif len(found) == 2 or (end.start() > m.end() and len(end.group()) == 1):
+            plain.append(pair)
+    return marked or plain, bool(marked) and used == len(found)
 
 
 def answer_key(text: str) -> list[tuple]:
     """(number, answer, annulled) of a key given as lines, pairs in a line, a table, or rows of numbers
     above rows of letters; a later entry of a number wins."""
-    out: dict[int, tuple] = {}
-    waiting: list[str] = []
+    stated: dict[int, tuple] = {}
+    above: list[int] = []
     for line in text.splitlines():
-        if _NUMBERS.match(line):
-            waiting = re.findall(r"\d{1,3}", line)
+        if numbers := _number_row(line):
+            above = numbers
             continue
-        letters = re.findall(r"[A-HX*]", line, re.I) if _LETTERS.match(line) else []
-        if waiting and len(letters) == len(waiting):
-            pairs = list(zip(waiting, letters))
-            waiting = []
+        below = _answer_row(line)
+        if above and len(below) == len(above):
+            pairs, above = [(n, *v) for n, v in zip(above, below)], []
         else:
-            pairs = _INLINE.findall(line) or _SINGLE.findall(line) or _TABLE.findall(line)
-        for n, a in pairs:
-            e = _entry(n, a)
-            out[e[0]] = e
-    return [out[n] for n in sorted(out)]
+            pairs = _stated_pairs(line)[0]
+        stated.update((p[0], p) for p in pairs)
+    return [stated[n] for n in sorted(stated)]
 
 
 KEY_SCHEMA = "number int, answer string, annulled boolean"
 
 
+#: Fixed value: letters of right and wrong as letters of a first and second alternative.
+TRUE_FALSE = {"C": "A", "E": "B", None: None}
+
+
 def true_false_to_letters(entries: list[tuple]) -> list[tuple]:
     """C/E answers as A/B; nothing when any answer is another letter."""
-    if any(not void and a not in ("C", "E") for _, a, void in entries):
-        return []
-    return [(n, None if void else {"C": "A", "E": "B"}[a], void) for n, a, void in entries]
+    said = [(n, None if void else a, void) for n, a, void in entries]
+    if {a for _, a, void in said if not void} <= TRUE_FALSE.keys() - {None}:
+        return [(n, TRUE_FALSE[a], void) for n, a, void in said]
+    return []
 
 
 _HEADER = re.compile(r"^\s*quest[ãa]o\s*(?:n[ºo.]*)?\s*(\d{1,3})\b[.:)\-]?\s*(.*)$", re.I)
@@ -199,25 +237,6 @@ def discipline_ranges(text: str) -> list[tuple]:
     return out
 
 
-_JOIN = re.compile(r"([^\W\d_]{2,})([-­])[ \t]*\r?\n[ \t]*([^\W\d_]{2,})")
-
-
-def repair_hyphenation(text: str) -> str:
-    """Join words cut at a line end when the joined spelling occurs elsewhere in the text, or the
-    hyphen is a soft one; a hyphenated spelling elsewhere forbids it."""
-    plain = {w.casefold() for w in re.findall(r"(?<![\w-])[^\W\d_]+(?![\w-])", text)}
-    plain |= {(a + b).casefold() for a, d, b in _JOIN.findall(text) if d == "­" and b[0].islower()}
-    compound = {w.casefold() for w in re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)+", text)}
-
-    def fix(m: re.Match) -> str:
-        a, d, b = m.groups()
-        if not b[0].islower() or f"{a}-{b}".casefold() in compound:
-            return m.group()
-        return a + b if d == "­" or (a + b).casefold() in plain else m.group()
-
-    return _JOIN.sub(fix, text)
-
-
 _MARK = re.compile(r"^\s*\{(\d{1,3})\}\s*$")
 
 
@@ -260,22 +279,21 @@ def answer_grids(text: str) -> list[tuple]:
             continue
         if head is None or not line.strip():
             continue
-        if _NUMBERS.match(line):
-            waiting = re.findall(r"\d{1,3}", line)
+        if numbers := _number_row(line):
+            waiting = numbers
             continue
-        letters = re.findall(r"[A-HX*]", line, re.I) if _LETTERS.match(line) else []
-        if waiting and len(letters) == len(waiting):
-            pairs, waiting = list(zip(waiting, letters)), []
+        below = _answer_row(line)
+        if waiting and len(below) == len(waiting):
+            pairs, waiting = [(n, *v) for n, v in zip(waiting, below)], []
         else:
-            pairs = _INLINE.findall(line)
-            if not pairs or _INLINE.sub("", line).strip():
+            pairs, whole = _stated_pairs(line)
+            if not whole:
                 continue
-        for n, a in pairs:
-            e = _entry(n, a)
-            k = (*head, e[0])
-            if k in out and out[k][1:] != (*head, *e):
+        for pair in pairs:
+            k, row = (*head, pair[0]), (*head, *pair)
+            if k in out and out[k][1:] != row:
                 bad.add(k)
-            out.setdefault(k, (grid, *head, *e))
+            out.setdefault(k, (grid, *row))
     return [v for k, v in out.items() if k not in bad]
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lauda.functions import stats
+from lauda.session import checked_broadcast
 
 
 def seeded(seed: str, key: Column) -> Column:
@@ -19,7 +20,7 @@ def stratified(df: DataFrame, stratum: str, key: str, total: int, seed: str) ->
     seats = stats.largest_remainder(sizes, stratum, "_size", total).select(stratum, "share")
     w = Window.partitionBy(stratum).orderBy(seeded(seed, F.col(key)), F.col(key))
     ranked = df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= total)
-    return ranked.join(F.broadcast(seats), stratum).filter(F.col("_n") <= F.col("share")).drop("_n", "share")
+    return ranked.join(checked_broadcast(seats), stratum).filter(F.col("_n") <= F.col("share")).drop("_n", "share")
 
 
 def coverage_first(df: DataFrame, key: str, dims: dict[str, Column], target: int, seed: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lauda.session import materialize
+from lauda.session import checked_broadcast, materialize
 
 
 def latest_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -45,8 +45,8 @@ def with_neighbours(df: DataFrame, part: list[str], order: str, cols: list[str])
     ends = d.groupBy("_p").agg(F.min_by(row, key).alias("lo"), F.max_by(row, key).alias("hi"))  # a row per partition
     by = Window.partitionBy(F.lit(0)).orderBy("_p")
     edge = ends.select("_p", F.lag("hi").over(by).alias("before"), F.lead("lo").over(by).alias("after"))
-    out = out.join(F.broadcast(edge), "_p")
-    same = lambda side: F.struct(*[F.col(f"{side}.{p}") for p in part]).eqNullSafe(F.struct(*part))
+    out = out.join(checked_broadcast(edge), "_p")
+    same = lambda side: F.struct(*[F.col(f"{side}.{p}") for p in part]).eqNullSafe(F.struct(*part)) if part else F.lit(True)
     take_prev, take_next = F.col("_first") & F.col("before").isNotNull() & same("before"), F.col("_last") & F.col("after").isNotNull() & same("after")
     for c in cols:
         out = out.withColumns(
@@ -131,7 +131,7 @@ def batches(df: DataFrame, order: list[str], size: int, part: list[str] | None =
     w = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offset = n.select("_p", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_o"))
     inside = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    return d.join(F.broadcast(offset), "_p").withColumn("batch_no", F.floor((F.col("_o") + inside) / size).cast("int")).drop("_p", "_o")
+    return d.join(checked_broadcast(offset), "_p").withColumn("batch_no", F.floor((F.col("_o") + inside) / size).cast("int")).drop("_p", "_o")
 
 
 def biggest_group(df: DataFrame, by: list[str], group: str) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lauda.functions import dates, hashing, text
-from lauda.operators import classify, dedup, facets, parsers, quality, sampling
+from lauda.operators import classify, dedup, facets, hyphens, parsers, quality, sampling
+from lauda.operators.windows import with_neighbours
 from lauda.session import table
 from lauda.sqltext import WS, alnum, fold, fold_keep, percent, squeeze, wilson
 
@@ -121,16 +122,10 @@ def page_questions(spark, sf_dir):
     return parsers.expand(p, "page", "text", parsers.questions, parsers.QUESTION_SCHEMA)
 
 
-def _joined_lines(it):
-    for pdf in it:
-        n = [0 if t is None else t.count("\n") - parsers.repair_hyphenation(t).count("\n") for t in pdf["text"]]
-        yield pdf[["document_id", "page_number"]].assign(n_joined=n)
-
-
 def page_hyphen_repair(spark, sf_dir):
-    """Line-end cuts joined where the page's own spelling confirms it."""
+    """Line-end cuts joined where the spelling of the whole document confirms it."""
     p = table(spark, sf_dir, "pages").select("document_id", "page_number", "text")
-    return p.mapInPandas(_joined_lines, "document_id string, page_number int, n_joined int")
+    return hyphens.repaired(p, ["document_id", "page_number"], "document_id", "text").select("document_id", "page_number", "n_joined")
 
 
 def doc_chunks(spark, sf_dir):
@@ -167,10 +162,8 @@ def doc_token_match(spark, sf_dir):
 
 def doc_sequence_ratio(spark, sf_dir):
     """Ratcliff/Obershelp ratio between each item and the next one."""
-    from pyspark.sql import Window
-
-    e = table(spark, sf_dir, "eval_items").select("item_id", "text", F.lead("text").over(Window.partitionBy(F.lit(0)).orderBy("item_id")).alias("nxt"))
-    return e.select("item_id", F.round(dedup.sequence_ratio("text", "nxt"), 6).alias("ratio"))
+    e = with_neighbours(table(spark, sf_dir, "eval_items").select("item_id", "text"), [], "item_id", ["text"])
+    return e.select("item_id", F.round(dedup.sequence_ratio("text", "next_text"), 6).alias("ratio"))
 
 
 def doc_hash_identity(spark, sf_dir):

@@ -33,8 +33,8 @@ def link_left_filtered(spark, sf_dir):
     """Questions with their official suggestion, if any: the extra ON predicate keeps the left rows."""
     s = windows.latest_per_key(table(spark, sf_dir, "desktop_answer_suggestions").select(_key("question_id").alias("id"), "suggested_answer", "is_official", "created_at", F.col("id").alias("sid")), ["id", "sid"], ["created_at"])
     q = table(spark, sf_dir, "questions").select("id")
-    official = s.filter(F.coalesce("is_official", F.lit(False))).groupBy("id").agg(F.min("suggested_answer").alias("official_answer"))
-    return q.join(official, "id", "left")
+    both = joins.left_filtered(q, s, ["id"], F.coalesce("is_official", F.lit(False)))
+    return both.groupBy("id").agg(F.min("suggested_answer").alias("official_answer"))
 
 
 def link_exists(spark, sf_dir):

@@ -21,12 +21,16 @@ def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [o.references(table(spark, sf_dir, t), r) for r, t in REFERENCES])
 
 
-def _existence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reduce(DataFrame.unionByName, [o.target_deltas(table(spark, sf_dir, t), s) for t, s in TARGETS])
+def _followed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, o.OrphanState]:
+    """(suspects, state) after all change deltas, year by year."""
+    given_up = reduce(DataFrame.unionByName, [o.superseded(table(spark, sf_dir, t), r) for r, t in REFERENCES])
+    targets = reduce(DataFrame.unionByName, [o.target_deltas(table(spark, sf_dir, t), s) for t, s in TARGETS])
+    return o.follow(_refs(spark, sf_dir), given_up, targets)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return o.orphan_records(_refs(spark, sf_dir), o.fold_deltas(_existence(spark, sf_dir)))
+    suspects, state = _followed(spark, sf_dir)
+    return o.orphan_records(suspects, state.current(suspects.select(*o.OrphanState.KEY).distinct()))
 
 
 def p1_orphans_per_period(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +38,7 @@ def p1_orphans_per_period(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_orphan_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = o.fold_deltas(_existence(spark, sf_dir))
-    return o.orphan_keys(o.apply_deltas(state, o.reference_deltas(_refs(spark, sf_dir))))
+    return o.orphan_keys(_followed(spark, sf_dir)[1].current())
 
 
 QUERIES = {"p1_found": p1_found, "p1_orphans_per_period": p1_orphans_per_period, "p1_orphan_keys": p1_orphan_keys}

@@ -86,7 +86,7 @@ def question_near_clusters(spark, sf_dir):
     )
     q = q.withColumn("ckey", F.sha2(F.array_join(F.array_sort(F.transform("alts", text.comparison_key)), "|"), 256)).withColumn("skey", F.sha2("skey", 256))
     units = dedup.exact_units(q, ["discipline"], "skey", "ckey", "booklet")
-    return dedup.near_clusters(units, ["discipline"], "skey")
+    return dedup.near_clusters(units, ["discipline"], "skey", "ckey")
 
 
 def question_filter_report(spark, sf_dir):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -18,14 +19,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders that this process has written below the shared folder and not removed yet.
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, taken from spark.checkpoint.dir.
 
-    Where the session names none (tests, local mode) a temporary folder of this machine is used and
-    remembered in the session, since then there is only this machine.
+    A session on this machine alone that names none gets a temporary folder, remembered in the session;
+    on a cluster the setting has to be there.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir is not set: master {master} needs a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="lauda-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -33,7 +41,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _WRITTEN.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
@@ -41,7 +51,22 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     path = scratch(df.sparkSession, name)
     writer = df.write.mode("overwrite").option("compression", "lz4")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lauda_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Remove the table that materialize wrote for df, which must not be read again."""
+    if path := getattr(df, "_lauda_path", None):
+        drop_path(df.sparkSession, path)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Remove every folder that this process has written below the shared folder: to be called when the
+    results of the queries so far have been read."""
+    for path in list(_WRITTEN):
+        drop_path(spark, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -49,6 +74,8 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
 
 
 def plan_bytes(df: DataFrame) -> int:

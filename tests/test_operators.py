@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lauda import queries_state
-from lauda.operators import classify, dedup, facets, filters, joins, linkage, parsers, quality, setops, state, windows
+from lauda.operators import classify, dedup, facets, filters, hyphens, joins, linkage, parsers, quality, setops, state, windows
 from lauda.plans.pipeline import Pipeline, checked_suggestions
 from lauda.sources import readers, sinks
 
@@ -37,14 +37,16 @@ def test_question_parser():
     assert parsers.discipline_ranges("Português  Matemática\n1 a 10  11 a 20") == [("Português", 1, 10), ("Matemática", 11, 20)]
 
 
-def test_links_chunks_and_hyphens():
+def test_links_chunks_and_hyphens(spark):
     html = '<h2>2024</h2><a href="/p.pdf">Prova <b>1</b></a><a href="v?file=%2Fq.pdf">G</a><!-- <a href="x">no</a> -->'
     assert parsers.links(html, "https://e.org/a/") == [(1, "https://e.org/p.pdf", "Prova 1", "2024"), (2, "https://e.org/q.pdf", "G", "2024")]
     t = "\n".join(f"linha {n}" for n in range(400))
     c = parsers.chunks(t, 500, 50)
     assert all(len(x[2]) <= 500 for x in c) and c[0][2] + "".join(b[2][c[n][1] + len(c[n][2]) - b[1] :] for n, b in enumerate(c[1:])) == t
     assert parsers.chunks("") == []
-    assert parsers.repair_hyphenation("A vigilância e a vigi-\nlância; o bem-\nestar, bem-estar; sín­\ntese") == "A vigilância e a vigilância; o bem-\nestar, bem-estar; síntese"
+    pages = spark.createDataFrame([("d", 1, "A vigilância e a vigi-\nlância; o bem-\nestar, bem-estar; sín\u00ad\ntese"), ("d", 2, "a nova vigi-\n lância da sín-\ntese"), ("e", 1, "a vigi-\nlância"), (None, 1, None)], "doc string, page int, text string")
+    fixed = {(r.doc, r.page): (r.text, r.n_joined) for r in hyphens.repaired(pages, ["doc", "page"], "doc", "text").collect()}
+    assert fixed == {("d", 1): ("A vigilância e a vigilância; o bem-\nestar, bem-estar; síntese", 2), ("d", 2): ("a nova vigilância da síntese", 2), ("e", 1): ("a vigi-\nlância", 0), (None, 1): (None, 0)}
 
 
 def test_filters(spark):
@@ -118,7 +120,7 @@ def test_near_clusters_keep_booklets_apart(spark):
 
 def test_chains(spark):
     e = [(f"n{n}", f"n{n - 1}" if n else None) for n in range(20)] + [("c1", "c2"), ("c2", "c1"), ("lost", "nowhere")]
-    got = {r.node: (r.root, r.depth) for r in dedup.chain_depth(spark.createDataFrame(e, "node string, predecessor string"), 8).collect()}
+    got = {r.node: (r.root, r.depth) for r in dedup.chain_depth(spark.createDataFrame(e, "node string, predecessor string")).collect()}
     assert got["n19"] == ("n0", 19) and got["n0"] == ("n0", 0) and got["c1"] == (None, None) and got["lost"] == (None, None)
 
 

@@ -1,5 +1,7 @@
 """Every query with oracle SQL gives the oracle's rows on the smallest scale; a second run gives the same."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
@@ -23,7 +25,7 @@ def test_against_oracle(spark, con, tiny, name):
     assert compare(spark, con, tiny, QUERIES[name], SQL[name]) == ""
 
 
-@pytest.mark.parametrize("name", sorted(n for n in set(QUERIES) - set(SQL) if not n.startswith("p")))
+@pytest.mark.parametrize("name", sorted(n for n in set(QUERIES) - set(SQL) if not re.match(r"p[0-9]_", n)))
 def test_queries_without_oracle_are_deterministic(spark, tiny, name):
     one, two = (sorted(map(str, QUERIES[name](spark, tiny).collect())) for _ in range(2))
     assert one == two
