@@ -14,12 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lauda.llm.segments import Bucketed, SegmentIndex
+from lauda.buckets import Bucketed, buckets_for
+from lauda.llm.segments import SegmentIndex
 from lauda.session import scratch
 
-#: Segments of one bucket of the index, and keys of one bucket of the ledger.
-BUCKET_ROWS = 4_000_000
-
 
 def plain_digest(c: Column) -> Column:
     """A digest in lower case hex without separators or algorithm prefix; null when blank."""
@@ -38,14 +36,6 @@ def digest_rows(df: DataFrame, src: str, field: str) -> DataFrame:
     )
 
 
-def buckets_for(rows: int, floor: int) -> int:
-    return max(floor, -(-rows // BUCKET_ROWS))
-
-
-def _partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _read(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
@@ -63,7 +53,7 @@ def repeated_keys(rows: DataFrame) -> DataFrame:
     """
     spark = rows.sparkSession
     key = ["src_table", "k1", "k2"]
-    ledger = Bucketed(spark, "keys", "src_table string, k1 bigint, k2 int", key, buckets_for(rows.count(), _partitions(spark)))
+    ledger = Bucketed(spark, "keys", "src_table string, k1 bigint, k2 int", key, buckets_for(spark, rows.count()))
     paths: list[str] = []
     for load in loads_of(rows):
         mine = rows.filter(F.col("load_no") == load).groupBy(*key).agg(F.lit(load).alias("load_no"))
@@ -96,7 +86,7 @@ def near_classes(sets: DataFrame) -> DataFrame:
     for load in sorted(sizes):
         mine, size = sets.filter(F.col("load_no") == load), sizes[load]
         if index is None:
-            index = SegmentIndex(mine, buckets_for(size.symbols * 2 // 5, _partitions(spark)))
+            index = SegmentIndex(mine, buckets_for(spark, size.symbols * 2 // 5))
         fresh = index.intake(mine, load)
         if index.stripes:
             paths.append(scratch(spark, "near-of-load"))

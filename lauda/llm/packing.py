@@ -6,15 +6,18 @@ among the items that fit, the one whose sizes have the largest dot product with
 container, each dimension weighted by its share of total demand; when none fits it is closed. A
 document larger than the capacity is cut into full pieces and a remainder; nothing else is cut.
 
+The loss limit lies between the corpus' own share of loss-bearing tokens and the capacity, so it binds:
+a container cannot be filled with answers alone, and those that are short of prompts take in others. It
+is a limit on putting items together; an item that alone bears more stands alone, since it may not be cut.
+
 Items of equal token count form one list ordered by loss-bearing tokens, so a choice looks at the
 distinct counts (at most the capacity), not at the items. Documents are spread over packing buckets
 of about BUCKET_ITEMS items by hash; a bucket is the unit of memory, and costs at most one container
 that is not full.
 
-Edge cases: texts that are null or give no token, and rows without doc_id, are no items; a piece never exceeds a limit, since
-the segment limit is at least 1 and the loss limit at least the capacity times loss_share, which
-must leave a single piece room: pieces are cut to the smaller of both. Equal documents are packed
-each; ties go to the smaller doc_id.
+Edge cases: texts that are null or give no token, and rows without doc_id, are no items; the segment limit
+is at least 1; in a corpus without prompts the loss limit is the capacity. Equal documents are packed each;
+ties go to the smaller doc_id.
 """
 
 from __future__ import annotations
@@ -53,9 +56,20 @@ class Limits:
 
     @classmethod
     def of(cls, spec_id: int, capacity: int, tokens_per_segment: int = 32, loss_share: float = 1.0) -> "Limits":
+        """loss_share: loss-bearing tokens that may stand together, as a share of the capacity."""
         return cls(spec_id, capacity, max(1, capacity // tokens_per_segment), max(1, int(capacity * loss_share)))
 
 
+#: Where the loss limit lies between the corpus' share of loss-bearing tokens (0) and the capacity (1).
+LOSS_HEADROOM = 0.5
+
+
+def loss_share(tokens: int, prompt: int, headroom: float = LOSS_HEADROOM) -> float:
+    """Share of a container that loss-bearing tokens may take, from the sums over the whole corpus."""
+    own = 1 - prompt / tokens if tokens else 1.0
+    return own + (1 - own) * headroom
+
+
 def encoder(path: str):
     import tiktoken
 
@@ -86,7 +100,7 @@ def token_counts(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
 
 def cut(doc: np.ndarray, tokens: np.ndarray, prompt: np.ndarray, limit: Limits) -> tuple[np.ndarray, ...]:
     """(doc, piece, start, tokens, loss) of all pieces."""
-    size = min(limit.tokens, limit.loss)
+    size = limit.tokens
     pieces = -(-tokens // size)
     row = np.repeat(np.arange(len(doc)), pieces)
     piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -122,9 +136,9 @@ def pack(n: np.ndarray, loss: np.ndarray, limit: Limits) -> np.ndarray:
             while k >= 0:
                 s = sizes[k]
                 items = lists[s]
-                if best >= ct * s + cl * min(s, room):  # no smaller count can do better
+                if best >= ct * s + cl * (s if segments == limit.segments else min(s, max(0, room))):  # no smaller count can do better
                     break
-                at = len(items) - 1 if not binding or items[-1][0] <= room else bisect_right(items, (room, 1)) - 1
+                at = len(items) - 1 if not binding or segments == limit.segments or items[-1][0] <= room else bisect_right(items, (room, 1)) - 1
                 if at >= 0:
                     value = ct * s + cl * items[at][0]
                     if value > best:

@@ -49,16 +49,16 @@ def _set_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialize(_set_rows(spark, sf_dir), "sets")
     fields = survivors.field_rows(rows)
-    ranked = survivors.with_successors(fields, survivors.precedence(rows))
+    ranked = survivors.with_levels(fields, survivors.levels(survivors.precedence(rows)))
     groups = rows.select("ckey", "group_id").distinct()
     return survivors.best_rows(ranked).join(groups, "ckey").select("group_id", "field_name", "question_id")
 
 
 def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One surviving record per set: each field from its best row."""
+    """One surviving record per set: each field from its best row, by currency where times are missing."""
     rows = materialize(_set_rows(spark, sf_dir), "sets")
-    ranked = survivors.with_successors(survivors.field_rows(rows), survivors.precedence(rows))
-    best = survivors.best_rows(ranked).groupBy("ckey").agg(
+    ranked = survivors.with_levels(survivors.field_rows(rows), survivors.levels(survivors.precedence(rows)))
+    best = survivors.best_rows(ranked, currency_first=True).groupBy("ckey").agg(
         *[F.max(F.when(F.col("field_name") == f, F.col("value"))).alias(f) for f in survivors.FIELDS]
     )
     groups = rows.select("ckey", "group_id", "n_rows").distinct()
@@ -73,7 +73,13 @@ def p5_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p5_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the topologically latest value is the last one where its times are hidden."""
+    return survivors.currency_accuracy(materialize(_set_rows(spark, sf_dir), "sets"))
+
+
 QUERIES = {
+    "p5_currency": p5_currency,
     "p5_found": p5_found,
     "p5_records": p5_records,
     "p5_precedence": p5_precedence,

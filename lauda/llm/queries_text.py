@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lauda.llm import packing, scanfix, tiling, topics
-from lauda.session import materialize, table
+from lauda.session import checked_broadcast, materialize, table
 
 RUN_WORDS = 12
 TILE_WORDS = 6
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tiling.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), RUN_WORDS, RUN_WORDS)
+    """Pairs of which a tile is RUN_WORDS long: shorter seeds make the candidates, the tiling decides."""
+    found = tiling.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), TILE_WORDS, TILE_WORDS)
     return found.filter(F.col("longest") >= RUN_WORDS).select("doc_id", "item_id")
 
 
@@ -49,8 +50,10 @@ def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assignment of all documents to containers of each capacity."""
     specs = table(spark, sf_dir, "packing_specs").filter("spec_id is not null and capacity_tokens > 0").select("spec_id", "capacity_tokens").distinct().orderBy("spec_id").collect()  # container kinds
     counts = materialize(packing.token_counts(table(spark, sf_dir, "documents")), "token-counts")
-    buckets = max(1, -(-counts.count() // packing.BUCKET_ITEMS))
-    return packing.assignments(counts, [packing.Limits.of(r.spec_id, r.capacity_tokens) for r in specs], buckets)
+    all_ = counts.agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"), F.sum("n_prompt").alias("prompt")).first()
+    share = packing.loss_share(all_.tokens or 0, all_.prompt or 0)
+    buckets = max(1, -(-all_.n // packing.BUCKET_ITEMS))
+    return packing.assignments(counts, [packing.Limits.of(r.spec_id, r.capacity_tokens, loss_share=share) for r in specs], buckets)
 
 
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +63,7 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     bins = rows.groupBy("spec_id", "container_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("segments"))
     cut = rows.filter("piece_no = 1").groupBy("spec_id").agg(F.count("*").alias("n_cut"))
     out = bins.groupBy("spec_id").agg(F.count("*").alias("n_containers"), F.sum("n").alias("n_tokens"), F.max("n").alias("most_tokens"), F.max("segments").alias("most_segments"))
-    return out.join(F.broadcast(spec), "spec_id").join(cut, "spec_id", "left").select(
+    return out.join(checked_broadcast(spec), "spec_id").join(cut, "spec_id", "left").select(
         "spec_id", "n_containers", "n_tokens", "most_tokens", "most_segments", F.coalesce("n_cut", F.lit(0)).alias("n_cut"),
         F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 4).alias("fill"),
     )

@@ -30,17 +30,17 @@ per append, so stripes grow with the history; the few batch rows are repeated fo
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lauda.buckets import Bucketed
 from lauda.llm.kernels import mix
 from lauda.llm.setjoin import SIM, SKETCH_BITS, _tokens, frequency_sketch, signatures
-from lauda.session import drop_path, materialize, scratch
+from lauda.session import materialize
 
 BLOCK_ROWS = 1 << 18
 #: Symbols of one numpy pass.
@@ -173,31 +173,6 @@ def verified(pairs: DataFrame, sim: tuple[int, int] = SIM) -> DataFrame:
     return pairs.select("a", "b", "load_a", "grams_a", "grams_b").mapInArrow(run, "a bigint, b bigint, load_a int")
 
 
-class Bucketed:
-    """An append-only table in the shared folder, bucketed by its keys: joins on them shuffle the other side only."""
-
-    def __init__(self, spark: SparkSession, name: str, schema: str, keys: list[str], buckets: int):
-        self.spark, self.schema, self.keys, self.buckets = spark, schema, keys, buckets
-        self.path = scratch(spark, name)
-        self.name = f"lauda_{name}_{uuid.uuid4().hex[:12]}"
-        self.made = False
-
-    def append(self, df: DataFrame) -> None:
-        self.append_placed(df.repartition(self.buckets, *self.keys))
-
-    def append_placed(self, rows: DataFrame) -> None:
-        """Append rows that lie in the table's buckets already."""
-        rows.write.mode("append").bucketBy(self.buckets, *self.keys).option("path", self.path).option("compression", "lz4").format("parquet").saveAsTable(self.name)
-        self.made = True
-
-    def read(self) -> DataFrame:
-        return self.spark.table(self.name) if self.made else self.spark.createDataFrame([], self.schema)
-
-    def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        drop_path(self.spark, self.path)
-
-
 class SegmentIndex:
     """Segments and strings of all loads so far. sets are rows (seed, cid, load_no, grams)."""
 

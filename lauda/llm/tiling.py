@@ -2,9 +2,10 @@
 
 A seed is a run of `seed` words. Document windows are tested against a bitmap of fixed size of all
 item seeds, so most documents end there; the rest is joined with the items by seed, and each pair is
-tiled: the longest matches of unmarked words (found by Karp-Rabin hashes of falling window length)
-are marked one after the other until none of min_tile words is left. Tiles don't overlap, so a
-passage whose parts were put in another order still covers the item.
+tiled: Karp-Rabin hashes of all windows of min_tile words give the windows that both texts have,
+windows that follow one another on a diagonal grow together to maximal matches, and the longest match
+of unmarked words is marked one after the other until none of min_tile words is left. Tiles don't
+overlap, so a passage whose parts were put in another order still covers the item.
 
 Edge cases: texts that are null or shorter than a seed give no row; an item or document that occurs
 twice gives its pair once; runs never cross a text; mark-up counts as words.
@@ -12,6 +13,7 @@ twice gives its pair once; runs never cross a text; mark-up counts as words.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,55 +41,47 @@ def windows(h: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray,
     return k.mix(acc[at]), at
 
 
-def greedy_tiles(doc: list[int], item: list[int], min_tile: int) -> list[tuple[int, int, int]]:
-    """Non-overlapping matches (doc start, item start, length), longest first, of min_tile words or more."""
-    free_d, free_i = [True] * len(doc), [True] * len(item)
+def maximal_matches(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(doc start, item start, length) of all common runs of `least` words or more that cannot be extended."""
+    have, d_at = windows(doc, np.array([0, len(doc)]), least)
+    want, i_at = windows(item, np.array([0, len(item)]), least)
+    order = np.argsort(want, kind="stable")
+    want, i_at = want[order], i_at[order]
+    lo, hi = np.searchsorted(want, have, side="left"), np.searchsorted(want, have, side="right")
+    n = hi - lo
+    rep = np.repeat(np.arange(len(have)), n)
+    d, i = d_at[rep], i_at[np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n) + lo[rep]]
+    if not len(d):
+        return []
+    order = np.lexsort((d, d - i))
+    d, i = d[order], i[order]
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(d) != 1) | (np.diff(d - i) != 0))))
+    size = np.diff(np.append(first, len(d))) + least - 1
+    return list(zip(d[first].tolist(), i[first].tolist(), size.tolist()))
+
+
+def greedy_tiles(doc, item, min_tile: int) -> list[tuple[int, int, int]]:
+    """Non-overlapping matches (doc start, item start, length), longest first, of min_tile words or more.
+
+    Matches wait in a heap by length; one that lost words to an earlier tile goes back with what is left of it.
+    """
+    doc, item = (np.array(x, dtype=object).astype(np.uint64) if not isinstance(x, np.ndarray) else x for x in (doc, item))
+    waiting = [(-n, i, d) for d, i, n in maximal_matches(doc, item, min_tile)]
+    heapq.heapify(waiting)
+    free_d, free_i = np.ones(len(doc), bool), np.ones(len(item), bool)
     tiles: list[tuple[int, int, int]] = []
-    size = max(min_tile, min(20, len(item)))
-
-    def starts(x: list[int], free: list[bool]) -> Iterator[tuple[int, int]]:
-        """Rolling Karp-Rabin hash of every window of unmarked words."""
-        run = value = 0
-        top = pow(_BASE, size, 1 << 64)
-        for p, w in enumerate(x):
-            if not free[p]:
-                run = value = 0
-                continue
-            value = (value * _BASE + w) % (1 << 64)
-            run += 1
-            if run > size:
-                value = (value - x[p - size] * top) % (1 << 64)
-            if run >= size:
-                yield value, p - size + 1
-
-    while True:
-        at: dict[int, list[int]] = {}
-        for v, p in starts(doc, free_d):
-            at.setdefault(v, []).append(p)
-        found: list[tuple[int, int, int]] = []
-        longer = 0
-        for v, i in starts(item, free_i):
-            for d in at.get(v, ()):
-                n = 0
-                while d + n < len(doc) and i + n < len(item) and doc[d + n] == item[i + n] and free_d[d + n] and free_i[i + n]:
-                    n += 1
-                if n >= size:
-                    found.append((n, d, i))
-                    longer = max(longer, n)
-        if longer > 2 * size:
-            size = longer  # begin again with the longest
+    while waiting:
+        n, i, d = heapq.heappop(waiting)
+        open_ = free_d[d : d - n] & free_i[i : i - n] & (doc[d : d - n] == item[i : i - n])  # the words themselves, not their hashes
+        if open_.all():
+            tiles.append((d, i, -n))
+            free_d[d : d - n] = free_i[i : i - n] = False
             continue
-        marked = False
-        for n, d, i in sorted(found, key=lambda f: (-f[0], f[2], f[1])):
-            if all(free_d[d : d + n]) and all(free_i[i : i + n]):
-                tiles.append((d, i, n))
-                free_d[d : d + n] = [False] * n
-                free_i[i : i + n] = [False] * n
-                marked = True
-        if size > min_tile:
-            size = max(min_tile, size // 2)
-        elif not marked:  # what an earlier mark cut short has been found again by now
-            return tiles
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], open_, [False])).astype(np.int8)))
+        for start, end in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            if end - start >= min_tile:
+                heapq.heappush(waiting, (start - end, i + start, d + start))
+    return tiles
 
 
 def coverage_bound(doc: np.ndarray, item: np.ndarray, min_tile: int) -> int:
@@ -116,11 +110,12 @@ def item_seeds(items: DataFrame, seed: int) -> DataFrame:
 
 def seed_bitmap(items: DataFrame) -> np.ndarray:
     """Bitmap of 2^BITMAP_BITS bits of all item seeds: its size doesn't grow with the items."""
-    bits = np.zeros(1 << BITMAP_BITS, bool)
-    slots = items.select(F.explode("seeds").alias("s")).select(F.shiftrightunsigned("s", 64 - BITMAP_BITS).alias("slot")).distinct()
-    for part in slots.toLocalIterator(prefetchPartitions=True):  # at most one row per bit
-        bits[part.slot] = True
-    return np.packbits(bits, bitorder="little")
+    slot = F.shiftrightunsigned(F.col("s"), 64 - BITMAP_BITS)
+    words = items.select(F.explode("seeds").alias("s")).groupBy(F.shiftright(slot, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(s, {64 - BITMAP_BITS}) & 63 as int))")).alias("bits"))
+    rows = words.toPandas()  # at most 2^(BITMAP_BITS - 6) rows of 12 bytes
+    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    out[rows["w"].to_numpy()] = rows["bits"].to_numpy()
+    return out.view(np.uint8)
 
 
 def seeded_documents(docs: DataFrame, bitmap: np.ndarray, seed: int) -> DataFrame:
@@ -164,14 +159,15 @@ def leaks(docs: DataFrame, items: DataFrame, seed: int, min_tile: int, least: tu
                 d, i = doc[doc_off[r] : doc_off[r + 1]], item[item_off[r] : item_off[r + 1]]
                 if least[0] and coverage_bound(d, i, min_tile) * least[1] < len(i) * least[0]:
                     continue
-                t = greedy_tiles(d.tolist(), i.tolist(), min_tile)
+                t = greedy_tiles(d, i, min_tile)
                 kept.append(r)
                 out.append((max((n for _, _, n in t), default=0), len(t), sum(n for _, _, n in t), len(i)))
             cols = [b.column(0).take(pa.array(kept)), b.column(1).take(pa.array(kept)), *(pa.array(c, pa.int32()) for c in zip(*out))] if out else None
             if cols:
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "longest", "n_tiles", "covered", "n_words"])
 
-    tiled = both.select("doc_id", "item_id", "doc_words", "item_words").mapInArrow(
+    spread = both.select("doc_id", "item_id", "doc_words", "item_words").repartition(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "item_id")
+    tiled = spread.mapInArrow(
         run, "doc_id bigint, item_id bigint, longest int, n_tiles int, covered int, n_words int"
     )
     # a document delivered twice has two rows; the one that covers more of the item speaks for it

@@ -215,10 +215,39 @@ def test_best_rows_order_and_currency(spark):
     df = spark.createDataFrame([(*r[:5], (r[5],)) for r in rows], "ckey binary, id string, rank int, confidence double, ver timestamp, vals struct<matter:string>")
     f = survivors.field_rows(df, ["matter"])
     learned = survivors.precedence(df, ["matter"])
-    best = {bytes(r.ckey): r.value for r in survivors.best_rows(survivors.with_successors(f, learned)).collect()}
+    best = {bytes(r.ckey): r.value for r in survivors.best_rows(survivors.with_levels(f, survivors.levels(learned))).collect()}
     assert best == {b"1": "w", b"2": "new", b"3": "new", b"5": "new"}
 
 
+def test_currency_is_transitive_and_survives_cycles(spark):
+    """v0 before v1 ... before v5 is learned in steps; a weak v5 before v0 would close a cycle; the set
+    without times has the ends of the chain only."""
+    t = datetime.datetime
+    rows = []
+    for n in range(5):
+        for k in range(3):
+            rows += [(bytes([n, k]), f"a{n}{k}", 1, 0.5, t(2020, 1, 1), f"v{n}"), (bytes([n, k]), f"b{n}{k}", 1, 0.5, t(2021, 1, 1), f"v{n + 1}")]
+    rows += [(b"back", "c1", 1, 0.5, t(2020, 1, 1), "v5"), (b"back", "c2", 1, 0.5, t(2021, 1, 1), "v0")]
+    rows += [(b"asked", "d1", 1, 0.5, None, "v4"), (b"asked", "d2", 1, 0.5, None, "v1"), (b"asked", "d3", 1, 0.5, None, "new")]
+    rows += [(b"mixed", "e1", 1, 0.5, t(2024, 1, 1), "v2"), (b"mixed", "e2", 1, 0.5, None, "v3"), (b"mixed", "e3", 2, 0.9, None, "v5")]
+    df = spark.createDataFrame([(*r[:5], (r[5],)) for r in rows], "ckey binary, id string, rank int, confidence double, ver timestamp, vals struct<matter:string>")
+    layered = survivors.levels(survivors.precedence(df, ["matter"]))
+    ranked = survivors.with_levels(survivors.field_rows(df, ["matter"]), layered)
+    assert {r.value: r.level for r in ranked.select("value", "level").distinct().collect()} == {**{f"v{n}": n for n in range(6)}, "new": None}
+    best = {bytes(r.ckey): r.value for r in survivors.best_rows(ranked, currency_first=True).collect()}
+    assert best[b"asked"] == "v4" and best[b"mixed"] == "v3"
+    assert {bytes(r.ckey): r.value for r in survivors.best_rows(ranked).collect()}[b"mixed"] == "v2"
+    assert survivors.levels(survivors.precedence(df.filter("false"), ["matter"])).count() == 0
+
+
+def test_hidden_times_are_judged(spark):
+    t = datetime.datetime
+    rows = [(bytes([n, v]), f"{n}-{v}-{k}", 1, 0.5, t(2020 + k, 1, 1), f"v{v + k}") for n in range(40) for v in (0, 1) for k in (0, 1)]
+    df = spark.createDataFrame([(*r[:5], (r[5],)) for r in rows], "ckey binary, id string, rank int, confidence double, ver timestamp, vals struct<matter:string>")
+    got = survivors.currency_accuracy(df, ["matter"]).first()
+    assert got.n_sets == got.n_decided == got.n_right and 20 < got.n_sets < 60 and got.by_chance == got.n_sets / 2
+
+
 def test_stand_ins_are_no_values(spark):
     from pyspark.sql import functions as F
 
@@ -348,10 +377,24 @@ def test_packing_keeps_all_limits(sizes, segments, share):
     where = packing.pack(n, loss, limit)
     assert len(where) == len(n) and (where >= 0).all()
     assert np.bincount(d, weights=n, minlength=len(sizes)).astype(int).tolist() == tokens.tolist()
-    assert all(c == 1 for c, t in zip(np.bincount(d, minlength=len(sizes)), tokens) if t <= min(limit.tokens, limit.loss))
+    assert all(c == 1 for c, t in zip(np.bincount(d, minlength=len(sizes)), tokens) if t <= limit.tokens)
     for b in set(where.tolist()):
         at = where == b
-        assert n[at].sum() <= limit.tokens and at.sum() <= limit.segments and loss[at].sum() <= limit.loss
+        assert n[at].sum() <= limit.tokens and at.sum() <= limit.segments and (loss[at].sum() <= limit.loss or at.sum() == 1)
+
+
+def test_loss_limit_binds_and_keeps_the_fill():
+    """Prompts and answers apart: without a loss limit answers fill containers alone; with it none is above
+    the limit unless it holds one item, and nearly all are full."""
+    r = np.random.default_rng(1)
+    n = r.integers(20, 300, 4000)
+    loss = np.where(r.random(4000) < 0.5, n, n // 2)
+    share = packing.loss_share(int(n.sum()), int((n - loss).sum()))
+    free, bound = packing.Limits.of(1, 1024), packing.Limits.of(1, 1024, loss_share=share)
+    heavy = lambda where: (np.bincount(where, loss) > bound.loss).sum()
+    a, b = packing.pack(n, loss, free), packing.pack(n, loss, bound)
+    assert heavy(a) > 50 and heavy(b) == 0
+    assert n.sum() / ((b.max() + 1) * 1024) > 0.98
 
 
 def test_packing_is_tight():
