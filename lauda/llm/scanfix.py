@@ -1,24 +1,32 @@
 """Repair of text taken from scanned pages: misread words, cut words, running heads, page numbers.
 
-Three passes. (1) Count words and line shapes over all pages and statements; the words that are
-frequent enough make the lexicon, kept as a trie. (2) Look at the edge lines of every page: running
-heads repeat in their document or have a shape that is found at page edges only, page numbers keep a
-constant distance from the page's position. (3) Go through the lines: words outside the lexicon are
-looked up by intersecting Levenshtein automata with the trie (complete up to two edits), candidates
-are ranked by whether recognition confusions explain the difference and by frequency, without
-context; words cut at a line or page end are joined unless their hyphen was printed.
-
-The lexicon holds words of a relative frequency of at least MIN_SHARE, so at most 1 / MIN_SHARE
-entries however large the collection is; the same bound holds for line shapes. Only those two tables
-are broadcast. Page context comes by joins on (document, page), never by gathering a document.
+Four passes. (1) Count words and line shapes over all pages and statements; words that occur MIN_COUNT
+times make the lexicon, kept as a trie in arrays. (2) Learn confusions: every word outside the lexicon is
+looked up among the far more frequent ones, and what recurs in the aligned differences of many words, but
+not between words of the lexicon themselves, is a confusion of this collection's recognizer; the fixed
+list below is only where it starts. (3) Look at the edge lines of every page: running heads repeat in
+their document or have a shape that is found at page edges only, page numbers keep a constant distance
+from the page's position. (4) Go through the lines: words outside the lexicon are looked up by
+intersecting Levenshtein automata with the trie (complete up to two edits); a word is misread when
+confusions explain its difference from a candidate, or when it holds characters no word has; candidates are
+ranked by their neighbours and presence on the same page, then by frequency; words cut at a line or page
+end are joined unless their hyphen was printed. A misreading that is itself a word of the lexicon is not
+questioned.
+
+The lexicon's floor is a fixed count, so a page is judged alike in collections of any size as far as its
+words are known there. Lexicon and line shapes are what is broadcast, once; their size follows the
+vocabulary, not the text (the trie takes some 16 bytes a node). Page context comes by joins on (document,
+page), never by gathering a document.
 
 Edge cases: null texts have no line; blank lines are counted but never reported; a page without
 number takes part with itself only; a line reported for several copies of a page is reported once;
-a page that cuts a word at its end uses the next page's first body word if that page is there.
+a page that cuts a word at its end uses the next page's first body word if that page is there; words of
+more than 61 characters are compared by plain dynamic programming.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 import uuid
@@ -28,17 +36,29 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lauda.llm.kernels import by_size
-from lauda.session import materialize
+from lauda.session import materialize, release
 
-MIN_SHARE = 2.5e-7
 MIN_COUNT = 3
 RIVAL_RATIO = 50
 EDGE_SHARE = 0.9
+#: Lines from each end of a page that may be furniture whatever lies before them; further ones may be as long
+#: as all lines between them and the end may.
 EDGE_LINES = 3
+#: Lines from each end whose shapes count as seen at the edge; the others speak for the inside.
+COUNTED_LINES = 2
+#: A learned confusion: in so many words at least, so many times as often as between words of the lexicon.
+LEARNED_WORDS, LEARNED_RATIO = 8, 4
+#: How many times as frequent the word must be that a learned confusion is aligned with.
+LEARNED_RIVAL = 10
+#: What a candidate gains over one that is e times as frequent: per neighbour it has elsewhere on the page, for being there.
+NEIGHBOUR_WEIGHT, PAGE_WEIGHT = 3.0, 2.0
+#: Length up to which an automaton fits a machine word.
+AUTOMATON_CHARS = 61
 #: Words looked up in the trie together.
 QUERY_BLOCK = 512
 HYPHENS = "-‐­¬‑"
@@ -80,12 +100,18 @@ def flat_skeleton(word: str) -> str:
     return word.translate(_CLASS)
 
 
-_BY_FIRST: dict[str, list[tuple[str, str]]] = {}
-for _real, _seen in CONFUSIONS:
-    _BY_FIRST.setdefault(_real, []).append((_real, _seen))
+def by_first(pairs: list[tuple[str, str]]) -> dict[str, list[tuple[str, str]]]:
+    """Confusions by the first real character."""
+    out: dict[str, list[tuple[str, str]]] = {}
+    for real, seen in pairs:
+        out.setdefault(real[0], []).append((real, seen))
+    return out
+
+
+_BY_FIRST = by_first(CONFUSIONS)
 
 
-def confusable(real: str, seen: str) -> bool:
+def confusable(real: str, seen: str, table: dict[str, list[tuple[str, str]]] = _BY_FIRST) -> bool:
     """Whether confusions alone, at least one, turn the real word into the seen one."""
     states = {(0, 0)}
     done = False
@@ -98,13 +124,21 @@ def confusable(real: str, seen: str) -> bool:
             if i < len(real):
                 if j < len(seen) and real[i] == seen[j]:
                     following.add((i + 1, j + 1))
-                for _, s in _BY_FIRST.get(real[i], ()):
-                    if seen.startswith(s, j):
-                        following.add((i + 1, j + len(s)))
+                for r, s in table.get(real[i], ()):
+                    if real.startswith(r, i) and seen.startswith(s, j):
+                        following.add((i + len(r), j + len(s)))
         states = following
     return done and real != seen
 
 
+def difference(real: str, seen: str) -> tuple[str, str]:
+    """What is left of both words without their common start and end."""
+    most = min(len(real), len(seen))
+    a = next((k for k in range(most) if real[k] != seen[k]), most)
+    b = next((k for k in range(most - a) if real[-1 - k] != seen[-1 - k]), most - a)
+    return real[a : len(real) - b], seen[a : len(seen) - b]
+
+
 def core(token: str) -> str:
     """A token in lower case without the punctuation around it."""
     t = token.rstrip(_OUTER + "!").lstrip(_OPEN)
@@ -169,8 +203,27 @@ def _looks_titled(line: str) -> bool:
     return sum(c in "XU" for w in words for c in w[:2]) >= 2 and 2 * high >= len(words)
 
 
+def short_key(text: str) -> str:
+    """The text, or a 128-bit digest of a long one: equal for equal texts only, of bounded size."""
+    return text if len(text) <= 160 else "#" + xxhash.xxh3_128_hexdigest(text.encode())
+
+
 def shape_key(line: str) -> str:
-    return shape(line)[:160]
+    return short_key(shape(line))
+
+
+def within_edits(a: str, b: str, most: int) -> int:
+    """Edit distance of two long words, most + 1 where it is larger."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        diagonal, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
+        if min(row) > most:
+            return most + 1
+    return min(row[-1], most + 1)
 
 
 # ---------------------------------------------------------------------------------- lexicon trie
@@ -186,6 +239,7 @@ class Trie:
     word: np.ndarray  # word number or -1
     alphabet: dict[str, int]
     words: list[str]
+    long: list[str] = field(default_factory=list)  # words that a query beyond AUTOMATON_CHARS can be near to
 
     @classmethod
     def build(cls, words: list[str]) -> "Trie":
@@ -210,7 +264,7 @@ class Trie:
                     k = e
                 last.append(len(chars))
             level = following
-        return cls(*(np.array(x, np.int32) for x in (chars, first, last, word)), alphabet, words)
+        return cls(*(np.array(x, np.int32) for x in (chars, first, last, word)), alphabet, words, [w for w in words if len(w) >= AUTOMATON_CHARS - 1])
 
     def within(self, queries: list[str], edits: list[int]) -> list[list[tuple[str, int]]]:
         """All words within that many edits of each query, with their distance: the automata of all
@@ -218,10 +272,15 @@ class Trie:
         out: list[list[tuple[str, int]]] = [[] for _ in queries]
         if not len(self.words):
             return out
-        use = [n for n, q in enumerate(queries) if 0 < len(q) < 62]
+        use = [n for n, q in enumerate(queries) if 0 < len(q) <= AUTOMATON_CHARS]
+        for n, q in enumerate(queries):
+            if len(q) > AUTOMATON_CHARS:
+                out[n] = [(w, d) for w in self.long if (d := within_edits(q, w, edits[n])) <= edits[n]]
         if len(use) > QUERY_BLOCK:  # the frontier grows with the queries that run together
-            for c in range(0, len(queries), QUERY_BLOCK):
-                out[c : c + QUERY_BLOCK] = self.within(queries[c : c + QUERY_BLOCK], edits[c : c + QUERY_BLOCK])
+            for c in range(0, len(use), QUERY_BLOCK):
+                part = use[c : c + QUERY_BLOCK]
+                for n, found in zip(part, self.within([queries[n] for n in part], [edits[n] for n in part])):
+                    out[n] = found
             return out
         if not use:
             return out
@@ -269,6 +328,8 @@ class Model:
     flat: dict[str, str] = field(default_factory=dict)
     trigrams: Counter = field(default_factory=Counter)
     trie: Trie | None = None
+    start: list[tuple[str, str]] = field(default_factory=lambda: CONFUSIONS)
+    learned: list[tuple[str, str]] = field(default_factory=list)
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def prepare(self) -> "Model":
@@ -291,12 +352,12 @@ class Model:
             if w.isalpha():
                 x = f"^{w}$"
                 self.trigrams.update({x[i : i + 3] for i in range(len(x) - 2)})
-        self.trie = Trie.build([w for w in self.lexicon if len(w) > 1 and not any(c.isdigit() for c in w)])
+        self.trie = Trie.build([w for w in self.lexicon if len(w) > 1])
         return self
 
     def _outdone(self, word: str, n: int) -> bool:
         """Whether undoing one confusion gives a word that is RIVAL_RATIO times as frequent."""
-        for real, seen in CONFUSIONS:
+        for real, seen in self.start:
             at = word.find(seen)
             while at >= 0:
                 if self.lexicon.get(word[:at] + real + word[at + len(seen) :], 0) >= RIVAL_RATIO * n:
@@ -335,7 +396,7 @@ def count_pass(texts: DataFrame) -> DataFrame:
                 if "!" in t or ("(" in t) != (")" in t):  # may hide a misread letter at its edge
                     continue
                 w = core(t)
-                if w and any(c.isalpha() for c in w) and w[-1] not in HYPHENS and len(w) < 60:
+                if w and any(c.isalpha() for c in w) and w[-1] not in HYPHENS:
                     words[w] += n
             keys = [k for k in edge.keys() | inner.keys()]
             kind = ["w"] * len(words) + ["s"] * len(keys)
@@ -356,9 +417,9 @@ def count_pass(texts: DataFrame) -> DataFrame:
                 if page:
                     lines = [x for x in t.split("\n") if x.strip()]
                     for n, x in enumerate(lines):
-                        if len(x) <= 160 and _could_be_head(x):
+                        if _could_be_head(x):
                             h, num = head_of(x)
-                            near = n < 2 or n >= len(lines) - 2
+                            near = n < COUNTED_LINES or n >= len(lines) - COUNTED_LINES
                             (edge if near else inner)[shape_key(h)] += 1
             if len(raw) + len(edge) + len(inner) > limit:
                 yield flush()
@@ -367,25 +428,70 @@ def count_pass(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "kind string, key string, n bigint, m bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
-def learn(texts: DataFrame) -> Model:
-    """The model of all texts; its size is bounded by the relative frequency floor."""
+def learn(texts: DataFrame, start: list[tuple[str, str]] | None = None) -> Model:
+    """The model of all texts: words and shapes from MIN_COUNT occurrences on, confusions learned beyond those
+    it starts with (the fixed list, unless given)."""
     counts = materialize(count_pass(texts), "scan-counts")
-    totals = {r.kind: (r.n or 0) + (r.m or 0) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).collect()}
-    floor = {k: max(MIN_COUNT, int(v * MIN_SHARE) + 1) for k, v in totals.items()}
-    kept = counts.filter(
-        ((F.col("kind") == "w") & (F.col("n") >= floor.get("w", MIN_COUNT))) | ((F.col("kind") == "s") & (F.col("n") >= 1) & (F.col("n") + F.col("m") >= floor.get("s", MIN_COUNT)))
-    ).toPandas()
+    kept = counts.filter(((F.col("kind") == "w") & (F.col("n") >= MIN_COUNT)) | ((F.col("kind") == "s") & (F.col("n") >= 1) & (F.col("n") + F.col("m") >= MIN_COUNT))).toPandas()
     words = kept[kept["kind"] == "w"]
     shapes = kept[kept["kind"] == "s"]
-    return Model(dict(zip(words["key"], words["n"])), {k: (n, m) for k, n, m in zip(shapes["key"], shapes["n"], shapes["m"])}).prepare()
+    model = Model(dict(zip(words["key"], words["n"])), {k: (n, m) for k, n, m in zip(shapes["key"], shapes["n"], shapes["m"])})
+    model.start = CONFUSIONS if start is None else start
+    model.prepare()
+    model.learned = learned_confusions(counts.filter("kind = 'w'").select("key", "n"), model)
+    release(counts)
+    return model
+
+
+def _is_confusion(d: tuple[str, str]) -> bool:
+    return all(1 <= len(part) <= 2 for part in d)
+
+
+def learned_confusions(words: DataFrame, model: Model) -> list[tuple[str, str]]:
+    """(real, seen) differences of up to two characters that many words outside the lexicon have from the one
+    far more frequent word nearest to them, and that words of the lexicon rarely have among themselves."""
+    shared = words.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        found: Counter = Counter()
+        natural: Counter = Counter()
+        for b in batches:
+            rows = [(w, n) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if len(w) > 3 and n > 0]
+            for (w, n), near in zip(rows, m.trie.within([w for w, _ in rows], [2 if w not in m.lexicon else 1 for w, _ in rows])):
+                if w in m.lexicon:
+                    natural.update(d for d in (difference(x, w) for x, e in near if e) if _is_confusion(d))
+                    continue
+                strong = [(e, x) for x, e in near if m.lexicon[x] >= LEARNED_RIVAL * n]
+                least = min((e for e, _ in strong), default=0)
+                best = [x for e, x in strong if e == least]
+                if len(best) == 1 and _is_confusion(difference(best[0], w)):
+                    found[difference(best[0], w)] += 1
+        keys = list(found.keys() | natural.keys())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([found[k] for k in keys], pa.int64()), pa.array([natural[k] for k in keys], pa.int64())],
+            names=["real", "seen", "found", "natural"],
+        )
+
+    counted = words.mapInArrow(run, "real string, seen string, found bigint, natural bigint").groupBy("real", "seen").agg(F.sum("found").alias("found"), F.sum("natural").alias("natural"))
+    rows = counted.filter((F.col("found") >= LEARNED_WORDS) & (F.col("found") >= LEARNED_RATIO * F.col("natural"))).collect()  # pairs of at most two characters each
+    shared.unpersist()
+    return sorted((r.real, r.seen) for r in rows if (r.real, r.seen) not in model.start)
 
 
 # ---------------------------------------------------------------------------------- page edges
 
 
-def edge_lines(pages: DataFrame, model: Model) -> DataFrame:
-    """The first and last EDGE_LINES lines with text of every page, as far as they could be furniture."""
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+def _edge_reach(lines: list[str]) -> int:
+    """How many lines from the start may be furniture: EDGE_LINES, or all up to the first that cannot be."""
+    n = 0
+    while n < len(lines) and ((_could_be_head(lines[n]) and _looks_titled(lines[n])) or page_number(lines[n])):
+        n += 1
+    return max(EDGE_LINES, n)
+
+
+def edge_lines(pages: DataFrame, shared) -> DataFrame:
+    """The edge lines with text of every page, as far as they could be furniture; shared is the broadcast model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -395,8 +501,12 @@ def edge_lines(pages: DataFrame, model: Model) -> DataFrame:
                 if not t:
                     continue
                 lines = [(n, x) for n, x in enumerate(unicodedata.normalize("NFC", t).split("\n"), 1) if x.strip()]
+                texts = [x for _, x in lines]
+                reach, back = _edge_reach(texts), _edge_reach(texts[::-1])
+                if max(reach, back) >= len(lines):  # a page of titles alone has no body to be set off from
+                    reach, back = EDGE_LINES, EDGE_LINES
                 for k, (n, x) in enumerate(lines):
-                    top, bottom = k < EDGE_LINES, k >= len(lines) - EDGE_LINES
+                    top, bottom = k < reach, k >= len(lines) - back
                     if not top and not bottom:
                         continue
                     outer = k == 0 or k == len(lines) - 1
@@ -407,7 +517,7 @@ def edge_lines(pages: DataFrame, model: Model) -> DataFrame:
                         continue
                     head, num = (x.strip(), None) if pure else head_of(x)
                     known = None if pure else m.is_head_shape(head)
-                    out.append((doc, page, n, top, bottom, outer, bool(pure), bool(pure and pure[1]), pure[0] if pure else num, skeleton(_plain(head))[:120], known, words[0], words[-1]))
+                    out.append((doc, page, n, top, bottom, outer, bool(pure), bool(pure and pure[1]), pure[0] if pure else num, short_key(skeleton(_plain(head))), known, words[0], words[-1]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _EDGE_TYPES)], names=_EDGE_NAMES) if out else pa.RecordBatch.from_arrays([pa.array([], t) for t in _EDGE_TYPES], names=_EDGE_NAMES)
 
     return pages.select("document_id", "page_number", "text").mapInArrow(
@@ -436,7 +546,7 @@ def page_context(edges: DataFrame) -> DataFrame:
     e = e.withColumn("furniture", number | head)
     body = ~F.col("furniture")
     own = e.groupBy("document_id", "page_number").agg(
-        F.collect_set(F.when(F.col("furniture"), F.col("line_no"))).alias("furniture"),  # at most 2 * EDGE_LINES
+        F.collect_set(F.when(F.col("furniture"), F.col("line_no"))).alias("furniture"),  # edge lines of one page
         F.min_by("first_word", F.when(body & F.col("top"), F.col("line_no"))).alias("first_word"),
         F.max_by("last_word", F.when(body & F.col("bottom"), F.col("line_no"))).alias("last_word"),
     )
@@ -461,7 +571,9 @@ class Reader:
         self.m = model
         self.seen: dict[str, tuple[bool, str | None]] = {}
         self.bad: set[str] = set()
-        self.reverse = [(seen, real) for real, seen in CONFUSIONS if seen.isalpha()]
+        self.confusions = by_first([*model.start, *model.learned])
+        self.reverse = [(seen, real) for real, seen in [*model.start, *model.learned] if seen.isalpha()]
+        self.rivals: dict[str, list[tuple[int, str]]] = {}  # token: explained candidates, where there are several
 
     def rough(self, token: str) -> str:
         """Lower case without outer punctuation, keeping what could be a misread letter."""
@@ -490,12 +602,13 @@ class Reader:
         if len(self.seen) > self.LIMIT:
             self.seen.clear()
             self.bad.clear()
+            self.rivals.clear()
         ask: list[tuple[str, str]] = []
         for t in tokens - self.seen.keys():
             w = self.rough(t)
             letters = sum(c.isalpha() for c in w)
             alien = bool(_ALIEN.search(w)) or w.startswith("(") or "!" in w
-            if not letters or self.known(w) or (w[0] != "(" and self.known(core(t))) or _ORDINAL.match(w) or ("@" in w and "." in w) or len(w) >= 60:
+            if not letters or self.known(w) or (w[0] != "(" and self.known(core(t))) or _ORDINAL.match(w) or ("@" in w and "." in w):
                 self.seen[t] = (False, None)
             elif alien or not t.lstrip(_OPEN)[:1].isupper() or skeleton(w) in self.m.skeletons or flat_skeleton(w) in self.m.flat or t.isupper():
                 ask.append((t, w))
@@ -503,7 +616,7 @@ class Reader:
                 self._note(t, self._name(w))
         if not ask:
             return
-        found = self.m.trie.within([w for _, w in ask], [2 if len(w) > 3 else 1 for _, w in ask])
+        found = self.m.trie.within([w for _, w in ask], [2] * len(ask))
         for (t, w), near in zip(ask, found):
             self._note(t, self._rank(t, w, near))
 
@@ -516,8 +629,10 @@ class Reader:
         lex, s = self.m.lexicon, skeleton(w)
         if s in self.m.skeletons and all(self.m.skeletons[s] != x for x, _ in near):
             near = [*near, (self.m.skeletons[s], 3)]  # several confusions in one word
-        explained = [(lex[x], x) for x, _ in near if confusable(x, w)]
+        explained = [(lex[x], x) for x, _ in near if confusable(x, w, self.confusions)]
         if explained:
+            if len(explained) > 1:
+                self.rivals[token] = explained
             return True, max(explained)[1]
         if _ALIEN.search(w) and sum(c.isalpha() for c in w) >= 2:
             best = min(((d, -lex[x], x) for x, d in near), default=None)
@@ -526,6 +641,12 @@ class Reader:
             return self._name(w)
         return False, None
 
+    def by_context(self, token: str, words: list[str], at: int, page: "PageWords") -> str | None:
+        """The best of several explained candidates given the words around the token on its page."""
+        before, after = words[at - 1] if at else "", words[at + 1] if at + 1 < len(words) else ""
+        score = lambda n, x: math.log(n) + NEIGHBOUR_WEIGHT * (((before, x) in page.pairs) + ((x, after) in page.pairs)) + PAGE_WEIGHT * (x in page.words)
+        return max((score(n, x), n, x) for n, x in self.rivals[token])[2]
+
     def _odd(self, w: str) -> int:
         x = f"^{w}$"
         return sum(x[i : i + 3] not in self.m.trigrams for i in range(len(x) - 2))
@@ -563,6 +684,14 @@ class Reader:
         return not (mark in "-‐‑" and len(a) > 2 and a in lex and b in lex)
 
 
+class PageWords:
+    """Words of a page and pairs of neighbouring ones."""
+
+    def __init__(self, lines: list[str]):
+        flow = [core(t) for x in lines for t in x.split()]
+        self.words, self.pairs = set(flow), set(zip(flow, flow[1:]))
+
+
 _READERS: dict[str, Reader] = {}
 
 
@@ -589,6 +718,7 @@ def read_lines(reader: Reader, lines: list[str], furniture: set[int], next_word:
     body = [(n, x) for n, x in enumerate(lines, 1) if n not in furniture and x.strip()]
     carried = prev_word if prev_word and len(prev_word) > 1 and prev_word[-1] in HYPHENS and prev_word[-2].isalpha() else None
     parts: list[str] = []
+    page: PageWords | None = None
     blank_before = {n for n in range(1, len(lines) + 1) if n > 1 and not lines[n - 2].strip()}
     for k, (n, x) in enumerate(body):
         tokens = x.split()
@@ -619,6 +749,9 @@ def read_lines(reader: Reader, lines: list[str], furniture: set[int], next_word:
                 else:
                     whole = whole[:-1]
             wrong, better = (False, None) if mine == "skip" else seen.get(whole) or reader_judge(reader, whole)
+            if whole in reader.rivals:
+                page = page or PageWords([y for _, y in body])
+                better = reader.by_context(whole, [core(y) for y in tokens], i, page)
             if wrong and mine != "all":
                 w = reader.rough(whole)
                 piece = core(t[:-1]) if mine == "left" else core(t)
@@ -668,9 +801,9 @@ def statement_furniture(lines: list[str], model: Model) -> set[int]:
     if len(lines) < 2:
         return out
     for n, x in enumerate(lines, 1):
-        if not x.strip() or len(x) > 160:
+        if not x.strip():
             continue
-        pure = page_number(x) if len(x) < 60 and any(c.isdigit() for c in x) else None
+        pure = page_number(x) if any(c.isdigit() for c in x) else None
         if pure:
             if pure[1]:
                 out.add(n)
@@ -684,10 +817,10 @@ def statement_furniture(lines: list[str], model: Model) -> set[int]:
     return out
 
 
-def judged(rows: DataFrame, model: Model, with_text: bool = False) -> DataFrame:
+def judged(rows: DataFrame, shared, with_text: bool = False) -> DataFrame:
     """rows: (src_table, record_id, page_number, text, furniture, next_word, prev_word), furniture null
-    for statements. Gives (src_table, record_id, page_number, line_no, kind), or the repaired text."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    for statements; shared is the broadcast model. Gives (src_table, record_id, page_number, line_no, kind),
+    or the repaired text."""
     head = "src_table string, record_id string, page_number int"
     names = ["src_table", "record_id", "page_number"]
 
@@ -722,11 +855,11 @@ def judged(rows: DataFrame, model: Model, with_text: bool = False) -> DataFrame:
     return rows.mapInArrow(run, head + (", text string" if with_text else ", line_no int, kind string"))
 
 
-def repair(pages: DataFrame, staging: DataFrame, with_text: bool = False) -> DataFrame:
+def repair(pages: DataFrame, staging: DataFrame, with_text: bool = False, start: list[tuple[str, str]] | None = None) -> DataFrame:
     """All three passes over pages (document_id, page_number, text) and staging (id, statement)."""
     texts = pages.select(F.lit(True).alias("is_page"), "text").unionByName(staging.select(F.lit(False).alias("is_page"), F.col("statement").alias("text")))
-    model = learn(texts)
-    context = page_context(materialize(edge_lines(pages, model), "scan-edges"))  # read three times
+    shared = pages.sparkSession.sparkContext.broadcast(learn(texts, start))
+    context = page_context(materialize(edge_lines(pages, shared), "scan-edges"))  # read three times
     rows = pages.select("document_id", "page_number", "text").join(context, ["document_id", "page_number"], "left").select(
         F.lit("pages").alias("src_table"), F.col("document_id").alias("record_id"), "page_number", "text",
         F.coalesce("furniture", F.array().cast("array<int>")).alias("furniture"), "next_word", "prev_word",
@@ -736,5 +869,5 @@ def repair(pages: DataFrame, staging: DataFrame, with_text: bool = False) -> Dat
         F.lit("question_staging").alias("src_table"), F.col("id").alias("record_id"), F.lit(0).alias("page_number"), F.col("statement").alias("text"),
         F.lit(None).cast("array<int>").alias("furniture"), none.alias("next_word"), none.alias("prev_word"),
     )
-    out = judged(rows, model, with_text).unionByName(judged(staged, model, with_text))
+    out = judged(rows, shared, with_text).unionByName(judged(staged, shared, with_text))
     return out if with_text else out.distinct()

@@ -450,6 +450,59 @@ def test_scanned_pages(spark):
     assert text["x", 2].startswith("do esgoto reduz") and text["s1", 0] == "O licenciamento preserva a floresta e o cerrado."
 
 
+def test_confusions_outside_the_list_are_learned(spark):
+    """A recognizer that takes u for ñ, v for y, m for nn and d for ci, none of them in the fixed list; some
+    true words differ by other letters, as words of a language do."""
+    r = random.Random(8)
+    errors = [("u", "ñ"), ("v", "y"), ("m", "nn"), ("d", "ci")]
+    assert not set(errors) & set(scanfix.CONFUSIONS)
+    parts = ["ta", "pou", "vel", "mor", "du", "sen", "gra", "luv", "dem", "xo", "bri", "nau"]
+    words = sorted({"".join(r.sample(parts, 3)) for _ in range(150)})
+    words += [w + end for w in words[:40] for end in ("s", "r")]
+    pages, expected = [], set()
+    for d in range(60):
+        lines = []
+        for n in range(1, 13):
+            line = [r.choice(words) for _ in range(9)]
+            if r.random() < 0.1:
+                k = r.randrange(9)
+                usable = [(a, b) for a, b in errors if a in line[k]]
+                if usable:
+                    line[k] = line[k].replace(*r.choice(usable), 1)
+                    expected.add((f"d{d}", n))
+            lines.append(" ".join(line) + ".")
+        pages.append((f"d{d}", 1, "\n".join(lines)))
+    df = spark.createDataFrame(pages, "document_id string, page_number int, text string")
+    none = spark.createDataFrame([], "id string, statement string")
+    got = {(x.record_id, x.line_no) for x in scanfix.repair(df, none).filter("kind = 'misread'").collect()}
+    right = len(got & expected)
+    assert right >= 0.9 * len(expected) and right >= 0.95 * len(got), (right, len(expected), len(got))
+
+
+def test_neighbours_on_the_page_rank_candidates():
+    m = scanfix.Model({"fala": 50, "tala": 400, "a": 900, "boa": 90, "curta": 80}, {}).prepare()
+    m.start = [*scanfix.CONFUSIONS, ("f", "¥"), ("t", "¥")]
+    reader = scanfix.Reader(m)
+    reader.prepare({"¥ala"})
+    assert {x for _, x in reader.rivals["¥ala"]} == {"fala", "tala"}
+    text = lambda *lines: scanfix.read_lines(reader, list(lines), set(), None, None, True)[1]
+    for line in ("uma ¥ala boa", "a fala boa"):
+        reader.prepare(set(line.split()))
+    assert text("uma ¥ala curta") == "uma tala curta"  # the more frequent one
+    assert text("uma ¥ala boa", "a fala boa") == "uma fala boa a fala boa"  # the one with the same neighbour
+
+
+def test_long_words_and_long_lines(spark):
+    w = "anti" * 20
+    trie = scanfix.Trie.build([w, "curta", "x2015"])
+    assert trie.within([w[:-1] + "x", "curtx", "x2o15"], [2, 2, 2]) == [[(w, 1)], [("curta", 1)], [("x2015", 1)]]
+    head = "Câmara Municipal de " + " ".join(f"Nome{n}" for n in range(60))
+    pages = [(f"d{d}", p, f"{head} {d}\num texto qualquer da página.\noutro texto qualquer da página.\nmais um texto.\no fim do texto.") for d in range(4) for p in (1, 2, 3)]
+    df = spark.createDataFrame(pages, "document_id string, page_number int, text string")
+    got = {tuple(x)[1:] for x in scanfix.repair(df, spark.createDataFrame([], "id string, statement string")).collect()}
+    assert got == {(f"d{d}", p, 1, "furniture") for d in range(4) for p in (1, 2, 3)}
+
+
 def test_batches_are_cut_by_text_size(monkeypatch):
     import pyarrow as pa
 
