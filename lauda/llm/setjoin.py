@@ -8,8 +8,9 @@ the sum of minima is the popcount of an AND, and the upper corner of a bounding
 A single R-tree over all points doesn't scale out, so points are first blocked without loss: tokens
 are ordered globally from rare to frequent, and two sets of similarity t or more must share a token
 of their prefixes. In each block an R-tree is bulk loaded (points ordered by set size, eight to a
-leaf), leaf pairs are cut by size and by the bound of their boxes, point pairs by the sum of minima,
-size and position, and what is left is verified on the sets themselves.
+leaf, eight children to an inner node, up to a root level of at most eight nodes) and joined with
+itself from the top: node pairs are cut by size and by the bound of their boxes, point pairs by the
+sum of minima, size and position, and what is left is verified on the sets themselves.
 
 Token frequencies come from a sketch of fixed size (2^20 counters) over all sets; any consistent
 order keeps the join exact, so collisions cost time only. A block expected to be larger than
@@ -33,6 +34,10 @@ from lauda.llm.kernels import mix
 SKETCH_BITS = 20
 BLOCK_ROWS = 16384
 LEAF = 8
+#: Children of an inner node; also the most nodes of a root level.
+FAN = 8
+#: Node pairs looked at together.
+PAIRS = 1 << 18
 #: Similarity as a fraction: 3/5.
 SIM = (3, 5)
 POSTING = "blk bigint, n int, cid bigint, w1 bigint, w2 bigint, meta bigint"
@@ -120,7 +125,77 @@ def _need(na: np.ndarray, nb: np.ndarray, p: int, q: int) -> np.ndarray:
     return np.maximum(1, -(-(p * (na + nb)) // (p + q)))
 
 
-def block_candidates(cols: list[np.ndarray], sim: tuple[int, int], by_load: bool) -> tuple[np.ndarray, ...]:
+class Level:
+    """Nodes of one tree level in block order: boxes (upper corners o1, o2 and excess, sizes low to high)."""
+
+    def __init__(self, block, o1, o2, most, low, high, child):
+        self.block, self.o1, self.o2, self.most, self.low, self.high = block, o1, o2, most, low, high
+        self.child = child  # first child of each node and the end of the last one; None for leaves
+
+    def up(self) -> "Level | None":
+        """The level above, or None where no block has more than FAN nodes."""
+        new = np.concatenate(([True], self.block[1:] != self.block[:-1]))
+        begin = np.flatnonzero(new)
+        if np.diff(np.append(begin, len(self.block))).max() <= FAN:
+            return None
+        within = np.arange(len(self.block)) - np.repeat(begin, np.diff(np.append(begin, len(self.block))))
+        at = np.flatnonzero(within % FAN == 0)
+        over = lambda f, v: f.reduceat(v, at)
+        return Level(
+            self.block[at], over(np.bitwise_or, self.o1), over(np.bitwise_or, self.o2), over(np.maximum, self.most), over(np.minimum, self.low), over(np.maximum, self.high), np.append(at, len(self.block))
+        )
+
+    def pairs_of_roots(self) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs x <= y of nodes of one block, at most FAN * (FAN + 1) / 2 a block."""
+        end = np.searchsorted(self.block, self.block, side="right")
+        n = end - np.arange(len(end))
+        x = np.repeat(np.arange(len(end)), n)
+        return x, x + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+
+    def below(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of children of node pairs; a node with itself gives each pair of children once."""
+        nx, ny = self.child[x + 1] - self.child[x], self.child[y + 1] - self.child[y]
+        n = nx * ny
+        rep = np.repeat(np.arange(len(x)), n)
+        k = np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
+        a, b = self.child[x[rep]] + k // ny[rep], self.child[y[rep]] + k % ny[rep]
+        once = a <= b
+        return a[once], b[once]
+
+    def near(self, x: np.ndarray, y: np.ndarray, p: int, q: int, bounded: bool) -> np.ndarray:
+        """Which pairs of boxes can hold points that are similar enough: by sizes and summed minima."""
+        ok = self.high[x] * q >= p * self.low[y]  # nodes follow size inside a block
+        if bounded:
+            most = np.bitwise_count(self.o1[x] & self.o1[y]).astype(np.int64) + np.bitwise_count(self.o2[x] & self.o2[y]) + np.minimum(self.most[x], self.most[y])
+            ok &= most >= _need(self.low[x], self.low[y], p, q)
+        return ok
+
+
+def tree_pairs(leaves: Level, p: int, q: int, bounded: bool, stats: dict | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs x <= y of leaves whose boxes are near, found from the roots down."""
+    levels = [leaves]
+    while above := levels[-1].up():
+        levels.append(above)
+
+    def descend(depth: int, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        level = levels[depth]
+        ok = level.near(x, y, p, q, bounded)
+        if stats is not None:
+            stats[depth] = stats.get(depth, 0) + len(x)
+        x, y = x[ok], y[ok]
+        if not depth:
+            yield x, y
+            return
+        step = max(1, PAIRS // FAN**2)
+        for c in range(0, len(x), step):
+            yield from descend(depth - 1, *level.below(x[c : c + step], y[c : c + step]))
+
+    x, y = levels[-1].pairs_of_roots()
+    for c in range(0, len(x), PAIRS):
+        yield from descend(len(levels) - 1, x[c : c + PAIRS], y[c : c + PAIRS])
+
+
+def block_candidates(cols: list[np.ndarray], sim: tuple[int, int], by_load: bool, stats: dict | None = None) -> tuple[np.ndarray, ...]:
     """Candidate pairs of complete blocks (rows sorted by block, size, class).
 
     Returns (a, b, load of a): classes with a < b, or with by_load (earlier, later, earlier load).
@@ -152,7 +227,6 @@ def block_candidates(cols: list[np.ndarray], sim: tuple[int, int], by_load: bool
     exc = pick(np.minimum(meta >> 16 & 0xFFFF, 255).astype(np.uint8))
     o1, o2 = np.bitwise_or.reduce(a1, axis=1), np.bitwise_or.reduce(a2, axis=1)
     most, low, high = exc.max(axis=1).astype(np.int64), np.where(real, size.astype(np.int64), 1 << 40).min(axis=1), size.max(axis=1).astype(np.int64)
-    end = (first + leaves)[block]
     out = []
 
     def leaf_pairs(la: np.ndarray, lb: np.ndarray) -> None:
@@ -169,41 +243,28 @@ def block_candidates(cols: list[np.ndarray], sim: tuple[int, int], by_load: bool
                 ex = np.where(ex == 0xFFFF, 1 << 40, ex)
                 hit = (bound + np.minimum(ex[x][:, :, None], ex[y][:, None, :])) * (p + q) >= np.maximum(total * p, 1)
             k, i, j = np.nonzero(hit)
-            if not len(k):
-                continue
-            i, j = at[x[k], i], at[y[k], j]
-            ok = (i < j) & real_row(i, j)
-            out.append((i[ok], j[ok]))
-
-    def real_row(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return (n[i] > 0) & (n[j] > 0) & (blk[i] == blk[j])
-
-    live = np.arange(len(block))
-    d = 0
-    while len(live):
-        other = live + d
-        ok = other < end[live]
-        live, other = live[ok], other[ok]
-        ok = high[live] * q >= p * low[other]  # sizes grow along a block: too far apart once, too far from then on
-        live, other = live[ok], other[ok]
-        boxes = np.bitwise_count(o1[live] & o1[other]).astype(np.int64) + np.bitwise_count(o2[live] & o2[other]) + np.minimum(most[live], most[other])
-        keep = (boxes >= _need(low[live], low[other], p, q)) | (not full)
-        leaf_pairs(live[keep], other[keep])
-        d += 1
+            if len(k):
+                out.append(exact(at[x[k], i], at[y[k], j]))
+
+    def exact(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
+        """What size, position, stripe and load leave of point pairs; keeps a dense block's memory to its result."""
+        ok = (i < j) & (n[i] > 0) & (n[j] > 0) & (blk[i] == blk[j])
+        i, j = i[ok], j[ok]
+        na, nb, pa_, pb = n[i].astype(np.int64), n[j].astype(np.int64), meta[i] & 0xFFFF, meta[j] & 0xFFFF
+        need = _need(na, nb, p, q)
+        # as the first shared token of the pair, this one leaves at most the rest of the smaller tail
+        ok = (na * q >= p * nb) & (cid[i] != cid[j]) & (pa_ < na - need + 1) & (pb < nb - need + 1) & (np.minimum(na - pa_, nb - pb) >= need)
+        cross = meta[i] >> 61 & 1
+        ok &= (cross == 0) | ((meta[i] >> 60 & 1) != (meta[j] >> 60 & 1))
+        if by_load:
+            ok &= load[i] != load[j]
+        return i[ok], j[ok]
+
+    for x, y in tree_pairs(Level(block, o1, o2, most, low, high, None), p, q, full, stats):
+        leaf_pairs(x, y)
     if not out:
         return empty, empty, empty
     i, j = (np.concatenate(v) for v in zip(*out))
-    na, nb, pa_, pb = n[i].astype(np.int64), n[j].astype(np.int64), meta[i] & 0xFFFF, meta[j] & 0xFFFF
-    need = _need(na, nb, p, q)
-    small_first = pa_ < na - need + 1
-    other_first = pb < nb - need + 1
-    # as the first shared token of the pair, this one leaves at most the rest of the smaller tail
-    ok = (na * q >= p * nb) & (cid[i] != cid[j]) & small_first & other_first & (np.minimum(na - pa_, nb - pb) >= need)
-    cross = meta[i] >> 61 & 1
-    ok &= (cross == 0) | ((meta[i] >> 60 & 1) != (meta[j] >> 60 & 1))
-    if by_load:
-        ok &= load[i] != load[j]
-    i, j = i[ok], j[ok]
     swap = load[i] > load[j] if by_load else cid[i] > cid[j]
     a, b = np.where(swap, j, i), np.where(swap, i, j)
     return cid[a], cid[b], load[a]
