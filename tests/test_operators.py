@@ -334,3 +334,104 @@ def test_key_selection(spark):
         "a": ("selected", "k1"), "b": ("ambiguous", None), "c": ("awaiting_definitive", None), "d": ("conflict", None), "e": ("incomplete", None), "f": ("selected", "k1"),
         "g": ("selected", "k1"), "h": ("incomplete", None), "i": ("conflict", None),
     }
+
+
+def test_shared_folder_and_cleaning(spark, monkeypatch):
+    import os
+
+    from lauda import session
+
+    df = session.materialize(spark.range(5).withColumn("part", F.col("id") % 2), "gone", "part")
+    assert sorted(r.id for r in df.filter("part = 1").collect()) == [1, 3]
+    path = df._lauda_path.removeprefix("file://")
+    assert os.path.isdir(path)
+    session.release(df)
+    assert not os.path.exists(path) and df._lauda_path not in session._WRITTEN
+    kept = session.materialize(spark.range(3), "kept")._lauda_path
+    session.release_all(spark)
+    assert not session._WRITTEN and not os.path.exists(kept.removeprefix("file://"))
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "yarn"
+
+    class Cluster:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Cluster())
+
+
+def test_bucketed_table_is_not_shuffled(spark):
+    from lauda.buckets import Bucketed
+
+    t = Bucketed(spark, "probe", "k bigint, v bigint", ["k"], 4)
+    assert t.read().count() == 0
+    for n in range(2):
+        t.append(spark.range(100).select(F.col("id").alias("k"), F.lit(n).cast("bigint").alias("v")))
+    other = spark.range(50).select(F.col("id").alias("k"))
+    joined = t.read().join(other.hint("merge"), "k")
+    assert joined.count() == 100
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1, plan
+    assert t.read().groupBy("k").agg(F.sum("v").alias("s")).filter("s = 1").count() == 100
+    t.drop()
+
+
+def test_chain_depth_of_long_chains_and_repeated_rows(spark):
+    e = [(f"n{n:03d}", f"n{n - 1:03d}" if n else None) for n in range(300)] + [("n005", "n004"), (None, "n001"), ("a", "a"), ("tail", "a")]
+    got = {r.node: (r.root, r.depth) for r in dedup.chain_depth(spark.createDataFrame(e, "node string, predecessor string")).collect()}
+    assert got["n299"] == ("n000", 299) and got["a"] == got["tail"] == (None, None) and len(got) == 302
+    assert dedup.chain_depth(spark.createDataFrame([], "node string, predecessor string")).count() == 0
+
+
+def test_answers_across_permuted_alternatives(spark):
+    own, ref = ["um texto", "outro texto aqui", "mais um"], ["mais um", "um texto", "outro texto aqui!"]
+    assert dedup.mapped_answer("outro texto aqui", own, ref) == "outrotextoaqui" and dedup.mapped_answer("Mais  um.", own, ref) == "maisum"
+    assert dedup.mapped_answer("outro texto aquj", ["x"], ref) == "outrotextoaqui" and dedup.mapped_answer("nada", own, ref) == "nada" and dedup.mapped_answer(None, own, ref) is None
+    members = [("g", "um texto", own), ("g", "um texto", ref), ("h", "um texto", own), ("h", "mais um", ref), ("i", None, own)]
+    m = spark.createDataFrame(members, "g string, answer_text string, alts array<string>")
+    reps = spark.createDataFrame([(g, ref) for g in "ghi"], "g string, rep_alts array<string>")
+    assert rows(dedup.answer_consensus(m, "g", reps), "g", "n_answers", "n_values", "outcome", "answer_text") == [("g", 2, 1, "agreed", "umtexto"), ("h", 2, 2, "conflict", None), ("i", 0, 0, "missing", None)]
+
+
+def test_greedy_clusters_against_plain_merging():
+    """The one-pass clusters equal merging the first compatible pair of clusters until none is left."""
+    r = random.Random(6)
+    for _ in range(60):
+        units = [(f"u{n}", [r.choice(["abcdefghij", "abcdefghik", "abcdefgzzk", "qwertyuiop"]) for _ in range(2)], {f"b{r.randrange(5)}"}) for n in range(9)]
+        clusters, merged = [[n] for n in range(len(units))], True
+        while merged:
+            merged = False
+            for i in range(len(clusters)):
+                for j in range(i + 1, len(clusters)):
+                    books = [set().union(*(units[n][2] for n in c)) for c in (clusters[i], clusters[j])]
+                    if not books[0] & books[1] and all(dedup.alternatives_compatible(units[a][1], units[b][1]) for a in clusters[i] for b in clusters[j]):
+                        clusters[i] += clusters.pop(j)
+                        merged = True
+                        break
+                if merged:
+                    break
+        assert sorted(map(sorted, dedup.complete_linkage(units))) == sorted(map(sorted, clusters))
+
+
+def test_association_edges(spark):
+    from lauda.operators import association as a
+
+    alts = lambda *t: [(letter, x) for letter, x in zip("ABCDE", t)]
+    d = spark.createDataFrame([(alts("um", "dois", "três"), alts("Dois.", "um", "dois")), ([], alts("um")), (None, alts("um")), ([(None, "um"), ("A", None), ("B", "um"), ("B", "x")], alts("um"))], "o array<struct<letter:string,text:string>>, r array<struct<letter:string,text:string>>")
+    assert [x.m for x in d.select(a.letter_map(F.col("o"), F.col("r")).alias("m")).collect()] == [{"A": "B"}, {}, None, {"B": "A"}]
+    left = spark.createDataFrame([("e1", "b", "t1", "r"), ("e2", "b", "tx", "r"), ("e3", "b", "tx", "rx"), ("e4", None, "t1", "r")], "e string, b string, t string, r string")
+    right = spark.createDataFrame([("k1", "b", "t1", "q"), ("k2", "b", "t2", "r"), ("k2", "b", "t2", "r")], "k string, b string, t string, r string")
+    assert rows(a.blocked_pairs(left, right, ["b"], [["t"], ["r"], []], "e", "k"), "e", "k", "tier") == [("e1", "k1", 1), ("e2", "k2", 2), ("e3", "k1", 3), ("e3", "k2", 3)]
+    cur, rec = (spark.createDataFrame(x, "k string, v string") for x in ([("1", "A"), ("2", "B"), ("3", "C")], [("1", "A"), ("2", "C"), ("4", "D")]))
+    audited = a.audit(cur, rec, "k", "v")
+    assert rows(audited, "k", "state") == [("1", "confirmed"), ("2", "divergent"), ("3", "unsupported"), ("4", "missing")]
+    assert rows(a.apply_audit(audited), "k", "value") == [("1", "A"), ("2", "B"), ("3", "C"), ("4", "D")] and rows(a.apply_audit(audited, True), "k", "value")[1] == ("2", "C")
+    s = spark.createDataFrame([("e", "k1", 40, "definitive", None), ("e", "k2", 40, "preliminary", None), ("f", "k1", 40, "unknown", None), ("f", "k2", 40, "unknown", "k1"), ("g", "k1", 40, "unknown", None), ("g", "k2", 40, "unknown", None), ("h", "k1", 30, "definitive", None)], "e string, k string, score int, phase string, predecessor string")
+    assert rows(a.older_choice(s, "e", "k"), "e", "outcome", "chosen") == [("e", "selected", "k1"), ("f", "selected", "k2"), ("g", "ambiguous", None), ("h", "below_minimum", None)]
+    b = spark.createDataFrame([("http://x/a#1", 5.0), ("http://x/a", 7.0), ("http://x/b", 7.0), ("http://x/c", 1.0), (None, 9.0)], "u string, s double").filter("u is not null")
+    assert [tuple(x) for x in a.top_distinct(b, "s", "u", 2, 5).collect()] == [("http://x/a", 7.0), ("http://x/b", 7.0)]
