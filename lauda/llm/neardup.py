@@ -52,11 +52,12 @@ def record_pairs(units: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label) of the connected components of edges (u, v): alternating large and small stars.
 
-    Each round is written to the shared folder; the loop ends when no edge changes, which only a
-    count brings to the driver. Star centres keep their distinct neighbours in shuffled rows, never
+    Each round is written to the shared folder; the loop ends at the fixed point, when no edge changes,
+    which only a count brings to the driver. Labels only fall, so it is reached; the rounds grow with the
+    logarithm of the longest path. Star centres keep their distinct neighbours in shuffled rows, never
     in one array.
     """
     spark = edges.sparkSession
@@ -64,7 +65,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     path = scratch(spark, "star")
     e.write.parquet(path)
     before = None
-    for _ in range(max_rounds):
+    while True:
         e = spark.read.parquet(path)
         sig = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if sig == before:

@@ -188,9 +188,10 @@ def test_bounded_distance(cases):
 
 
 def test_components_of_chains_and_stars(spark):
-    edges = [(n, n + 1) for n in range(0, 40)] + [(100, n) for n in range(101, 130)] + [(200, 201)]
+    edges = [(n, n + 1) for n in range(0, 40)] + [(n, n + 1) for n in range(10_000, 10_300)] + [(100, n) for n in range(101, 130)] + [(200, 201)]
     got = {r.node: r.label for r in neardup.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert {got[n] for n in range(41)} == {0} and {got[n] for n in range(100, 130)} == {100} and got[201] == 200
+    assert {got[n] for n in range(10_000, 10_301)} == {10_000}
 
 
 def test_digest_spellings(spark):
