@@ -241,6 +241,18 @@ SELECT issue, count(*) AS n_pages FROM (
   SELECT unnest(list_filter([CASE WHEN regexp_matches(t, '[\\x{E000}-\\x{F8FF}]') THEN 'private_glyphs' END, CASE WHEN contains(t, chr(65533)) THEN 'replacement_character' END,
     CASE WHEN regexp_matches(t, '(?im)^\\s*p[áa]gina\\s+[0-9]+(\\s+de\\s+[0-9]+)?\\s*$') THEN 'page_bleed' END], lambda x: x IS NOT NULL)) AS issue FROM p) GROUP BY issue""",
     "page_needs_ocr": "SELECT document_id AS path, count(*) AS n_pages, count(*) FILTER (length(trim(coalesce(text, ''))) > 0) AS n_text, count(*) FILTER (length(trim(coalesce(text, ''))) > 0) < greatest(1.0, count(*) / 2.0) AS needs_ocr FROM pages GROUP BY 1",
+    "page_hyphen_repair": """
+WITH l AS (SELECT document_id, page_number, text, string_split(text, chr(10)) AS ls FROM pages WHERE text IS NOT NULL),
+n AS (SELECT document_id, page_number, ls, unnest(range(1, len(ls))) AS line_no FROM l),
+cuts AS (SELECT document_id, page_number, line_no, regexp_extract(ls[line_no], '(\\p{L}{2,})([-\\x{AD}])[ \\t\\r]*$', 1) AS head, regexp_extract(ls[line_no], '(\\p{L}{2,})([-\\x{AD}])[ \\t\\r]*$', 2) AS mark,
+  regexp_extract(ls[line_no + 1], '^[ \\t]*(\\p{L}{2,})', 1) AS tail FROM n WHERE regexp_matches(ls[line_no], '(\\p{L}{2,})([-\\x{AD}])[ \\t\\r]*$') AND regexp_matches(ls[line_no + 1], '^[ \\t]*\\p{Ll}\\p{L}')),
+words AS (SELECT document_id, w FROM (SELECT document_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_-]+')) AS w FROM l) WHERE regexp_full_match(w, '\\p{L}+(-\\p{L}+)*')
+  UNION SELECT document_id, lower(head || tail) FROM cuts WHERE mark = chr(173)),
+j AS (SELECT DISTINCT document_id, page_number, line_no FROM cuts c
+  WHERE NOT EXISTS (SELECT 1 FROM words w WHERE w.document_id IS NOT DISTINCT FROM c.document_id AND w.w = lower(head || '-' || tail))
+    AND (mark = chr(173) OR EXISTS (SELECT 1 FROM words w WHERE w.document_id IS NOT DISTINCT FROM c.document_id AND w.w = lower(head || tail)))),
+k AS (SELECT document_id, page_number, count(*) AS c FROM j GROUP BY ALL)
+SELECT p.document_id, p.page_number, coalesce(k.c, 0)::int AS n_joined FROM pages p LEFT JOIN k ON p.document_id IS NOT DISTINCT FROM k.document_id AND p.page_number IS NOT DISTINCT FROM k.page_number""",
     "page_repeated_heads": f"""SELECT document_id, token, n_pages FROM (SELECT document_id, regexp_replace({fold("split_part(text, chr(10), 1)")}, '\\s*[0-9]+\\s*$', '') AS token, count(DISTINCT page_number) AS n_pages
       FROM pages WHERE text IS NOT NULL GROUP BY ALL) WHERE token <> '' AND n_pages > 1""",
     "page_caps_headings": f"""WITH l AS (SELECT document_id, {squeeze("unnest(string_split(text, chr(10)))")} AS t FROM pages WHERE text IS NOT NULL)
