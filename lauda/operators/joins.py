@@ -78,20 +78,11 @@ def in_interval(points: DataFrame, ranges: DataFrame, block: str, point: str, fi
 
 def contained_phrases(texts: DataFrame, phrases: DataFrame, words: int = 3) -> DataFrame:
     """(id, phrase_id, phrase) of phrases of up to `words` words contained in token texts, by n-gram
-    equi-join: nothing is compared pair by pair."""
-    grams = texts.select(
-        "id",
-        F.explode(
-            F.flatten(
-                F.transform(
-                    F.sequence(F.lit(1), F.lit(words)),
-                    lambda n: F.when(F.size("toks") >= n, F.transform(F.sequence(F.lit(1), F.size("toks") - n + 1), lambda i: F.array_join(F.slice("toks", i, n), " "))).otherwise(
-                        F.array().cast("array<string>")
-                    ),
-                )
-            )
-        ).alias("phrase"),
-    ).distinct()
+    equi-join: nothing is compared pair by pair, and n-grams are made only where a phrase's first word stands."""
+    first = checked_broadcast(phrases.select(F.split("phrase", " ")[0].alias("_first")).distinct())
+    runs = F.when(F.size("toks") > 0, F.transform(F.sequence(F.lit(1), F.size("toks")), lambda i: F.slice("toks", i, words)))
+    starts = texts.select("id", F.explode(runs).alias("run")).withColumn("_first", F.col("run")[0]).join(first, "_first", "left_semi")
+    grams = starts.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size("run")), lambda n: F.array_join(F.slice("run", 1, n), " "))).alias("phrase")).distinct()
     return grams.join(checked_broadcast(phrases), "phrase")
 
 
