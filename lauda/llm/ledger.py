@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lauda.session import drop_path, scratch
+from lauda.session import drop_path, materialize, release, scratch
 
 LEDGER_SCHEMA = "src_table string, ckey binary, copies bigint, keep_id string, bucket int"
 
@@ -58,12 +58,11 @@ class Ledger:
 
     def add(self, records: DataFrame, generation: int) -> None:
         """Fold one batch of (src_table, id, ckey) records in. A batch must not be added twice."""
-        batch = batch_counts(records).withColumn("bucket", bucket_of(self.buckets))
+        batch = materialize(batch_counts(records).withColumn("bucket", bucket_of(self.buckets)), "ledger-batch")  # read twice
         gen = f"{self.root}/g{generation}"
         if self.paths:
             touched = [r.bucket for r in batch.select("bucket").distinct().collect()]  # at most `buckets` rows
-            old = self.read(touched)
-            merged = merge(old, batch).withColumn("bucket", bucket_of(self.buckets))
+            merged = merge(self.read(touched), batch).withColumn("bucket", bucket_of(self.buckets))
         else:
             merged = batch
         merged.repartition(self.buckets, "bucket").write.partitionBy("bucket").option("compression", "lz4").parquet(gen)
@@ -72,6 +71,7 @@ class Ledger:
             self.paths[row] = f"{gen}/bucket={row}"
             if old_path:
                 drop_path(self.spark, old_path)
+        release(batch)
 
     def _buckets_of(self, gen: str) -> list[int]:
         jvm = self.spark.sparkContext._jvm

@@ -16,7 +16,7 @@ BUCKET_ROWS = 1_000_000
 
 def _ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(members, ledger): the ledger is built load after load, as the batches came in."""
-    rows = materialize(canon.members(canon.features(canon.both_tables(spark, sf_dir))), "copy-members")
+    rows = materialize(canon.members(canon.features(canon.both_tables(spark, sf_dir))), "copy-members", "load_no")
     ledger = Ledger(spark, buckets=max(8, -(-rows.count() // BUCKET_ROWS)))
     for load in sorted(r.load_no for r in rows.select("load_no").distinct().collect()):  # one entry per load
         ledger.add(rows.filter(F.col("load_no") == load), load)

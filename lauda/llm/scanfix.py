@@ -454,10 +454,17 @@ def learned_confusions(words: DataFrame, model: Model) -> list[tuple[str, str]]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        known = by_first(m.start)
         found: Counter = Counter()
         natural: Counter = Counter()
+
+        def explained(w: str) -> bool:
+            """Whether a confusion that the model starts with explains the word: it teaches nothing new."""
+            real = m.skeletons.get(skeleton(w))
+            return w not in m.lexicon and real is not None and confusable(real, w, known)
+
         for b in batches:
-            rows = [(w, n) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if len(w) > 3 and n > 0]
+            rows = [(w, n) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if len(w) > 3 and n > 0 and not explained(w)]
             for (w, n), near in zip(rows, m.trie.within([w for w, _ in rows], [2 if w not in m.lexicon else 1 for w, _ in rows])):
                 if w in m.lexicon:
                     natural.update(d for d in (difference(x, w) for x, e in near if e) if _is_confusion(d))
@@ -484,6 +491,8 @@ def learned_confusions(words: DataFrame, model: Model) -> list[tuple[str, str]]:
 
 def _edge_reach(lines: list[str]) -> int:
     """How many lines from the start may be furniture: EDGE_LINES, or all up to the first that cannot be."""
+    if len(lines) <= EDGE_LINES or not (_could_be_head(lines[EDGE_LINES]) or any(c.isdigit() for c in lines[EDGE_LINES])):
+        return EDGE_LINES
     n = 0
     while n < len(lines) and ((_could_be_head(lines[n]) and _looks_titled(lines[n])) or page_number(lines[n])):
         n += 1
