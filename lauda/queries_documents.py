@@ -241,6 +241,19 @@ SELECT issue, count(*) AS n_pages FROM (
   SELECT unnest(list_filter([CASE WHEN regexp_matches(t, '[\\x{E000}-\\x{F8FF}]') THEN 'private_glyphs' END, CASE WHEN contains(t, chr(65533)) THEN 'replacement_character' END,
     CASE WHEN regexp_matches(t, '(?im)^\\s*p[áa]gina\\s+[0-9]+(\\s+de\\s+[0-9]+)?\\s*$') THEN 'page_bleed' END], lambda x: x IS NOT NULL)) AS issue FROM p) GROUP BY issue""",
     "page_needs_ocr": "SELECT document_id AS path, count(*) AS n_pages, count(*) FILTER (length(trim(coalesce(text, ''))) > 0) AS n_text, count(*) FILTER (length(trim(coalesce(text, ''))) > 0) < greatest(1.0, count(*) / 2.0) AS needs_ocr FROM pages GROUP BY 1",
+    "doc_hash_identity": """
+WITH h AS (SELECT doc_id, sha256('{"doc_id":' || coalesce(doc_id::varchar, 'null') || ',"lang":' || coalesce(to_json(lang)::varchar, 'null') || ',"source":' || coalesce(to_json(source)::varchar, 'null') || '}') AS sha,
+  sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('doc:' || doc_id::varchar)) AS h FROM documents)
+SELECT doc_id, sha, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', ((instr('0123456789abcdef', h[17:17]) - 1) % 4 + 1)::int, 1) || h[18:20] || '-' || h[21:32] AS uuid FROM h""",
+    "doc_chunks": """
+WITH RECURSIVE c AS (
+  SELECT doc_id, text, 1 AS chunk_no, 0 AS start, 0 AS stop, true AS fresh FROM documents WHERE length(text) > 0
+  UNION ALL
+  SELECT doc_id, text, CASE WHEN fresh THEN chunk_no ELSE chunk_no + 1 END, CASE WHEN fresh THEN start ELSE greatest(stop - 200, start + 1) END,
+    CASE WHEN fresh THEN CASE WHEN start + 4000 >= length(text) THEN length(text)
+      WHEN contains(substr(text, start + 3001, 1000), chr(10)) THEN start + 4001 - instr(reverse(substr(text, start + 3001, 1000)), chr(10)) ELSE start + 4000 END ELSE stop END, NOT fresh
+  FROM c WHERE fresh OR stop < length(text))
+SELECT doc_id::varchar AS doc, chunk_no::int AS chunk_no, start::int AS start, (stop - start)::int AS n_chars FROM c WHERE NOT fresh""",
     "page_hyphen_repair": """
 WITH l AS (SELECT document_id, page_number, text, string_split(text, chr(10)) AS ls FROM pages WHERE text IS NOT NULL),
 n AS (SELECT document_id, page_number, ls, unnest(range(1, len(ls))) AS line_no FROM l),

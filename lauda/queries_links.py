@@ -280,6 +280,10 @@ ORACLE = {
       g AS (SELECT id, count(*) AS n_candidates, count(*) FILTER (state = 'comparable') AS n_comparable, count(*) FILTER (state = 'incomplete') AS ni, max(score) FILTER (state = 'comparable' AND rk = 1) AS s1, max(sid) FILTER (state = 'comparable' AND rk = 1) AS c1, max(score) FILTER (state = 'comparable' AND rk = 2) AS s2 FROM r GROUP BY 1),
       o AS (SELECT *, CASE WHEN n_comparable = 0 THEN CASE WHEN ni > 0 THEN 'incomplete' ELSE 'conflict' END WHEN s1 < 20 THEN 'below_minimum' WHEN s1 - coalesce(s2, -1000000) < 8 THEN 'ambiguous' ELSE 'selected' END AS outcome FROM g)
       SELECT id, n_candidates, n_comparable, outcome, s1 AS best_score, CASE WHEN outcome = 'selected' THEN c1 END AS chosen FROM o""",
+    "link_paired_models": f"""WITH {QUESTIONS}, s AS (SELECT * FROM (SELECT nullif(trim(lower(question_id)), '') AS item, model, suggested_answer, row_number() OVER (PARTITION BY nullif(trim(lower(question_id)), ''), model ORDER BY created_at DESC NULLS LAST, id DESC) AS rn FROM desktop_answer_suggestions) WHERE rn = 1 AND model IS NOT NULL),
+      j AS (SELECT item, model, coalesce(suggested_answer = correct_answer, false) AS ok FROM s JOIN q ON q.id = s.item WHERE correct_answer IS NOT NULL),
+      p AS (SELECT a.model AS model_a, b.model AS model_b, count(*) AS n_items, count(*) FILTER (a.ok AND NOT b.ok) AS wins_a, count(*) FILTER (b.ok AND NOT a.ok) AS wins_b, count(*) FILTER (a.ok = b.ok) AS ties FROM j a JOIN j b ON a.item = b.item AND a.model < b.model GROUP BY 1, 2)
+      SELECT *, round(least(1.0::double, 2 * list_sum(list_transform(range(0, least(wins_a, wins_b) + 1), lambda i: exp(lgamma(wins_a + wins_b + 1) - lgamma(i + 1) - lgamma(wins_a + wins_b - i + 1) - (wins_a + wins_b) * ln(2.0))))), 6) AS p_value FROM p""",
     "set_union_keys": "SELECT document_id FROM questions WHERE document_id IS NOT NULL UNION SELECT document_id FROM pages",
     "set_difference": "SELECT document_id FROM pages EXCEPT SELECT document_id FROM questions",
     "set_intersection": "SELECT document_id FROM pages INTERSECT SELECT document_id FROM questions",
