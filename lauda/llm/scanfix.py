@@ -81,6 +81,7 @@ _ORDINAL = re.compile(r"^\d+(?:[ºªoa°]s?|h\d*|m|km|kg|%)$")
 _OUTER = ".,;:?\"'“”«»‘’*…)]}–—"
 _OPEN = "\"'“”«»‘’*([{¿¡–—…"
 _NUMBER = re.compile(r"^\W*(?:([^\W\d]{1,8}|p[^\W\d]?9ina|[^\W\d]{2}9)\W{0,2})?\s*(\d{1,4})(?:\s*(?:/|de)\s*\d{1,4})?\W*$", re.I)
+_DIGIT = re.compile(r"\d")
 _SUFFIX = re.compile(r"^(.*\S)\s{2,}(\S.*)$")
 _PAGE_WORDS = {"pagina", "pag", "p", "folha", "fl", "fls", "pg"}
 _CUT_NEXT = re.compile(f"[^\\W\\d_][{HYPHENS}]\\s*\\n\\s*(\\S+)")
@@ -491,7 +492,7 @@ def learned_confusions(words: DataFrame, model: Model) -> list[tuple[str, str]]:
 
 def _edge_reach(lines: list[str]) -> int:
     """How many lines from the start may be furniture: EDGE_LINES, or all up to the first that cannot be."""
-    if len(lines) <= EDGE_LINES or not (_could_be_head(lines[EDGE_LINES]) or any(c.isdigit() for c in lines[EDGE_LINES])):
+    if len(lines) <= EDGE_LINES or not (_could_be_head(lines[EDGE_LINES]) or _DIGIT.search(lines[EDGE_LINES])):
         return EDGE_LINES
     n = 0
     while n < len(lines) and ((_could_be_head(lines[n]) and _looks_titled(lines[n])) or page_number(lines[n])):
@@ -520,7 +521,7 @@ def edge_lines(pages: DataFrame, shared) -> DataFrame:
                         continue
                     outer = k == 0 or k == len(lines) - 1
                     words = x.split()
-                    pure = page_number(x) if len(words) <= 6 and any(c.isdigit() for c in x) else None
+                    pure = page_number(x) if len(words) <= 6 and _DIGIT.search(x) else None
                     if not pure and not _could_be_head(x):
                         out.append((doc, page, n, top, bottom, outer, False, False, None, None, False, words[0], words[-1]))
                         continue
@@ -812,7 +813,7 @@ def statement_furniture(lines: list[str], model: Model) -> set[int]:
     for n, x in enumerate(lines, 1):
         if not x.strip():
             continue
-        pure = page_number(x) if any(c.isdigit() for c in x) else None
+        pure = page_number(x) if _DIGIT.search(x) else None
         if pure:
             if pure[1]:
                 out.add(n)
