@@ -203,6 +203,13 @@ def set_difference(spark, sf_dir):
     return setops.difference(p, table(spark, sf_dir, "questions").filter("document_id is not null"), ["document_id"])
 
 
+def set_difference_sources(spark, sf_dir):
+    """Documents of questions that the first load had not observed."""
+    q = table(spark, sf_dir, "questions").filter("document_id is not null").select("document_id").distinct()
+    seen = table(spark, sf_dir, "document_observations").filter("document_id is not null and load_no = 0")
+    return setops.difference(q, seen, ["document_id"])
+
+
 def set_intersection(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("document_id").distinct()
     return setops.intersection(p, table(spark, sf_dir, "questions").filter("document_id is not null"), ["document_id"])
@@ -286,6 +293,7 @@ ORACLE = {
       SELECT *, round(least(1.0::double, 2 * list_sum(list_transform(range(0, least(wins_a, wins_b) + 1), lambda i: exp(lgamma(wins_a + wins_b + 1) - lgamma(i + 1) - lgamma(wins_a + wins_b - i + 1) - (wins_a + wins_b) * ln(2.0))))), 6) AS p_value FROM p""",
     "set_union_keys": "SELECT document_id FROM questions WHERE document_id IS NOT NULL UNION SELECT document_id FROM pages",
     "set_difference": "SELECT document_id FROM pages EXCEPT SELECT document_id FROM questions",
+    "set_difference_sources": "SELECT document_id FROM questions WHERE document_id IS NOT NULL EXCEPT SELECT document_id FROM document_observations WHERE load_no = 0",
     "set_intersection": "SELECT document_id FROM pages INTERSECT SELECT document_id FROM questions",
     "set_catalog": f"WITH {QUESTIONS} SELECT discipline, matter, array_to_string(list_sort(list(DISTINCT coalesce(board, '(none)'))), '|') AS provenances, count(*) AS n_rows FROM q GROUP BY 1, 2",
 }

@@ -47,6 +47,12 @@ def question_duplicate_numbers(spark, sf_dir):
     return q.filter("duplicate_number").select("id", "document_id", "question_number")
 
 
+def occurrence_duplicate_numbers(spark, sf_dir):
+    """Original numbers that occur more than once in their contest."""
+    o = table(spark, sf_dir, "question_occurrences").filter("contest_id is not null and original_number is not null").select("id", "contest_id", "original_number").distinct()
+    return quality.with_duplicate_numbers(o, "contest_id", "original_number").filter("duplicate_number").select("id", "contest_id", "original_number")
+
+
 def question_diagnosis(spark, sf_dir):
     """Why questions lack an official answer: links counted from their occurrences."""
     occ = windows.latest_per_key(table(spark, sf_dir, "question_occurrences").select("id", "question_id", "answer_status", "answer_link_valid", "ingested_at"), ["id"], ["ingested_at"])
@@ -210,6 +216,7 @@ SELECT id, errors FROM e WHERE errors <> ''""",
 WITH {QUESTIONS}
 SELECT lower(trim(status)) AS status, CASE WHEN NOT (coalesce(n_pages > 0, false) AND coalesce(n_alts BETWEEN 2 AND 5 AND length(statement) >= 10, false)) THEN 'quarantined'
   WHEN NOT (coalesce(answer_status = 'matched', false) AND subject IS NOT NULL AND matter IS NOT NULL) THEN 'needs_review' ELSE 'auto_ready' END AS state, count(*) AS n FROM q GROUP BY ALL""",
+    "occurrence_duplicate_numbers": "SELECT id, contest_id, original_number FROM (SELECT *, count(*) OVER (PARTITION BY contest_id, original_number) AS c FROM (SELECT DISTINCT id, contest_id, original_number FROM question_occurrences WHERE contest_id IS NOT NULL AND original_number IS NOT NULL)) WHERE c > 1",
     "question_duplicate_numbers": "SELECT id, document_id, question_number FROM (SELECT *, count(*) OVER (PARTITION BY document_id, question_number) AS c FROM questions WHERE document_id IS NOT NULL AND question_number IS NOT NULL) WHERE c > 1",
     "question_diagnosis": f"""
 WITH {QUESTIONS}, per AS (SELECT trim(lower(question_id)) AS id, count(*) FILTER (coalesce(answer_link_valid, false)) AS n_links, count(*) AS n_occ FROM {_O} GROUP BY 1),

@@ -20,15 +20,6 @@ def state_new_rows(spark, sf_dir):
 
 
 def state_insert_ignore(spark, sf_dir):
-    """Digest registry after loads 0 to 2: digests and the id that brought them first."""
-    o = table(spark, sf_dir, "document_observations").select(F.lower(F.trim("binary_sha256")).alias("digest"), "id", "load_no")
-    cur = o.filter("load_no = 0").groupBy("digest").agg(F.min("id").alias("id"))
-    for n in (1, 2):
-        cur = state.insert_ignore(cur, o.filter(F.col("load_no") == n).select("digest", "id"), ["digest"])
-    return cur
-
-
-def state_insert_ignore_all(spark, sf_dir):
     """Digest registry after every load, in order: digests and the id that brought them first. Null loads count as load 0."""
     o = table(spark, sf_dir, "document_observations").select(F.lower(F.trim("binary_sha256")).alias("digest"), "id", F.coalesce("load_no", F.lit(0)).alias("load_no"))
     cur = o.select("digest", "id").limit(0)
@@ -60,15 +51,6 @@ def state_one_active(spark, sf_dir):
 
 
 def state_retry_queue(spark, sf_dir):
-    """Retry queue of users after one round of outcomes: purchases succeed, the rest fails."""
-    e = _latest(table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type"), ["user_id"], ["ts", "event_id"])
-    n = table(spark, sf_dir, "events").groupBy("user_id").agg(F.least(F.count("*"), F.lit(4)).cast("int").alias("attempts"))
-    queue = n.filter("user_id % 2 = 0").select("user_id", "attempts", F.lit("waiting").alias("status"), F.lit(None).cast(e.schema["ts"].dataType).alias("next_at"))
-    outcomes = e.select("user_id", (F.col("event_type") != "purchase").alias("failed"), F.col("ts").alias("at"))
-    return state.retry_queue(queue, outcomes, "user_id", 5, 60)
-
-
-def state_retry_queue_all(spark, sf_dir):
     """Retry queue of all users after one round of outcomes: the last event is the outcome, earlier events other than purchases are the attempts (four at most)."""
     ev = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
     e = _latest(ev, ["user_id"], ["ts", "event_id"])
@@ -189,14 +171,14 @@ QUERIES = {k: v for k, v in globals().items() if k.startswith(("state_", "order_
 
 ORACLE = {
     "state_new_rows": "SELECT id, fingerprint FROM questions q WHERE load_no = 8 AND NOT EXISTS (SELECT 1 FROM questions e WHERE e.load_no < 8 AND e.fingerprint = q.fingerprint)",
-    "state_insert_ignore": """WITH o AS (SELECT lower(trim(binary_sha256)) AS digest, id, load_no, min(load_no) OVER (PARTITION BY lower(trim(binary_sha256))) AS first FROM document_observations WHERE load_no <= 2)
+    "state_insert_ignore": """WITH o AS (SELECT lower(trim(binary_sha256)) AS digest, id, coalesce(load_no, 0) AS load_no, min(coalesce(load_no, 0)) OVER (PARTITION BY lower(trim(binary_sha256))) AS first FROM document_observations)
       SELECT digest, min(id) AS id FROM o WHERE load_no = first GROUP BY 1""",
     "state_upsert": "SELECT id, status, ingested_at FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC, status DESC) AS rn FROM desktop_answer_suggestions) WHERE rn = 1",
     "state_conditional_update": """SELECT CASE WHEN lower(trim(status)) = 'approved' AND EXISTS (SELECT 1 FROM desktop_answer_suggestions s WHERE s.is_official AND trim(lower(s.question_id)) = q.id) THEN 'exported' ELSE lower(trim(status)) END AS status,
       count(*) AS n FROM questions q GROUP BY 1""",
     "state_one_active": "SELECT identity_key, count(*) AS n_active FROM document_versions WHERE deleted_at IS NULL GROUP BY 1 HAVING count(*) > 1",
     "state_retry_queue": """WITH e AS (SELECT user_id, event_type <> 'purchase' AS failed, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events),
-      n AS (SELECT user_id, least(count(*), 4)::int AS a FROM events GROUP BY 1 HAVING user_id % 2 = 0),
+      n AS (SELECT user_id, least(count(*), 4)::int AS a FROM e WHERE rn > 1 AND failed GROUP BY 1),
       j AS (SELECT e.user_id, coalesce(n.a, 0) + 1 AS k, ts FROM e LEFT JOIN n USING (user_id) WHERE rn = 1 AND failed)
       SELECT user_id, k::int AS attempts, CASE WHEN k >= 5 THEN 'exhausted' ELSE 'waiting' END AS status, CASE WHEN k < 5 THEN ts + to_seconds(60 * 2 ** (k - 1)) END AS next_at FROM j""",
     "state_pending": "SELECT id FROM questions WHERE exported_at IS NULL OR updated_at > exported_at OR NOT (id < '8')",

@@ -232,14 +232,14 @@ def test_alignment_of_many_alternatives():
 def test_digest_registry_of_all_loads(spark, tmp_path):
     obs = [("a", "X ", 1), ("b", "x", 3), ("c", "y", 8), ("d", "y", 5), ("e", "z", None), ("f", "z", 2), ("h", "w", 8), ("g", "w", 8)]
     spark.createDataFrame(obs, "id string, binary_sha256 string, load_no int").write.parquet(str(tmp_path / "document_observations.parquet"))
-    assert rows(queries_state.state_insert_ignore_all(spark, str(tmp_path)), "digest", "id") == [("w", "g"), ("x", "a"), ("y", "d"), ("z", "e")]
+    assert rows(queries_state.state_insert_ignore(spark, str(tmp_path)), "digest", "id") == [("w", "g"), ("x", "a"), ("y", "d"), ("z", "e")]
 
 
 def test_retry_queue_of_all_users(spark, tmp_path):
     at = [T(2024, 1, 1, h) for h in range(6)]
     ev = [(u, n, at[n % 6], kind) for n, (u, kind) in enumerate([(1, "view"), (1, "view"), (1, "click"), (2, "view"), (2, "purchase"), (3, "view"), *[(5, "view")] * 6])]
     spark.createDataFrame(ev, "user_id bigint, event_id bigint, ts timestamp, event_type string").write.parquet(str(tmp_path / "events.parquet"))
-    got = rows(queries_state.state_retry_queue_all(spark, str(tmp_path)), "user_id", "attempts", "status", "next_at")
+    got = rows(queries_state.state_retry_queue(spark, str(tmp_path)), "user_id", "attempts", "status", "next_at")
     assert got == [(1, 3, "waiting", T(2024, 1, 1, 2, 4)), (3, 1, "waiting", T(2024, 1, 1, 5, 1)), (5, 5, "exhausted", None)]
 
 
