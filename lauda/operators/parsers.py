@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import parse_qs, urljoin, urlsplit
@@ -298,3 +300,60 @@ def answer_grids(text: str) -> list[tuple]:
 
 
 GRID_SCHEMA = "grid int, label string, variant int, turn string, number int, answer string, annulled boolean"
+
+
+#: Board whose exams may be of right-or-wrong items, and what their openings say, folded.
+TRUE_FALSE_BOARD, TRUE_FALSE_OPENING = "cebraspe", ("certo ou errado", "julgue os itens", "julgue o item")
+OPENING_CHARS = 2000
+
+
+def route(text: str, board: str | None = None, form: str | None = None) -> str:
+    """Which parser a text is for: true_false, marked or generic."""
+    fold = lambda x: "".join(c for c in unicodedata.normalize("NFKD", x.casefold()) if not unicodedata.combining(c))
+    if TRUE_FALSE_BOARD in fold(board or "") and (form == "true_false" or any(x in fold(text[:OPENING_CHARS]) for x in TRUE_FALSE_OPENING)):
+        return "true_false"
+    return "marked" if any(map(_MARK.match, text.splitlines())) else "generic"
+
+
+def parse_document(text: str, board: str | None = None, form: str | None = None) -> list[tuple]:
+    """(route, number, statement, n_alternatives, alternatives, answer) by the parser of the text's route. Cut
+    words are to be joined before (hyphens.repaired)."""
+    way = route(text, board, form)
+    if way == "true_false":
+        return [(way, n, t, 0, "", None) for n, t in true_false_items(text)]
+    return [(way, *row) for row in (marked_questions if way == "marked" else questions)(text)]
+
+
+ROUTED_SCHEMA = f"route string, {QUESTION_SCHEMA}"
+
+
+def section_exceptions(numbers: list[int], sections: list[tuple[str, int, int]]) -> list[tuple]:
+    """(section, kind, number) against the expected sections (name, first, last): missing, duplicate and
+    out_of_order numbers of each section, numbers outside all as out_of_range of no section."""
+    out, seen = [], Counter(numbers)
+    for name, first, last in sections:
+        inside = [n for n in numbers if first <= n <= last]
+        out += [(name, "missing", n) for n in range(first, last + 1) if n not in seen]
+        out += [(name, "duplicate", n) for n in sorted(set(inside)) if seen[n] > 1]
+        out += [(name, "out_of_order", b) for a, b in zip(inside, inside[1:]) if b < a]
+    return out + [(None, "out_of_range", n) for n in sorted(seen) if not any(a <= n <= b for _, a, b in sections)]
+
+
+def answer_blocks(text: str, heading: str) -> dict[str, list[tuple]]:
+    """Keys of an annex with one block per booklet: booklet to its entries. heading is a pattern whose first
+    group names the booklet; a block that gives a number two answers is empty, as is one that repeats a booklet
+    with another key."""
+    blocks: dict[str, list[str]] = {}
+    lines: list[str] | None = None
+    for line in text.splitlines():
+        if m := re.search(heading, line, re.I):
+            lines = blocks.setdefault(m.group(1).strip(), [])
+            line = line[m.end() :]
+        if lines is not None and line.strip():
+            lines.append(line)
+    out = {}
+    for booklet, lines in blocks.items():
+        stated = [p for line in lines for p in _stated_pairs(line)[0]]
+        answers = {n: {(a, v) for m, a, v in stated if m == n} for n, _, _ in stated}
+        out[booklet] = [] if any(len(x) > 1 for x in answers.values()) else sorted({p for p in stated})
+    return out

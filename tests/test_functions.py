@@ -58,3 +58,19 @@ def test_urls(spark):
     assert one(spark, urls.canonical(F.lit(u)), urls.is_signed(F.lit(u)), urls.redact(F.lit(u)), urls.host(F.lit(u))) == ["https://example.com/a/b?a=1&b=2", True, "HTTPS://Example.COM:443//a//b?utm_source=x&b=2&a=1#frag", "example.com"]
     assert one(spark, urls.canonical(F.lit("ftp://x/y")), urls.canonical(F.lit("https://u:p@x/")), urls.canonical(F.lit("http://x:8080"))) == [None, None, "http://x:8080/"]
     assert one(spark, urls.in_allowlist(F.lit("https://a.example.com/x"), ["example.com"]), urls.in_allowlist(F.lit("https://badexample.com"), ["example.com"]), urls.is_safe_link(F.lit("https://x/login")), urls.redact_in_text(F.lit("see https://x/y?token=1&a=2 end"))) == [True, False, False, "see https://x/y?a=2 end"]
+
+
+def test_document_routes_sections_and_blocks():
+    from lauda.operators import parsers
+
+    tf = "Julgue os itens a seguir.\n1 A água ferve.\n2 O gelo queima."
+    assert parsers.route(tf, "CEBRASPE (Cespe)") == "true_false" and parsers.route(tf, "outra") == "generic" and parsers.route("1 x", "Cebraspe", "true_false") == "true_false"
+    assert [(r[0], r[1]) for r in parsers.parse_document(tf, "Cebraspe")] == [("true_false", 1), ("true_false", 2)]
+    marked = "{01}\nPergunta?\nA) um\nB) dois\n#####"
+    assert [(r[0], r[1], r[3]) for r in parsers.parse_document(marked)] == [("marked", 1, 2)]
+    assert parsers.parse_document("QUESTÃO 1\nTexto\nA) um\nB) dois")[0][:2] == ("generic", 1) and parsers.parse_document("") == []
+    got = parsers.section_exceptions([1, 3, 2, 3, 12, 99], [("a", 1, 4), ("b", 11, 12)])
+    assert got == [("a", "missing", 4), ("a", "duplicate", 3), ("a", "out_of_order", 2), ("b", "missing", 11), (None, "out_of_range", 99)]
+    keys = parsers.answer_blocks("Caderno A\n1-B 2-C\nCaderno B 1-D\n2-E\nCaderno C\n1-A\n1-B", r"caderno\s+(\w)\b")
+    assert keys == {"A": [(1, "B", False), (2, "C", False)], "B": [(1, "D", False), (2, "E", False)], "C": []}
+    assert parsers.answer_blocks("Caderno A 1-B\nCaderno B 1-C\nCaderno A 2-D", r"caderno\s+(\w)\b")["A"] == [(1, "B", False), (2, "D", False)]
