@@ -11,6 +11,8 @@ load; records that came in the same load don't make each other repeats; null loa
 
 from __future__ import annotations
 
+from concurrent.futures import Future, ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,15 +85,20 @@ def near_classes(sets: DataFrame) -> DataFrame:
     index: SegmentIndex | None = None
     paths: list[str] = []
     sizes = {r.load_no: r for r in sets.groupBy("load_no").agg(F.sum(F.size("grams")).alias("symbols"), F.count("*").alias("strings")).collect()}  # one entry each
-    for load in sorted(sizes):
-        mine, size = sets.filter(F.col("load_no") == load), sizes[load]
-        if index is None:
-            index = SegmentIndex(mine, buckets_for(spark, size.symbols * 2 // 5))
-        fresh = index.intake(mine, load)
-        if index.stripes:
-            paths.append(scratch(spark, "near-of-load"))
-            index.probe(fresh, size.symbols).groupBy(F.col("b").alias("cid")).agg(F.min("load_a").alias("first")).write.parquet(paths[-1])
-        index.append(fresh, size.strings)
+    with ThreadPoolExecutor(1) as pool:  # segments of a load are appended while the next one's strings come in
+        appended: Future | None = None
+        for load in sorted(sizes):
+            mine, size = sets.filter(F.col("load_no") == load), sizes[load]
+            if index is None:
+                index = SegmentIndex(mine, buckets_for(spark, size.symbols * 2 // 5))
+            fresh = index.intake(mine, load)
+            if appended:
+                appended.result()
+                paths.append(scratch(spark, "near-of-load"))
+                index.probe(fresh, size.symbols).groupBy(F.col("b").alias("cid")).agg(F.min("load_a").alias("first")).write.parquet(paths[-1])
+            appended = pool.submit(index.append, fresh, size.strings)
+        if appended:
+            appended.result()
     if index:
         index.drop()
     return _read(spark, paths, "cid bigint, first int")
