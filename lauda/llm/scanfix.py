@@ -448,36 +448,58 @@ def _is_confusion(d: tuple[str, str]) -> bool:
     return all(1 <= len(part) <= 2 for part in d)
 
 
+def block_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(key, number of the word): hash of what is left of a word around each block of one or two characters.
+    Words that differ in such a block only share a key."""
+    keys = [(xxhash.xxh3_64_intdigest(f"{w[:i]}\0{w[i + k :]}"), n) for n, w in enumerate(words) for k in (1, 2) for i in range(len(w) - k + 1)]
+    return np.array([k for k, _ in keys], np.uint64), np.array([n for _, n in keys], np.int64)
+
+
 def learned_confusions(words: DataFrame, model: Model) -> list[tuple[str, str]]:
     """(real, seen) differences of up to two characters that many words outside the lexicon have from the one
-    far more frequent word nearest to them, and that words of the lexicon rarely have among themselves."""
-    shared = words.sparkSession.sparkContext.broadcast(model)
+    far more frequent word nearest to them, and that frequent words rarely have among themselves.
+
+    Partners are found by the block keys of the words frequent enough to be one, in sorted arrays.
+    """
+    partners = [w for w, n in sorted(model.lexicon.items()) if n >= LEARNED_RIVAL and len(w) > 3]
+    keys, numbers = block_keys(partners)
+    order = np.argsort(keys, kind="stable")
+    shared = words.sparkSession.sparkContext.broadcast((model, partners, keys[order], numbers[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        known = by_first(m.start)
+        m, common, held, owner = shared.value
+        start = by_first(m.start)
         found: Counter = Counter()
         natural: Counter = Counter()
 
         def explained(w: str) -> bool:
             """Whether a confusion that the model starts with explains the word: it teaches nothing new."""
             real = m.skeletons.get(skeleton(w))
-            return w not in m.lexicon and real is not None and confusable(real, w, known)
+            return real is not None and confusable(real, w, start)
 
         for b in batches:
-            rows = [(w, n) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if len(w) > 3 and n > 0 and not explained(w)]
-            for (w, n), near in zip(rows, m.trie.within([w for w, _ in rows], [2 if w not in m.lexicon else 1 for w, _ in rows])):
+            rows = [(w, n) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if len(w) > 3 and n > 0 and (n >= LEARNED_RIVAL if w in m.lexicon else not explained(w))]
+            asked, of = block_keys([w for w, _ in rows])
+            lo, hi = np.searchsorted(held, asked, side="left"), np.searchsorted(held, asked, side="right")
+            rep = np.repeat(np.arange(len(asked)), hi - lo)
+            hit = owner[np.arange(len(rep)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[rep]]
+            near: dict[int, set[str]] = {}
+            for k, x in {*zip(of[rep].tolist(), hit.tolist())}:
+                near.setdefault(k, set()).add(common[x])
+            for k, others in near.items():
+                w, n = rows[k]
+                apart = [(difference(x, w), x) for x in others if x != w]
                 if w in m.lexicon:
-                    natural.update(d for d in (difference(x, w) for x, e in near if e) if _is_confusion(d))
+                    natural.update(d for d, _ in apart if _is_confusion(d))
                     continue
-                strong = [(e, x) for x, e in near if m.lexicon[x] >= LEARNED_RIVAL * n]
+                strong = [(max(map(len, d)), d) for d, x in apart if m.lexicon[x] >= LEARNED_RIVAL * n]
                 least = min((e for e, _ in strong), default=0)
-                best = [x for e, x in strong if e == least]
-                if len(best) == 1 and _is_confusion(difference(best[0], w)):
-                    found[difference(best[0], w)] += 1
-        keys = list(found.keys() | natural.keys())
+                best = [d for e, d in strong if e == least]
+                if len(best) == 1 and _is_confusion(best[0]):
+                    found[best[0]] += 1
+        pairs = list(found.keys() | natural.keys())
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([found[k] for k in keys], pa.int64()), pa.array([natural[k] for k in keys], pa.int64())],
+            [pa.array([k[0] for k in pairs], pa.string()), pa.array([k[1] for k in pairs], pa.string()), pa.array([found[k] for k in pairs], pa.int64()), pa.array([natural[k] for k in pairs], pa.int64())],
             names=["real", "seen", "found", "natural"],
         )
 
