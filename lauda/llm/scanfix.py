@@ -53,6 +53,8 @@ EDGE_LINES = 3
 COUNTED_LINES = 2
 #: A learned confusion: in so many words at least, so many times as often as between words of the lexicon.
 LEARNED_WORDS, LEARNED_RATIO = 8, 4
+#: ... and in such a share of all words that differ from a frequent one, explained ones included, so that chance among more words teaches no more.
+LEARNED_SHARE = 0.005
 #: How many times as frequent the word must be that a learned confusion is aligned with.
 LEARNED_RIVAL = 10
 #: What a candidate gains over one that is e times as frequent: per neighbour it has elsewhere on the page, for being there.
@@ -478,7 +480,13 @@ def learned_confusions(words: DataFrame, model: Model) -> list[tuple[str, str]]:
             return real is not None and confusable(real, w, start)
 
         for b in batches:
-            rows = [(w, n) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if len(w) > 3 and n > 0 and (n >= LEARNED_RIVAL if w in m.lexicon else not explained(w))]
+            rows = []
+            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if len(w) > 3 and n > 0:
+                    if n >= LEARNED_RIVAL if w in m.lexicon else not explained(w):
+                        rows.append((w, n))
+                    elif w not in m.lexicon:
+                        found["", ""] += 1  # counts among all differences
             asked, of = block_keys([w for w, _ in rows])
             lo, hi = np.searchsorted(held, asked, side="left"), np.searchsorted(held, asked, side="right")
             rep = np.repeat(np.arange(len(asked)), hi - lo)
@@ -503,8 +511,12 @@ def learned_confusions(words: DataFrame, model: Model) -> list[tuple[str, str]]:
             names=["real", "seen", "found", "natural"],
         )
 
-    counted = words.mapInArrow(run, "real string, seen string, found bigint, natural bigint").groupBy("real", "seen").agg(F.sum("found").alias("found"), F.sum("natural").alias("natural"))
-    rows = counted.filter((F.col("found") >= LEARNED_WORDS) & (F.col("found") >= LEARNED_RATIO * F.col("natural"))).collect()  # pairs of at most two characters each
+    counted = materialize(words.mapInArrow(run, "real string, seen string, found bigint, natural bigint").groupBy("real", "seen").agg(F.sum("found").alias("found"), F.sum("natural").alias("natural")), "differences")
+    back = counted.select(F.col("seen").alias("real"), F.col("real").alias("seen"), F.col("found").alias("back"))
+    against = F.col("natural") + F.coalesce("back", F.lit(0))  # names differ either way, a recognizer errs one way
+    least = F.greatest(F.lit(LEARNED_WORDS), F.ceil(LEARNED_SHARE * F.lit(counted.agg(F.sum("found")).first()[0] or 0)))
+    rows = counted.join(back, ["real", "seen"], "left").filter((F.col("real") != "") & (F.col("found") >= least) & (F.col("found") >= LEARNED_RATIO * against)).collect()  # pairs of at most two characters each
+    release(counted)
     shared.unpersist()
     return sorted((r.real, r.seen) for r in rows if (r.real, r.seen) not in model.start)
 
